@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, sharding, token_count
+from . import byte_bpe, exact_dedup, quality_rules, sharding, token_count
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     encoded = byte_bpe.encode(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -39,4 +43,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.sql(), "op8_exact_dedup": exact_dedup.SQL}
+    return {"op6_sharding": sharding.sql(), "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
