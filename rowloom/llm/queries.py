@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, quality_rules, sharding, token_count
+from . import byte_bpe, exact_dedup, quality_rules, sharding, simhash, token_count
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.with_limit(token_count.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
