@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_text, quality_rules, sharding, simhash, token_count
+from . import byte_bpe, exact_dedup, html_text, quality_rules, sharding, simhash, token_count, toxicity
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -27,6 +27,11 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
