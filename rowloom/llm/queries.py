@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_text, quality_rules, sharding, simhash, token_count, toxicity
+from . import byte_bpe, chat_format, exact_dedup, html_text, quality_rules, sharding, simhash, token_count, toxicity
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+CHAT_MODEL = "byte_bpe_50k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -36,6 +37,17 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(chat_format.PROBE_ID).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(chat_format.PROBE_TEXT).alias("text"),
+    )
+    return chat_format.read_conversations(chat_format.format_conversations(spark, rows.unionByName(probe), public_tokenizers.path(CHAT_MODEL)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -56,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.sql(), "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op6_sharding": sharding.sql(), "op7_chat_format": chat_format.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
