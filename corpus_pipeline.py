@@ -1,10 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowloom.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
+from rowloom.llm.common import table, without_ids
+from rowloom.llm.queries import RANKS
+
+#: Documents are judged already when mixing begins; what is left of the toxic domain is weighed down further.
+MIX = {"clean": 0.93, "low": 0.06, "toxic": 0.01}
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score doesn't reject; texts pass through the scoring tasks and aren't joined."""
+    scored = toxicity.score(spark, docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    groups = exact_dedup.exact_groups(docs)
+    return without_ids(docs, groups.where("not kept").select("doc_id"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    groups = simhash.near_groups(docs)
+    return without_ids(docs, groups.where("doc_id <> component_id").select("doc_id"))
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights ask for."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), MIX)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, ids, n_tokens and the digests of ids and of the bytes decoded from them."""
+    ranks = public_tokenizers.path(RANKS)
+    coded = byte_bpe.decode(spark, byte_bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "source")), ranks)
+    return byte_bpe.digests(coded.withColumn("token_ids", F.col("ids")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_domains),
+    ("byte_bpe", encode_texts),
+]
+
+#: Compression, iterated graph steps and tokens aren't SQL: the pipeline is tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; each stage's rows go to the shared checkpoint folder, or the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

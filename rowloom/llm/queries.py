@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_text, quality_rules, sharding, simhash, token_count, toxicity
+from . import byte_bpe, chat_format, exact_dedup, html_text, mixing, quality_rules, sharding, simhash, token_count, toxicity
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -20,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.with_limit(token_count.count_tokens(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
