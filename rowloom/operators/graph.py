@@ -1,11 +1,21 @@
-"""Connected components of a graph in tables: alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components in tables, and the checkpoints that iterative operators write."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+
+def written(df: DataFrame) -> DataFrame:
+    """df from reliable checkpoint files, so that later plans reread it; lost executors cost nothing that was written.
+
+    The folder is the session's (spark.checkpoint.dir); only where none is set, as in tests, it is below the warehouse.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,6 +32,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b: bigint): root is the least node that it reaches, itself included.
+    Alternating large-star and small-star steps (Kiveris et al., 2014).
 
     Each round is two joins and two aggregations of edges by node, written to checkpoint files; the driver sees only a
     count and a checksum, by which it knows that nothing moves any more. A hub is reduced by each task before its
