@@ -10,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.operators.graph import written  # noqa: F401
+
 #: The white space of the contracts: space and U+0009 to U+000D, as a character class of Java's and DuckDB's patterns.
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters, for translate().
@@ -27,18 +29,6 @@ def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df from reliable checkpoint files, so that later plans reread it; lost executors cost nothing that was written.
-
-    The folder is the session's (spark.checkpoint.dir); only where none is set, as in tests, it is below the warehouse.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:
     """docs without the rows whose key is in ids: ids are counted, broadcast up to limit, and shuffled beyond it."""
     ids = ids.select(key).distinct()

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.graph import components
+
 from .common import map_texts, written
-from .components import components
 
 WORDS, SEED, DISTANCE = 3, 42, 2
 #: Cells with more fingerprints go the way that pairs none off.
