@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that mark text read with the wrong encoding.
 MISREAD = "âÃÂ"
@@ -37,7 +38,7 @@ def terms_in(words: Column, terms: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(has_term(words, t), F.lit(t)) for t in dict.fromkeys(terms)])) if terms else F.array().cast("array<string>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repair(texts: pd.Series) -> pd.Series:
     def one(text: str) -> str:
         text = html.unescape(text)

@@ -118,8 +118,8 @@ def question_metrics(df: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation with average ranks for ties; 0 when either is constant. Ranks come from counts of distinct values."""
     def ranks(c: str) -> DataFrame:
-        up = steps(df.select(F.col(c), F.lit(1).alias("y")), c)
-        return up.select(F.col(c), (F.col("n_at") - (F.col("n") - 1) / 2).alias(f"_r{c}"))  # ranks from the top
+        up = steps(df.select(F.col(c).alias("s"), F.lit(1).alias("y")))
+        return up.select(F.col("s").alias(c), (F.col("n_at") - (F.col("n") - 1) / 2).alias(f"_r{c}"))  # ranks from the top
 
     both = df.select(a, b).join(ranks(a), a).join(ranks(b), b)
     return both.agg(F.coalesce(F.nanvl(F.corr(f"_r{a}", f"_r{b}"), F.lit(0.0)), F.lit(0.0)).alias("spearman"))

@@ -76,6 +76,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     if "v_events" in text:
         frames["v_events"] = spark.sql(EVENTS["spark"].replace("events", "{events}"), events=frames.pop("events"))
+    text = text.replace("{", "{{").replace("}", "}}")  # names in braces are frames
     for t in frames:
         for word in ("FROM ", "JOIN "):
             text = text.replace(f"{word}{t} ", f"{word}{{{t}}} ").replace(f"{word}{t}\n", f"{word}{{{t}}}\n")
