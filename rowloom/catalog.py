@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rowloom.plans import more  # noqa: F401  (registers its queries)
 from rowloom.plans import queries as plans
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from pyspark.sql import types as T
 MISREAD = "âÃÂ"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_text(text: Column) -> Column:
     """Lower-cased words joined by single spaces, with a space at both ends; + # . stay inside words."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9+#.]+", " "), " ")

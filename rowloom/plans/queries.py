@@ -135,13 +135,17 @@ EXCLUDED = {"companies": ["src3", "src11"], "title": ["the", "der"], "phrases":
 def keyword_reason(df_title: Column, company: Column, description: Column, cfg: dict | None = None) -> Column:
     """F8: why a posting is skipped by its words, null if it isn't; the first rule that applies."""
     cfg = cfg or EXCLUDED
-    t, c, x = text.word_text(df_title), text.word_text(company), text.word_text(F.concat(df_title, F.lit(" "), description))
     first = lambda words, terms, say: F.concat(F.lit(say), F.get(text.terms_in(words, terms), F.lit(0)))
-    groups = []
-    for name, (terms, least) in cfg["roles"].items():
-        hits = text.terms_in(x, terms)
-        groups.append(F.when(F.size(hits) >= least, F.concat(F.lit(f"excluded role '{name}': "), F.array_join(hits, ", "))))
-    return F.coalesce(first(c, cfg["companies"], "excluded company: "), first(t, cfg["title"], "excluded title word: "), first(x, cfg["phrases"], "excluded phrase: "), *groups)
+
+    def reason(k: Column) -> Column:
+        def group(name: str, terms: list[str], least: int) -> Column:
+            return text.let(text.terms_in(k["x"], terms), lambda hits: F.when(F.size(hits) >= least, F.concat(F.lit(f"excluded role '{name}': "), F.array_join(hits, ", "))))
+
+        groups = [group(name, terms, least) for name, (terms, least) in cfg["roles"].items()]
+        return F.coalesce(first(k["c"], cfg["companies"], "excluded company: "), first(k["t"], cfg["title"], "excluded title word: "), first(k["x"], cfg["phrases"], "excluded phrase: "), *groups)
+
+    words = F.struct(text.word_text(df_title).alias("t"), text.word_text(company).alias("c"), text.word_text(F.concat(df_title, F.lit(" "), description)).alias("x"))
+    return text.let(words, reason)
 
 
 def _keyword_sql() -> str:
@@ -170,8 +174,8 @@ _TITLES = "CASE ord % 6 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Junior ' WHEN 2 THEN
 
 def title_levels(title: Column) -> Column:
     """the levels that a title names, in order."""
-    words = text.word_text(title)
-    return F.array_compact(F.array(*[F.when(F.size(text.terms_in(words, terms)) > 0, F.lit(level)) for level, terms in LEVELS.items()]))
+    levels = lambda words: F.array_compact(F.array(*[F.when(F.size(text.terms_in(words, terms)) > 0, F.lit(level)) for level, terms in LEVELS.items()]))
+    return text.let(text.word_text(title), levels)
 
 
 def seniority_reason(title: Column, allowed: list[str]) -> Column:
