@@ -302,3 +302,22 @@ def test_import_without_training_data_package():
     code = "import sys; sys.modules['rowloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.llm is None and e.queries()"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
+def test_pages_and_feeds(spark):
+    from rowloom.sources import pages
+
+    old = F.lit("2026-01-01").cast("timestamp")
+    items = [("We are hiring a backend engineer", "https://d/a-1", "<p>x</p>", "Mon, 05 Oct 2026 10:00:00 +0000", ["x"]), ("How to hire engineers: we are hiring", "https://d/b", "", None, []), ("Developer", "https://d/c", "apply here", None, [" Jobs "]), ("Developer", "https://d/e", "apply here", None, None)]
+    df = spark.createDataFrame(items, "title string, link string, description string, pubDate string, category array<string>")
+    assert sorted((r["id"], r["posted_at"]) for r in pages.from_devto(df, old).collect()) == [("devto_a-1", "2026-10-05T10:00:00+00:00"), ("devto_c", "")]
+    jobs = json.dumps({"initialData": {"n": 1, "jobs": [{"id": 5, "title": "T [x]", "apply_url": "https://a", "posted_at": "2026-02-01", "tags": ["q"]}, {"id": 6, "apply_url": "javascript:"}]}})
+    cut = len(jobs) // 2
+    page = "".join(f"<script>self.__next_f.push([1,{json.dumps(part)}])</script>" for part in (jobs[:cut], jobs[cut:]))
+    found, failed = pages.from_consider(spark.createDataFrame([("h", page), ("bad", "<p>")], "host string, html string"), old)
+    assert [(r["key"], r["title"]) for r in found.collect()] == [("consider_5", "T [x]")] and [r["host"] for r in failed.collect()] == ["bad"]
+    guest = '<div class="show-more-less-html__markup x"><p>Do it</p></div><h3 class="description__job-criteria-subheader">Level</h3><span> Mid </span>'
+    assert pages.from_linkedin_page(spark.createDataFrame([("u", guest)], "url string, html string")).first()["description"] == "Do it\n\nLevel: Mid"
+    html_ = [("u", '<nav>n</nav><div class="job-description"><p>Build it</p>experience<script>x</script></div><div id="content">a</div>'), ("v", "<body><header>h</header><p>all of it</p></body>"), ("w", "<div id='content'>Loading</div>")]
+    got = {r["url"]: r["description"] for r in pages.best_description(spark.createDataFrame(html_, "url string, html string"), ["experience"], ["loading"]).collect()}
+    assert got == {"u": "Build it\nexperience", "v": "all of it", "w": ""}
