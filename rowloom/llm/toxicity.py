@@ -176,5 +176,5 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[s
     empty labels a score of one half.
     """
     model = spark.sparkContext.broadcast(fit(labelled_rows(docs, labels)))
-    out = map_texts(docs.withColumn("_text", F.col("text")), list(keep), "_text", [("score", pa.float64(), "double")], lambda texts: [score_texts(texts, model.value)])
+    out = map_texts(docs, list(keep), "text", [("score", pa.float64(), "double")], lambda texts: [score_texts(texts, model.value)])
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
