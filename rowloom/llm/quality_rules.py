@@ -13,63 +13,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, text_of, written
+from .common import SPACE, text_of, written
 
 #: A line that more distinct documents of a host hold is boilerplate.
 MAX_DOCUMENTS = 200
 #: A document is depleted with fewer words left than this, or than this share of its words.
 MIN_WORDS_LEFT, MIN_PERCENT_LEFT = 20, 30
 SYMBOLS = "#*$%&|<>"
+#: What a word has.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: F.Column) -> F.Column:
     return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
-def normal_line(line: F.Column) -> F.Column:
-    """Lower case, digits as 0, white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), f"{SPACE}+", " "))
+def normal_lines(text: F.Column) -> F.Column:
+    """The lines of a text in lower case, digits as 0, white space as one space, none at the ends."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(text), "[1-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.transform(F.split(whole, "\n"), lambda x: F.trim(x))
 
 
-def repeated_words(words: F.Column) -> F.Column:
-    """Words that lie in a 3-word window found twice or more among the words, by sorting the windows.
+def with_repeated_words(df: DataFrame, words: str, into: str) -> DataFrame:
+    """df with the number of words that lie in a 3-word window found twice or more among the words.
 
-    Where all hashes of windows differ, no window repeats; else the windows themselves are compared.
+    Where all hashes of windows differ, no window repeats; else the windows are sorted and compared with their
+    neighbours. Each step is a column of its own, so that none is computed twice.
     """
     n = F.size(words)
     from_word = lambda i: F.slice(words, F.lit(i), F.greatest(n - 2, F.lit(0)))
     windows = F.zip_with(from_word(1), F.zip_with(from_word(2), from_word(3), lambda b, c: F.concat(b, F.lit(" "), c)), lambda a, bc: F.concat(a, F.lit(" "), bc))
-    hashes = F.transform(windows, lambda w: F.xxhash64(w))
-    ordered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    m = F.greatest(n - 3, F.lit(0))
-    pairs = F.zip_with(F.slice(ordered, F.lit(1), m), F.slice(ordered, F.lit(2), m), lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
-    at = F.array_sort(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
-    k = F.greatest(F.size(at) - 1, F.lit(0))
-    steps = F.zip_with(F.slice(at, F.lit(1), k), F.slice(at, F.lit(2), k), lambda a, b: F.least(b - a, F.lit(3)))
-    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + F.when(F.size(at) > 0, 3).otherwise(0)
-    return F.when(n < 4, F.lit(0)).when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered).cast("long")
+    df = df.withColumn("_g", windows).withColumn("_h", F.transform("_g", lambda w: F.xxhash64(w)))
+    number = F.transform("_g", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    ordered = F.sort_array(F.zip_with("_h", number, lambda h, g: F.struct(h.alias("h"), g["w"].alias("w"), g["i"].alias("i"))))
+    df = df.withColumn("_o", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered))
+    m = F.size("_o") - 1
+    pairs = F.zip_with(F.slice("_o", F.lit(1), m), F.slice("_o", F.lit(2), m), lambda a, b: F.when((a["h"] == b["h"]) & (a["w"] == b["w"]), F.array(a["i"], b["i"])))
+    df = df.withColumn("_at", F.when(F.col("_o").isNotNull(), F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))))
+    k = F.greatest(F.size("_at") - 1, F.lit(0))
+    steps = F.zip_with(F.slice("_at", F.lit(1), k), F.slice("_at", F.lit(2), k), lambda a, b: F.least(b - a, F.lit(3)))
+    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + 3
+    return df.withColumn(into, F.when(F.size("_at") > 0, covered).otherwise(0).cast("long")).drop("_g", "_h", "_o", "_at")
 
 
 def base_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row."""
     t = docs.select(*keep, text_of().alias("_t"))
-    t = t.select(*keep, "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0).alias("_l"))
+    t = t.select(*keep, "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_l"))
+    t = with_repeated_words(t, "_w", "n_repeat_words")
     out = t.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_t", SPACE_CHARS, "")).cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
+        "n_repeat_words",
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def lines_of(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host, line (hash) and words of every distinct normalised line with a word; words counts its repeats."""
-    lines = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(F.split(text_of(), "\n")).alias("_l"))
-    lines = lines.select("doc_id", "host", normal_line(F.col("_l")).alias("_l")).where("_l <> ''")
-    return lines.select("doc_id", "host", F.xxhash64("_l").alias("line"), (F.length("_l") - F.length(F.translate("_l", " ", "")) + 1).alias("words"))
+    lines = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(normal_lines(text_of())).alias("_l")).where("_l <> ''")
+    return lines.select("doc_id", "host", F.xxhash64("_l").alias("line"), F.size(F.split("_l", " ")).alias("words"))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
