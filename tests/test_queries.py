@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL twin, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -12,7 +13,7 @@ QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    show = lambda v: "null" if v is None or v is pd.NaT or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    show = lambda v: "null" if pd.isna(v) else f"{float(v):.6f}" if isinstance(v, int | float | np.number) and not isinstance(v, bool | np.bool_) else str(v)
     return sorted(tuple(map(show, r)) for r in df.itertuples(index=False))
 
 
