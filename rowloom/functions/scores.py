@@ -38,7 +38,7 @@ def is_expected_label(label: Column) -> Column:
     return F.coalesce(label, F.lit("")).rlike(r"^fit [0-9]+(?:\.[0-9]+)?/10$")
 
 
-def fit_of(score: Column, label: Column, model: Column, prefix: str = "laya") -> Column:
+def fit_of(score: Column, label: Column, model: Column, prefix: str = "local") -> Column:
     """the score, unless it is the local model's placeholder: a whole number without a label."""
     holder = F.coalesce(model, F.lit("")).startswith(prefix) & (F.coalesce(label, F.lit("")) == "") & (score == F.floor(score))
     return F.when(~holder, score)

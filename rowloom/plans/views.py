@@ -30,7 +30,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["documents"],
         f"""SELECT concat(source, '_', doc_id) AS id, regexp_extract(text, '^([^ ]+( [^ ]+){{0,1}})', 1) AS title, source AS company, source AS source,
           concat('https://boards.greenhouse.io/', source, '/jobs/', doc_id) AS url, {_STATUS} AS status,
-          CAST(1 + (doc_id * 37 % 91) / 10.0 AS DOUBLE) AS match_score, concat('laya-', doc_id % 3) AS source_model,
+          CAST(1 + (doc_id * 37 % 91) / 10.0 AS DOUBLE) AS match_score, concat('local-', doc_id % 3) AS source_model,
           CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('fit ', 1 + doc_id % 9, '.5/10') END AS score_label,
           CASE WHEN doc_id % 14 = 3 THEN CASE WHEN doc_id % 3 = 0 THEN 'location: abroad' ELSE 'keywords: excluded' END ELSE '' END AS filter_reason,
           {NOW} - 3600 * (doc_id % 1000) AS run_at, {NOW} - 3600 * (doc_id % 1000) - 60 * (doc_id % 97) AS first_run_at, doc_id AS ord
