@@ -5,8 +5,8 @@ it is taken; the expected tokens of a domain are the sum over documents of rate,
 nonnegative ones that bring these totals nearest to the target weights, by projected-gradient least squares: the driver
 sees one number a domain and step, documents stay where they are, and no rows are shuffled.
 
-The squares are measured in the domains' own covariance, and steps are taken per token; then the step of length one is
-safe (the iteration matrix is a projection), and without an active bound the first step already hits the targets.
+The squares are measured in the domains' own covariance, and steps are taken per token; then a step of length one is
+right, and without an active bound the first already hits the targets.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ TARGETS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
 FIT_ROWS, FEATURES, SUPPORT = 6_000, 256, 8
 #: Least chi-square of a feature against the domains, and the rows of the overall share that smooth a domain's share.
 SIGNIFICANCE, SMOOTHING = 30.0, 20
-STEPS, TOLERANCE = 80, 1e-9
+#: Steps at most, and the part of the tokens by which totals may miss their targets.
+STEPS, TOLERANCE = 25, 1e-4
 
 
 def domain_of_labels() -> F.Column:
@@ -34,12 +35,12 @@ def domain_of_labels() -> F.Column:
 
 
 def features(text: F.Column) -> F.Column:
-    """Distinct features of a text: the first five characters of its words, and how it is written, in tenths."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
-    length = F.greatest(F.length(text), F.lit(1))
-    part = lambda name, drop: F.concat(F.lit(name), F.least(F.lit(9), F.floor(10 * (F.length(text) - F.length(F.regexp_replace(text, drop, ""))) / length)).cast("string"))
-    style = F.array(part("#sign", r"[#*$%&|<>!]+"), part("#upper", r"\p{Lu}+"), part("#digit", r"[0-9]+"), F.concat(F.lit("#size"), F.floor(F.log2(length.cast("double"))).cast("string")))
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.left(w, F.lit(5))), style))
+    """Features of a text: the first five characters of its words, its share of signs in tenths, and its size. They may
+    repeat."""
+    words = F.transform(F.split(F.lower(text), f"{SPACE}+"), lambda w: F.left(w, F.lit(5)))
+    signs = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>!]+", ""))
+    share = F.least(F.lit(9), F.floor(10 * signs / F.greatest(F.length(text), F.lit(1))))
+    return F.concat(words, F.array(F.concat(F.lit("#sign"), share.cast("string")), F.concat(F.lit("#size"), F.floor(F.log2(F.greatest(F.length(text), F.lit(1)).cast("double"))).cast("string"))))
 
 
 def n_tokens(text: F.Column) -> F.Column:
@@ -56,7 +57,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain:
     """
     own = labels.select("doc_id", (domain_of_labels() if domain is None else domain).alias("_d")).where(F.col("_d").isin(domains)).distinct()
     own = written(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
-    rows = written(docs.select("doc_id", text_of().alias("_t")).join(F.broadcast(own), "doc_id").select("_d", features(F.col("_t")).alias("_f")))
+    rows = written(docs.select("doc_id", text_of().alias("_t")).join(F.broadcast(own), "doc_id").select("_d", F.array_distinct(features(F.col("_t"))).alias("_f")))
     n = {r["_d"]: r["n"] for r in rows.groupBy("_d").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(n.values())
     prior = [math.log((n.get(d, 0) + 1) / (total + len(domains))) for d in domains]
@@ -71,16 +72,18 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], domain:
     return {"domains": domains, "prior": prior, "features": [r["feature"] for r in best], "weights": weights}
 
 
-def posterior(text: F.Column, model: dict) -> F.Column:
-    """The posteriors of a text, an array in the order of the domains."""
+def with_posterior(df: DataFrame, text: str, model: dict, into: str = "p") -> DataFrame:
+    """df with the posteriors of its texts, an array in the order of the domains. Each step is a column of its own, so
+    that none is computed twice."""
     known = F.array(*[F.lit(f) for f in model["features"]] or [F.lit("")])
-    at = F.transform(F.array_intersect(features(text), known), lambda f: F.array_position(known, f).cast("int"))
     weights = model["weights"] or [[0.0] * len(model["domains"])]
     table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in weights])
-    logits = F.aggregate(at, F.array(*[F.lit(float(x)) for x in model["prior"]]), lambda s, i: F.zip_with(s, F.element_at(table, i), lambda a, b: a + b))
-    odds = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
+    prior = F.array(*[F.lit(float(x)) for x in model["prior"]])
+    df = df.withColumn("_at", F.transform(F.array_intersect(features(F.col(text)), known), lambda f: F.array_position(known, f).cast("int")))
+    df = df.withColumn("_logits", F.aggregate("_at", prior, lambda s, i: F.zip_with(s, F.element_at(table, i), lambda a, b: a + b)))
+    df = df.withColumn("_odds", F.transform("_logits", lambda x: F.exp(x - F.array_max("_logits"))))
     # the largest is exp(0), so the sum is at least 1
-    return F.transform(odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda s, y: s + y))
+    return df.withColumn(into, F.transform("_odds", lambda x: x / F.aggregate("_odds", F.lit(0.0), lambda s, y: s + y))).drop("_at", "_logits", "_odds")
 
 
 def rate(p: F.Column, steps: list[list[float]]) -> F.Column:
@@ -93,24 +96,42 @@ def rate(p: F.Column, steps: list[list[float]]) -> F.Column:
 
 
 def fit_rates(memberships: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], dict]:
-    """Steps for rate(), and a report, for memberships (n_tokens, p); the whole of the tokens is the budget."""
+    """Steps for rate(), and a report, for memberships (n_tokens, p); the whole of the tokens is the budget.
+
+    Each step is one aggregate: the totals, and the covariance of the domains over documents whose rate isn't zero, which
+    scales the next gradient. A step that brings the totals no nearer is followed by one in the covariance of all
+    documents, which is always safe. The end: totals within TOLERANCE of the budget, or moving by less than that.
+    """
     k = len(targets)
     share = np.array(list(targets.values())) / sum(targets.values())
     p = [F.element_at("p", i + 1) for i in range(k)]
     t = F.col("n_tokens").cast("double")
-    sums = memberships.agg(F.sum(t), *[F.sum(t * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
-    budget, gram = sums[0] or 0.0, np.array([x or 0.0 for x in sums[1:]]).reshape(k, k)
-    wanted, inverse = share * budget, np.linalg.pinv(gram, hermitian=True) if budget else np.zeros((k, k))
+    gram = [F.sum(F.when(F.col("_r") > 0, t * p[i] * p[j])) for i in range(k) for j in range(i, k)]
+    totals_of = [F.sum(t * F.col("_r") * p[i]) for i in range(k)]
+
+    def measure(steps: list[list[float]]) -> tuple[float, np.ndarray, np.ndarray]:
+        row = [x or 0.0 for x in memberships.withColumn("_r", rate(F.col("p"), steps)).agg(F.sum(t), *totals_of, *gram).first()]
+        full, at = np.zeros((k, k)), 1 + k
+        for i in range(k):
+            for j in range(i, k):
+                full[i, j] = full[j, i] = row[at]
+                at += 1
+        return row[0], np.array(row[1 : 1 + k]), full
+
     steps: list[list[float]] = []
-    before, totals = None, np.zeros(k)
+    budget, totals, all_gram = measure(steps)
+    wanted, now, off = share * budget, all_gram, np.inf
     while budget and len(steps) < STEPS:
-        r = rate(F.col("p"), steps)
-        row = memberships.select((t * r).alias("_w"), "p").agg(*[F.sum(F.col("_w") * p[i]) for i in range(k)]).first()
-        totals = np.array([x or 0.0 for x in row])
-        if before is not None and np.abs(totals - before).max() <= TOLERANCE * budget or np.abs(totals - wanted).max() <= TOLERANCE * budget:
+        gap = totals - wanted
+        safe = np.abs(gap).sum() >= off
+        off = np.abs(gap).sum()
+        if np.abs(gap).max() <= TOLERANCE * budget:
             break
+        steps.append((np.linalg.pinv(all_gram if safe else now, rcond=1e-9, hermitian=True) @ gap).tolist())
         before = totals
-        steps.append((inverse @ (totals - wanted)).tolist())
+        _, totals, now = measure(steps)
+        if np.abs(totals - before).max() <= TOLERANCE * budget:
+            break
     return steps, {"budget": budget, "wanted": wanted.tolist(), "totals": totals.tolist(), "steps": len(steps)}
 
 
@@ -124,7 +145,7 @@ def _prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float], dom
     """The domain model, the memberships of all rows (doc_id, n_tokens, p, small, written) and the steps."""
     model = fit_domains(docs, labels, list(targets), domain)
     texts = docs.select("doc_id", text_of().alias("_t"))
-    members = written(texts.select("doc_id", n_tokens(F.col("_t")).alias("n_tokens"), posterior(F.col("_t"), model).alias("p")))
+    members = written(with_posterior(texts.withColumn("n_tokens", n_tokens(F.col("_t"))), "_t", model).select("doc_id", "n_tokens", "p"))
     steps, report = fit_rates(members, targets)
     return model, members, steps, report
 
@@ -146,5 +167,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """docs with every row as often as its copies, columns unchanged; texts don't leave their partition."""
     targets = targets or TARGETS
     model, _, steps, _ = _prepared(docs, labels, targets, domain)
-    taken = docs.withColumn("_p", posterior(text_of(), model)).withColumn("_n", copies(rate(F.col("_p"), steps), F.col("doc_id")))
+    taken = with_posterior(docs.withColumn("_t", text_of()), "_t", model, "_p").withColumn("_n", copies(rate(F.col("_p"), steps), F.col("doc_id")))
     return taken.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(docs.columns)
