@@ -321,3 +321,17 @@ def test_pages_and_feeds(spark):
     html_ = [("u", '<nav>n</nav><div class="job-description"><p>Build it</p>experience<script>x</script></div><div id="content">a</div>'), ("v", "<body><header>h</header><p>all of it</p></body>"), ("w", "<div id='content'>Loading</div>")]
     got = {r["url"]: r["description"] for r in pages.best_description(spark.createDataFrame(html_, "url string, html string"), ["experience"], ["loading"]).collect()}
     assert got == {"u": "Build it\nexperience", "v": "all of it", "w": ""}
+
+
+def test_actions(spark):
+    from rowloom.operators import actions as act
+
+    log = [(1, "applied", "j1", "", 100), (2, "bad", "j2", "", 100), (3, "hide", "j3", "", 100), (4, "unhide", "j3", "", 101), (5, "hide", "j4", "", 100), (6, "stage", "7", "screen", 110), (7, "stage", "7", "offer", 120), (8, "undo", "2", "", 121), (9, "follow_up", "7", "130", 121), (1, "applied", "j1", "", 100)]
+    df = spark.createDataFrame(log, "id long, kind string, target string, value string, at_day long")
+    assert [(r["job_id"], r["verdict"]) for r in act.verdicts(df).collect()] == [("j1", "applied")]
+    assert [r["job_id"] for r in act.hidden(df).collect()] == ["j4"]
+    assert [(r["id"], r["kind"], r["value"]) for r in act.events(df).orderBy("id").collect()] == [(12, "stage", "screen"), (13, "follow_up_set", "115"), (14, "stage", "offer"), (15, "follow_up_done", ""), (18, "follow_up_set", "130")]
+    jobs = spark.createDataFrame([("j1", "t", "c", "u")], "id string, title string, company string, url string")
+    apps = spark.createDataFrame([("j1", "rejected")], "job_id string, stage string")
+    assert act.new_applications(df, jobs, apps).count() == 1
+    assert act.new_applications(df, jobs, apps.withColumn("stage", F.lit("screen"))).count() == 0
