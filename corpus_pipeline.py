@@ -42,8 +42,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids, n_tokens and the digests of ids and of the bytes decoded from them."""
-    ranks = public_tokenizers.path(RANKS)
-    coded = byte_bpe.decode(spark, byte_bpe.encode(spark, docs, ranks, public_tokenizers.PATTERN, keep=("doc_id", "source")), ranks)
+    coded = byte_bpe.encode(spark, docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=("doc_id", "source"), decoded=True)
     return byte_bpe.digests(coded.withColumn("token_ids", F.col("ids")))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Entries of a worker's cache of encoded pre-tokens; it starts anew when full. Longer pre-tokens aren't kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 #: What this worker process keeps from task to task: a Coder for each vocabulary.
 WORKER: dict[str, Coder] = {}
 
@@ -84,20 +84,22 @@ class Coder:
         chars = byte_characters()
         # latin-1 makes a character of each byte, this moves it to the byte's own
         self.shift = {b: c for b, c in enumerate(chars)}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
+        # one object for each id, which all of the cache shares
+        self.numbers = list(range(len(self.tokens)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         cut = [self.find(t) for t in texts]
-        cache, whole = self.cache, self.ranks
+        cache, whole, numbers = self.cache, self.ranks, self.numbers
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
         new = list(set().union(*cut) - cache.keys())
         for at in range(0, len(new), 4096):
             some = [(p, p.encode()) for p in new[at : at + 4096]]
-            cache.update((p, (whole[b],)) for p, b in some if b in whole)
+            cache.update((p, (numbers[whole[b]],)) for p, b in some if b in whole)
             rest = [(p, b) for p, b in some if b not in whole]
             ids = self.sp.encode([b.decode("latin-1").translate(self.shift) for _, b in rest], num_threads=1)
-            cache.update((p, i) for (p, _), i in zip(rest, ids, strict=True))
+            cache.update((p, tuple(map(numbers.__getitem__, i))) for (p, _), i in zip(rest, ids, strict=True))
         get = cache.__getitem__
         out = [list(chain.from_iterable(map(get, x))) for x in cut]
         for p in new:
@@ -121,14 +123,22 @@ def _coder(spark: SparkSession, ranks_path: str, pattern: str):
     return get
 
 
-def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """keep and ids (array of int) of every row's whole text; null counts as empty and has no ids.
 
+    With decoded also the bytes that the ids decode to, in the same pass, as decode() gives them in one of its own.
+
     No shuffle. Repeated rows are encoded each; extra columns are ignored unless kept; an empty table gives an empty
     result. Special strings inside texts are ordinary text.
     """
     get = _coder(spark, ranks_path, pattern)
-    return map_texts(docs.withColumn("_text", F.col(text)), list(keep), "_text", [("ids", pa.list_(pa.int32()), "array<int>")], lambda texts: [get().encode(texts)], get)
+    fields = [("ids", pa.list_(pa.int32()), "array<int>")] + [("decoded", pa.binary(), "binary")] * decoded
+
+    def work(texts: list[str]) -> list[list]:
+        ids = get().encode(texts)
+        return [ids, list(map(get().decode, ids))] if decoded else [ids]
+
+    return map_texts(docs.withColumn("_text", F.col(text)), list(keep), "_text", fields, work, get, 2 << 20)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -61,9 +61,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = public_tokenizers.path(RANKS)
-    encoded = byte_bpe.encode(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(spark, encoded, ranks))
+    return byte_bpe.digests(byte_bpe.encode(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

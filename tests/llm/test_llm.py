@@ -99,7 +99,9 @@ def test_token_counts_of_random_texts():
 def test_byte_bpe(spark, docs, none, real):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     for df in (docs, real):
-        coded = byte_bpe.decode(spark, byte_bpe.encode(spark, df, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang")), RANKS)
+        once = byte_bpe.encode(spark, df, RANKS, public_tokenizers.PATTERN, keep=("doc_id", "lang"), decoded=True)
+        coded = byte_bpe.decode(spark, once.drop("decoded"), RANKS)
+        assert rows(byte_bpe.digests(coded).toPandas()) == rows(byte_bpe.digests(once).toPandas())
         texts = {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
         for r in byte_bpe.digests(coded).collect():
             ids = enc.encode_ordinary(texts[r["doc_id"]])
