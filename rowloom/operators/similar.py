@@ -9,6 +9,9 @@ from rowloom.functions.text import group_key
 
 from .graph import components, written
 
+#: Sets that share a shingle of their prefixes and meet in one task at most, on the salted side.
+SALT_ROWS = 500
+
 
 def shingles(text: Column, n: int = 5, min_words: int = 30) -> Column:
     """Distinct word n-grams of a text, null with fewer words than min_words."""
@@ -21,27 +24,94 @@ def shingles(text: Column, n: int = 5, min_words: int = 30) -> Column:
 
 
 def _indexed(df: DataFrame, text: str) -> DataFrame:
-    """ord and hashes of shingles, for rows that have any."""
-    return df.select("ord", shingles(F.col(text)).alias("_s")).where("_s IS NOT NULL").select("ord", F.transform("_s", lambda g: F.xxhash64(g)).alias("_h"))
+    """ord, sorted hashes of shingles, and a key that equal sets share, for rows that have any."""
+    out = df.select("ord", shingles(F.col(text)).alias("_s")).where("_s IS NOT NULL").select("ord", F.array_sort(F.transform("_s", lambda g: F.xxhash64(g))).alias("_h"))
+    return out.withColumn("_k", F.sha2(F.array_join(F.transform("_h", lambda h: h.cast("string")), ","), 256))
+
+
+def _keys_below(a: DataFrame, b: DataFrame | None, max_df: int) -> DataFrame:
+    """(ord of a, ord of b) of rows that share a shingle which at most max_df rows of b have; i < j without b."""
+    same, b = b is None, a if b is None else b
+    light = b.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_df).select("h")
+    keys = lambda x, name: x.select(F.col("ord").alias(name), F.explode("_h").alias("h")).join(light, "h")
+    return keys(a, "i").join(keys(b, "j"), "h").where("i < j" if same else "true").select("i", "j").distinct()
+
 
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """k, n, left, right and h: of every set, the rarest of its shingles, one of which any similar set has among its own
+    rarest. Rarity counts different sets; ties go by hash, so that the order is one for all sets."""
+    flat = sets.select("k", "left", "right", F.size("_h").alias("n"), F.explode("_h").alias("h"))
+    df = flat.groupBy("h").agg(F.count(F.lit(1)).alias("d"))
+    ranked = flat.join(df, "h").groupBy("k", "left", "right", "n").agg(F.array_sort(F.collect_list(F.struct("d", "h"))).alias("_r"))
+    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
+    return ranked.select("k", "left", "right", "n", F.explode(F.slice("_r", F.lit(1), first.cast("int"))).alias("_e")).where("_e.d > 1").select("k", "left", "right", "n", F.col("_e.h").alias("h"))
+
+
+def _similar_sets(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
+    """(x, y) keys of different sets of at least the threshold's similarity, x of a and y of b, or x < y without b.
+
+    Copies count once, and every shingle counts: no document frequency is left out. Prefixes that many sets share are
+    spread over tasks by salting one side and repeating the other.
+    """
+    own = lambda df, name: df.groupBy("_k").agg(F.first("_h").alias("_h")).select(F.col("_k").alias("k"), "_h", F.lit(name == "left").alias("left"), F.lit(name == "right").alias("right"))
+    if b is None:
+        sets = own(a, "left").withColumn("right", F.lit(True))
+    else:
+        both = own(a, "left").unionByName(own(b, "right"))
+        sets = both.groupBy("k").agg(F.first("_h").alias("_h"), F.max("left").alias("left"), F.max("right").alias("right"))
+    sets = written(sets)
+    entries = written(_prefixes(sets, threshold))
+    salts = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("m"))
+    entries = entries.join(salts, "h")
+    x = entries.where("left").select("h", F.col("k").alias("x"), F.col("n").alias("nx"), F.pmod(F.xxhash64("k"), F.col("m")).cast("int").alias("salt"))
+    y = entries.where("right").select("h", F.col("k").alias("y"), F.col("n").alias("ny"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"))
+    near = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.col("x") < F.col("y") if b is None else F.col("x") != F.col("y"))
+    pairs = x.join(y, ["h", "salt"]).where(near).select("x", "y").distinct()
+    pairs = pairs.join(sets.select(F.col("k").alias("x"), F.col("_h").alias("_x")), "x").join(sets.select(F.col("k").alias("y"), F.col("_h").alias("_y")), "y")
+    return pairs.where(_jaccard("_x", "_y") >= threshold).select("x", "y")
 
-def similar_pairs(left: DataFrame, right: DataFrame | None = None, text: str = "description", threshold: float = 0.8, max_df: int = 100) -> DataFrame:
+
+def _jaccard(x: str, y: str) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, text: str = "description", threshold: float = 0.8, max_df: int | None = None) -> DataFrame:
     """Pairs (i, j) of ord values whose shingle sets have a Jaccard similarity of at least threshold; i < j within
     left when right is None.
 
-    Candidates share a shingle that at most max_df texts of the indexed side have, which bounds the rows of a join key;
-    similarities count all shingles.
+    Rows with equal sets are one set; different sets are found by an exact prefix filter over all shingles. The result
+    has every pair of a group, so it grows with the square of a group's rows; job_groups and exclude_near_duplicates
+    don't. With max_df, as in the reference, candidates share a shingle that at most max_df texts of the indexed side have.
     """
     same = right is None
     a = written(_indexed(left, text))
     b = a if same else written(_indexed(right, text))
-    df = b.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    light = written(df.where((F.col("n") <= max_df) & (F.col("n") > (1 if same else 0))).select("h"))
-    keys = lambda x, name: x.select(F.col("ord").alias(name), F.explode("_h").alias("h")).join(light, "h")
-    pairs = keys(a, "i").join(keys(b, "j"), "h").where("i < j" if same else "true").select("i", "j").distinct()
-    sets = pairs.join(a.select(F.col("ord").alias("i"), F.col("_h").alias("x")), "i").join(b.select(F.col("ord").alias("j"), F.col("_h").alias("y")), "j")
-    both = F.size(F.array_intersect("x", "y"))
-    return sets.where(both / (F.size("x") + F.size("y") - both) >= threshold).select("i", "j")
+    if max_df is not None:
+        pairs = _keys_below(a, None if same else b, max_df)
+        sets = pairs.join(a.select(F.col("ord").alias("i"), F.col("_h").alias("x")), "i").join(b.select(F.col("ord").alias("j"), F.col("_h").alias("y")), "j")
+        return sets.where(_jaccard("x", "y") >= threshold).select("i", "j")
+    mine, theirs = a.select(F.col("ord").alias("i"), F.col("_k").alias("x")), b.select(F.col("ord").alias("j"), F.col("_k").alias("y"))
+    equal = mine.join(theirs, F.col("x") == F.col("y")).where("i < j" if same else "true").select("i", "j")
+    across = _similar_sets(a, None if same else b, threshold).join(mine, "x").join(theirs, "y")
+    return equal.unionByName(across.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")) if same else across.select("i", "j"))
+
+
+def similar_rows(rows: DataFrame, reference: DataFrame, text: str = "description", threshold: float = 0.8) -> DataFrame:
+    """ord of the rows that have a similar row in the reference (the i of similar_pairs), without making the pairs."""
+    a, b = written(_indexed(rows, text)), written(_indexed(reference, text))
+    found = _similar_sets(a, b, threshold).select(F.col("x").alias("_k")).unionByName(b.select("_k")).distinct()
+    return a.join(found, "_k", "left_semi").select("ord").distinct()
+
+
+def similar_links(rows: DataFrame, text: str = "description", threshold: float = 0.8) -> DataFrame:
+    """(a, b) links of ord values whose components are those of similar_pairs: each row to the first of its set, and one
+    link for each pair of similar sets."""
+    indexed = written(_indexed(rows, text))
+    first = written(indexed.groupBy("_k").agg(F.min("ord").alias("b")))
+    own = indexed.select("ord", "_k").join(first, "_k").where("ord <> b").select(F.col("ord").alias("a"), "b")
+    ends = lambda k, name: first.select(F.col("_k").alias(k), F.col("b").alias(name))
+    return own.unionByName(_similar_sets(indexed, None, threshold).join(ends("x", "a"), "x").join(ends("y", "b"), "y").select("a", "b"))
 
 
 def exclude_near_duplicates(rows: DataFrame, reference: DataFrame, text: str = "description") -> DataFrame:
@@ -50,7 +120,7 @@ def exclude_near_duplicates(rows: DataFrame, reference: DataFrame, text: str = "
     flag = lambda df, c, name: df.select(c).distinct().withColumn(name, F.lit(True))
     out = rows.withColumn("_k", key).join(flag(reference, "id", "_id"), "id", "left").join(flag(reference.withColumn("_k", key), "_k", "_key"), "_k", "left")
     rest = out.where("_id IS NULL AND _key IS NULL")
-    like = similar_pairs(rest, reference, text).select(F.col("i").alias("ord")).distinct().withColumn("_like", F.lit(True))
+    like = similar_rows(rest, reference, text).withColumn("_like", F.lit(True))
     out = out.join(like, "ord", "left")
     rule = F.when(F.col("_id"), "same_id").when(F.col("_key"), "same_title_company").when(F.col("_like"), "similar_text")
     return out.withColumn("excluded", rule).select(*rows.columns, "excluded")
@@ -62,6 +132,5 @@ def job_groups(rows: DataFrame, text: str = "description") -> DataFrame:
     keyed = rows.select("ord", group_key(F.col("title"), F.col("company")).alias("_k"))
     first = keyed.groupBy("_k").agg(F.min("ord").alias("b"))
     by_key = keyed.join(first, "_k").where("ord <> b").select(F.col("ord").alias("a"), "b")
-    by_text = similar_pairs(rows, text=text).select(F.col("j").alias("a"), F.col("i").alias("b"))
-    found = components(by_key.unionByName(by_text)).withColumnRenamed("node", "ord")
+    found = components(by_key.unionByName(similar_links(rows, text))).withColumnRenamed("node", "ord")
     return rows.select("ord").join(found, "ord", "left").select("ord", F.coalesce("root", "ord").alias("group"))

@@ -207,6 +207,28 @@ def test_similar_pairs_count_heavy_shingles(spark):
     assert similar.similar_pairs(df, max_df=2).count() == 0
 
 
+def test_similar_pairs_of_hot_groups(spark):
+    """130 rows of copies and near copies in which each shingle is in over 100 texts, against brute force."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:59] + [f"x{i // 65}"]) for i in range(130)]  # two sets, 65 rows each
+    texts += [" ".join([f"v{i}" for i in range(k, k + 45)]) for k in range(0, 30, 3)] + ["short text"]  # sliding sets
+    df = spark.createDataFrame([(i, t, f"id{i}", f"T{i}", f"C{i}") for i, t in enumerate(texts)], "ord long, description string, id string, title string, company string")
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)], strict=False)) if len(t.split()) >= 30 else None for t in texts]
+    like = lambda x, y: bool(x and y) and len(x & y) / len(x | y) >= 0.8
+    wanted = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if like(sets[i], sets[j])]
+    assert sorted(map(tuple, similar.similar_pairs(df).collect())) == wanted and len(wanted) > 130 * 129 // 2
+    odd, even = df.where("ord % 2 = 1"), df.where("ord % 2 = 0")
+    across = [(i, j) for i in range(1, len(texts), 2) for j in range(0, len(texts), 2) if like(sets[i], sets[j])]
+    assert sorted(map(tuple, similar.similar_pairs(odd, even).collect())) == across
+    excluded = similar.exclude_near_duplicates(odd, even).where("excluded = 'similar_text'").select("ord").collect()
+    assert sorted(r["ord"] for r in excluded) == sorted({i for i, _ in across})
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        for i, j in wanted:
+            root[i] = root[j] = min(root[i], root[j])
+    assert sorted(map(tuple, similar.job_groups(df).collect())) == list(enumerate(root))
+
+
 def raw(spark, rows, **also):
     names = list(also)
     return spark.createDataFrame([(json.dumps(r), *also.values()) for r in rows], ["raw", *names]) if names else spark.createDataFrame([(json.dumps(r),) for r in rows], "raw string")
