@@ -22,11 +22,12 @@ from .common import map_texts
 #: A comment, declaration, element whose content isn't text, or tag; quoted attribute values may hold ">".
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|head|title|select|xmp|noembed|noframes|audio|video|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|title|select|xmp|noembed|noframes|audio|video|canvas)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 #: Elements that flow within a block; any other tag starts a new one.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +40,15 @@ FURNITURE_WORDS = frozenset(
     "disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related recommended "
     "reply replies respond search share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets complementary alert".split()
 )
-SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
+#: Words that only say where or what kind of part it is: "site-footer" is a footer, "has-sidebar" isn't a sidebar.
+PLACE_WORDS = frozenset("area bar block bottom box button buttons container form global icon icons inner item left link links list main message overlay page panel post posts primary right secondary section site text top wrap wrapper user".split())
+CAMEL = re.compile(r"([a-z])([A-Z])")
+
+
+def _furniture(token: str) -> bool:
+    """Whether a class, id or role as a whole names furniture: a word for it, alone or with words of place."""
+    words = [w for w in CAMEL.sub(r"\1-\2", token).lower().replace("_", "-").split("-") if w]
+    return any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in PLACE_WORDS for w in words)
 
 
 def _marks(tag: str, attributes: str) -> int:
@@ -52,21 +61,22 @@ def _marks(tag: str, attributes: str) -> int:
         mark = 0
     if attributes and tag not in ("body", "html"):
         for name, value in ATTRIBUTE.findall(attributes):
-            if name.lower() in ("class", "id", "role", "aria-label"):
-                words = set(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower().replace("-", " ").replace("_", " ").strip("\"'").split())
-                if words & FURNITURE_WORDS:
+            name, value = name.lower(), value.strip("\"'")
+            if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and UNSEEN.search(value):
+                return 1
+            if name in ("class", "id", "role", "aria-label"):
+                tokens = value.split()
+                if tag not in MAIN and any(map(_furniture, tokens)):
                     return 1
-                if name.lower() == "role" and "main" in words:
+                if name == "role" and "main" in (t.lower() for t in tokens):
                     mark = 2
-        if re.search(r"\b(?:hidden|aria-hidden\s*=\s*[\"']?true)\b", attributes, re.I) or re.search(r"display\s*:\s*none", attributes, re.I):
-            return 1
     return mark
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     """(text, words, link density, in furniture, in main text) of each text block, in page order."""
     out: list[tuple[str, int, float, bool, bool]] = []
-    stack: list[tuple[str, int]] = []  # open block elements and their marks
+    stack: list[tuple[str, int]] = []  # open block elements and their marks; inline ones from a marked one on
     text: list[str] = []
     linked = furniture = main = anchors = 0
     at = 0
@@ -99,8 +109,24 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             text.append(" ")
         elif tag == "a":
             anchors = 0 if closing else 1
-        elif tag in INLINE and (closing or not _marks(tag, m[4])):
-            continue
+        elif tag in INLINE:
+            if closing:
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] in INLINE and stack[k][0] != tag:
+                    k -= 1
+                if k >= 0 and stack[k][0] == tag:
+                    if any(mark for _, mark in stack[k:]):
+                        flush()
+                    for _, mark in stack[k:]:
+                        count(mark, -1)
+                    del stack[k:]
+            elif tag not in VOID and not m[4].endswith("/"):
+                mark = _marks(tag, m[4])
+                if mark:
+                    flush()
+                    count(mark, 1)
+                if mark or stack and stack[-1][0] in INLINE:
+                    stack.append((tag, mark))
         elif closing:
             flush()
             if any(t == tag for t, _ in stack):
@@ -113,8 +139,13 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             flush()
             if tag in VOID or m[4].endswith("/") and tag not in ("p", "div", "a"):
                 continue
-            if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # an end tag left out
-                count(stack.pop()[1], -1)
+            k = len(stack) - 1
+            while k >= 0 and stack[k][0] in INLINE:
+                k -= 1
+            if k >= 0 and stack[k][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # an end tag left out
+                for _, mark in stack[k:]:
+                    count(mark, -1)
+                del stack[k:]
             mark = _marks(tag, m[4])
             stack.append((tag, mark))
             count(mark, 1)

@@ -278,6 +278,28 @@ def test_odd_pages(spark):
     assert (html_text.classify(html_text.train_tree(x, y), x) == y).all()
 
 
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<article><span class=byline>By A</span> first <p>second</p></article>", "first\n\nsecond"),
+        ("<article><p>one <i aria-hidden=true></i> two <span class='share'>Share <span>it</span> now</span> three</p></article>", "one\n\ntwo\n\nthree"),
+        ("<article><span class=notice><b>n<div>m</div></b></span><p>a</p></article>", "a"),
+        ("<article><p>a <img class=share> b <span hidden>c</span> d</p></article>", "a b\n\nd"),
+        ("<article><div style='overflow:hidden'>a</div><div class='overflow-hidden'>b</div><div aria-hidden='false'>c</div></article>", "a\n\nb\n\nc"),
+        ("<article><div hidden>a</div><div aria-hidden='true'>b</div><div style='display: none'>c</div><p>d</p></article>", "d"),
+        ("<article class='post has-sidebar comments-open'><p>a</p></article>", "a"),
+        ("<main class='sidebar'><p>a</p><div class='site-footer'>b</div><div id='cookie-banner'>c</div></main>", "a"),
+        ("<html><head><title>t</title><meta charset=utf-8><body><article><p>a</p></article>", "a"),
+        ("<head><script>x='<p>'</script><style>p{}</style><link rel=x><article><p>a</p></article>", "a"),
+        ("<article><title-card>a</title-card><p>b</p><svg/><p>c</p><svg class='x' /><p>d</p></article>", "a\n\nb\n\nc\n\nd"),
+        ("<article><ul><li>a <span class=share>b<li>c</ul></article>", "a\n\nc"),
+        ("<article><p>a</p><svg><text>no</text></svg><p>b</p></article>", "a\n\nb"),
+    ],
+)
+def test_main_text_is_whole(page, wanted):
+    assert html_text.main_text(page, html_text.train_tree(*html_text.labelled_table())) == wanted
+
+
 # --- chat formatting ------------------------------------------------------------------------------------------------
 
 
