@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, text_of, written
 
-#: A line that more distinct documents of a host hold is boilerplate.
-MAX_DOCUMENTS = 200
+#: A line that more distinct documents of a host hold is boilerplate: a low floor, which hosts of a few documents reach too.
+MAX_DOCUMENTS = 10
 #: A document is depleted with fewer words left than this, or than this share of its words.
 MIN_WORDS_LEFT, MIN_PERCENT_LEFT = 20, 30
 SYMBOLS = "#*$%&|<>"

@@ -219,6 +219,27 @@ def test_frequent_lines(spark):
     assert got[0]["n_boilerplate_words"] == 4 and got[0]["kept"] and not got[100]["kept"]
 
 
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """A folder of documents: of 30 on host a, 29 share a line; of 30 on host b, 10 do; one on a has little else."""
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    body = lambda i: " ".join(f"own{name(i)}x{name(j)}" for j in range(60))
+    long = "All rights reserved by the owners of these pages " + " ".join(f"w{j}" for j in range(60))
+    made = [(i, f"{body(i)}\n Posted by Host  A {i}\n\nlast {name(i)}", "a") for i in range(28)] + [(28, f"{long}\nposted by host a 7", "a"), (29, body(29), "a")]
+    made += [(100 + i, f"{body(i)}\nposted by host a 1" if i < 10 else body(i), "b") for i in range(30)]
+    made += [(200 + i, f"{long}\nfew words {name(i)} left", None) for i in range(11)]
+    folder = tmp_path_factory.mktemp("planted")
+    spark.createDataFrame(made, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder), made
+
+
+def test_production_limit_takes_repeated_lines(spark, planted):
+    got = {r["doc_id"]: r for r in queries.op9_quality_rules(spark, planted[0]).collect()}
+    assert {i for i, r in got.items() if r["n_boilerplate_words"]} == {*range(29), *range(200, 211)}
+    assert got[0]["n_boilerplate_words"] == 5 and got[100]["n_boilerplate_words"] == 0
+    assert got[0]["kept"] and got[28]["kept"] and got[29]["kept"] and not any(got[i]["kept"] for i in range(200, 211))
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
