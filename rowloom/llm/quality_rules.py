@@ -78,6 +78,32 @@ def lines_of(docs: DataFrame, host: str = "source") -> DataFrame:
     return lines.select("doc_id", "host", F.xxhash64("_l").alias("line"), F.size(F.split("_l", " ")).alias("words"))
 
 
+def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
+    """host and line of the lines of lines_of that more than max_documents distinct documents of a host hold."""
+    return lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") > max_documents).select("host", "line")
+
+
+def clean_texts(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """For every row of docs (doc_id, text, host): clean_text, the text of its lines that are not frequent for its host, in
+    their order and as they were; n_words, n_words_left, base_failed and kept.
+
+    Only hashes of lines are joined to find what to take out; a document's own few are then joined to its text. Lines
+    without a word stay. A null doc_id is no document of a line, and its lines stay, as in quality_rules.
+    """
+    docs = docs.select("doc_id", "text", F.coalesce(F.col(host), F.lit("")).alias("host"))
+    lines = written(lines_of(docs, "host"))
+    gone = lines.join(frequent_lines(lines, max_documents), ["host", "line"]).groupBy("doc_id", "host").agg(F.collect_set("line").alias("_gone"))
+    pair = F.zip_with(F.split(text_of(), "\n"), normal_lines(text_of()), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
+    left = F.filter(pair, lambda x: (x["n"] == "") | ~F.array_contains("_gone", F.xxhash64(x["n"])))
+    out = docs.join(gone, ["doc_id", "host"], "left").withColumn("clean_text", F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(F.transform(left, lambda x: x["t"]), "\n")))
+    out = base_rules(out, ("doc_id", "clean_text")).withColumn("n_words_left", F.size(words_of(F.col("clean_text"))).cast("long"))
+    return out.select("doc_id", "clean_text", "n_words", "n_words_left", "base_failed", (~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_words_left"))).alias("kept"))
+
+
+def depleted(words: F.Column, left: F.Column) -> F.Column:
+    return (left < MIN_WORDS_LEFT) | (100 * left < MIN_PERCENT_LEFT * words)
+
+
 def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """For every row of docs (doc_id, text, host): the base figures, n_boilerplate_words, base_failed and kept.
 
@@ -87,13 +113,12 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MA
     """
     docs = docs.select("doc_id", "text", host)
     lines = written(lines_of(docs, host))
-    frequent = lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") > max_documents).select("host", "line")
-    taken = lines.join(frequent, ["host", "line"]).groupBy("doc_id").agg(F.sum("words").alias("_taken"))
+    taken = lines.join(frequent_lines(lines, max_documents), ["host", "line"]).groupBy("doc_id").agg(F.sum("words").alias("_taken"))
     copies = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
     taken = taken.join(copies, "doc_id", "left").select("doc_id", (F.col("_taken") / F.coalesce("_rows", F.lit(1))).cast("long").alias("n_boilerplate_words"))
     out = base_rules(docs).join(taken, "doc_id", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)))
     left = F.col("n_words") - F.col("n_boilerplate_words")
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= MIN_WORDS_LEFT) & (100 * left >= MIN_PERCENT_LEFT * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), left))
 
 
 SQL = rf"""

@@ -240,6 +240,18 @@ def test_production_limit_takes_repeated_lines(spark, planted):
     assert got[0]["kept"] and got[28]["kept"] and got[29]["kept"] and not any(got[i]["kept"] for i in range(200, 211))
 
 
+def test_clean_texts_leave_repeated_lines_out(spark, planted, docs, none):
+    got = {r["doc_id"]: r for r in queries.op9_clean_texts(spark, planted[0]).collect()}
+    for i, text, host in planted[1]:
+        repeated = {"a": "posted by host a", None: "all rights reserved"}.get(host, "none")
+        wanted = "\n".join(x for x in text.split("\n") if not " ".join(x.lower().split()).startswith(repeated))
+        assert got[i]["clean_text"] == wanted and got[i]["n_words_left"] == len(wanted.split())
+    figures = {r["doc_id"]: r for r in queries.op9_quality_rules(spark, planted[0]).collect()}
+    assert len(got) == len(figures) == len(planted[1])
+    assert all(r["kept"] == figures[i]["kept"] and r["n_words"] - r["n_words_left"] == figures[i]["n_boilerplate_words"] for i, r in got.items())
+    assert quality_rules.clean_texts(docs).count() == docs.count() and quality_rules.clean_texts(none).count() == 0
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
