@@ -12,9 +12,11 @@ rare in ordinary ones.
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, text_of
 
-#: Labelled rows that the fit takes to the driver at most, for each label, and characters of each text: the bound of the fit.
-FIT_ROWS, FIT_CHARS = 2_000, 20_000
+#: Labelled rows that the fit takes to the driver at most, for each label, with whole texts: the bound of the fit.
+FIT_ROWS = 2_000
+#: Windows that the ordinary dictionary is trained on at most: those of the smallest hashes over all ordinary texts.
+FIT_WINDOWS = 40_000
 #: Bytes of text in a window, whole words.
 WINDOW = 32
 ORDINARY_BYTES, TOXIC_BYTES = 6_000, 1_024
@@ -92,6 +96,12 @@ def bare(word: bytes) -> bytes:
     return word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
+def sampled(found: Iterable[bytes], most: int) -> list[bytes]:
+    """found in its order if it has at most so many windows, else those of the smallest hashes, wherever they stand."""
+    kept = heapq.nsmallest(most + 1, ((zlib.crc32(x), i, x) for i, x in enumerate(found)))
+    return [x for _, _, x in sorted(kept[:most], key=lambda k: k[1])]
+
+
 def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     """Contents of the ordinary dictionary and of the ordinary and toxic ones together."""
     split = {y: [[bare(w) for w in t.lower().encode().split()] for t, label in rows if label == y] for y in (0, 1)}
@@ -107,7 +117,7 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     rate = len(split[1]) / max(1, len(split[0]))
     marked = {w for w, c in contexts.items() if w and len(c) >= CONTEXTS and holders[w] >= DOCUMENTS and len(c) >= TIMES * rate * (usual[w] + 1)}
     toxic = [s for words in split[1] if len(s := b" %b " % b" ".join(w for w in words if w in marked)) > 2]
-    ordinary = [x for t, y in rows if not y for x in windows(t, 256)][:40_000]
+    ordinary = sampled((x for t, y in rows if not y for x in windows(t, 256)), FIT_WINDOWS)
     base = _dictionary(ordinary, ORDINARY_BYTES) or b" "
     return base, base + _dictionary(toxic, TOXIC_BYTES)
 
@@ -157,20 +167,20 @@ def score_texts(texts: list[str], model: dict) -> list[float]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """Up to rows labelled texts of each label, those of the smallest hashes of doc_id, none held out."""
+    """Up to rows labelled texts of each label, whole, those of the smallest hashes of doc_id, none held out."""
     own = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     chosen = None
     for y in (0, 1):
         some = own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.unionByName(some)
-    found = docs.select("doc_id", F.substring(text_of(), 1, FIT_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
     return [(r["text"], int(r["toxic"])) for r in found.select("text", "toxic").collect()]
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, score (0 to 1) and predicted (1 if score >= 0.5) of every row of docs (doc_id, text).
 
-    The fit takes at most FIT_ROWS rows of each label to the driver; the model (a few KB) is broadcast and whole texts
+    The fit takes at most FIT_ROWS rows of each label to the driver, with whole texts; the model (a few KB) is broadcast and whole texts
     are scored in place, without a shuffle. Null counts as empty; a text without words has one window of distance 0;
     repeated rows get the same score; extra columns are ignored unless kept; an empty table gives an empty result, and
     empty labels a score of one half.

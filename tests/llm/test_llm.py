@@ -274,6 +274,20 @@ def test_held_out_accuracy(spark):
     assert (held["predicted"] == held["toxic"]).mean() > 0.95 and held["score"].between(0, 1).all()
 
 
+def test_fit_takes_whole_texts(spark):
+    long = "word " * 6_000 + "insult"
+    df = spark.createDataFrame([(i, long, 1, i % 2) for i in range(10)], "doc_id long, text string, quality int, toxic int")
+    found = toxicity.labelled_rows(df, df)
+    assert found and {t for t, _ in found} == {long}
+
+
+def test_windows_are_sampled_over_all_texts():
+    found = [b"%d" % i for i in range(1000)]
+    some = toxicity.sampled(iter(found), 100)
+    assert len(some) == 100 and min(map(int, some)) < 100 and max(map(int, some)) > 900
+    assert toxicity.sampled(iter(found), 1000) == found
+
+
 def test_toxicity_of_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)] + [(3, None, None)], "doc_id long, quality int, toxic int")
     assert toxicity.score(spark, docs, labels).where("score BETWEEN 0 AND 1 AND predicted IS NOT NULL").count() == docs.count()
