@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine, as in tests, the warehouse."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df from reliable checkpoint files, so that later plans reread it; lost executors cost nothing that was written.
 
@@ -13,20 +21,43 @@ def written(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir") or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint(eager=True)
 
 
+#: Rows of one key that a task takes in join_one() at least; beyond that and a thousandth of all rows a key is dealt out.
+KEY_ROWS = 2_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: list[str], least: int = KEY_ROWS) -> DataFrame:
+    """rows joined to one, which has a single row for each key. Keys that many rows share don't end in one task.
+
+    rows has to be cheap to reread (written). Keys of more than least rows and more than a thousandth of all, so a
+    thousand at most, are counted and broadcast as hashes; their rows are dealt to as many parts as they need, and their
+    one row is repeated for each part. A plain join does the rest.
+    """
+    total = rows.count()
+    most = max(least, total // 1_000)
+    if total <= most:
+        return rows.join(one, key)
+    hashed = F.xxhash64(*key).alias("_hash")
+    heavy = written(rows.select(hashed).groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("_hash", F.ceil(F.col("n") / most).cast("long").alias("_parts")))
+    if heavy.isEmpty():
+        return rows.join(one, key)
+    dealt = rows.select("*", hashed).join(F.broadcast(heavy), "_hash", "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))))
+    repeated = one.select("*", hashed).join(F.broadcast(heavy), "_hash", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1)))
+    return dealt.drop("_hash", "_parts").join(repeated.drop("_hash", "_parts"), [*key, "_part"]).drop("_part")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a > b). Large: neighbours above a node go to its least neighbour; small: those below, and the node itself."""
     if large:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        out = join_one(near.where("v > u"), least, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        out = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        out = join_one(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), least, ["u"]).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.where("a <> b").distinct()
 
 
@@ -36,7 +67,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round is two joins and two aggregations of edges by node, written to checkpoint files; the driver sees only a
     count and a checksum, by which it knows that nothing moves any more. A hub is reduced by each task before its
-    shuffle and joined by a plain join. No edges give no rows.
+    shuffle, and the edges of a large one are dealt to several tasks (join_one). No edges give no rows.
     """
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
@@ -44,7 +75,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = written(_star(_star(edges, True), False))
+        edges = written(_star(written(_star(edges, True)), False))
         now = mark(edges)
         if now == before:
             break
