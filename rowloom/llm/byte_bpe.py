@@ -128,8 +128,8 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
 
     With decoded also the bytes that the ids decode to, in the same pass, as decode() gives them in one of its own.
 
-    No shuffle. Repeated rows are encoded each; extra columns are ignored unless kept; an empty table gives an empty
-    result. Special strings inside texts are ordinary text.
+    No shuffle. Repeated rows are encoded each; extra columns are ignored unless kept, and kept ones named ids or decoded
+    give way to the results; an empty table gives an empty result. A text of any length is one row of ids. Special strings inside texts are ordinary text.
     """
     get = _coder(spark, ranks_path, pattern)
     fields = [("ids", pa.list_(pa.int32()), "array<int>")] + [("decoded", pa.binary(), "binary")] * decoded
@@ -138,7 +138,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str,
         ids = get().encode(texts)
         return [ids, list(map(get().decode, ids))] if decoded else [ids]
 
-    return map_texts(docs.withColumn("_text", F.col(text)), list(keep), "_text", fields, work, get, 2 << 20)
+    return map_texts(docs, list(keep), text, fields, work, get, 2 << 20)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -25,6 +25,8 @@ LOSS_ROLE = "assistant"
 _ESCAPE = re.compile(r"\\|<(?=\|(?:turn|text|end)\|>)")
 _UNESCAPE = re.compile(r"\\\\|<\\(?=\|(?:turn|text|end)\|>)")
 _READ = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
+#: Conversations that a worker makes at a time.
+ROWS = 64
 WORKER: dict[str, Tokenizer] = {}
 
 
@@ -81,70 +83,99 @@ def format_conversations(spark: SparkSession, rows: DataFrame, tokenizer_path: s
     conversation is the unit that a model reads, so its turns are gathered in one row, however many conversations share
     a first turn; nothing else is gathered.
     """
+    turns, made = _made(spark, rows, tokenizer_path, loss_role)
+    schema = T.StructType([turns.schema["conv_id"], *T._parse_datatype_string("formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>").fields])
+
+    def run(batches):
+        ints = pa.list_(pa.int32())
+        for ids, found in made(batches):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array([f for f, _, _, _ in found], pa.string()),
+                    pa.array([i for _, i, _, _ in found], ints),
+                    pa.array([s[:, 0] for _, _, s, _ in found], ints),
+                    pa.array([s[:, 1] for _, _, s, _ in found], ints),
+                    pa.array([m for _, _, _, m in found], pa.list_(pa.bool_())),
+                ],
+                names=schema.names,
+            )
+
+    return turns.mapInArrow(run, schema)
+
+
+def _made(spark: SparkSession, rows: DataFrame, tokenizer_path: str, loss_role: str):
+    """The turns of each conversation in one row (conv_id, turns), and what makes of batches of them conv_id and, for each
+    conversation, (formatted, ids, spans, mask)."""
     shared = spark.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
     key = hashlib.sha256(shared.value.encode()).hexdigest()
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
     turns = rows.select("conv_id", F.struct("turn", none("role").alias("role"), none("text").alias("text")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    schema = T.StructType([turns.schema["conv_id"], *T._parse_datatype_string("formatted string, ids array<int>, starts array<int>, ends array<int>, mask array<boolean>").fields])
 
-    def run(batches):
+    def made(batches):
         if key not in WORKER:
             WORKER[key] = tokenizer(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                made = [render([(t["role"], t["text"]) for t in x], loss_role) for x in part.column(1).to_pylist()]
-                encoded = WORKER[key].encode_batch([m[0] for m in made], add_special_tokens=False)
-                spans = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in encoded]
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([m[0] for m in made], pa.string()),
-                        pa.array([e.ids for e in encoded], ints),
-                        pa.array([s[:, 0] for s in spans], ints),
-                        pa.array([s[:, 1] for s in spans], ints),
-                        pa.array([masked(s[:, 0], s[:, 1], m[1]) for s, m in zip(spans, made, strict=True)], pa.list_(pa.bool_())),
-                    ],
-                    names=["conv_id", "formatted", "ids", "starts", "ends", "mask"],
-                )
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rendered = [render([(t["role"], t["text"]) for t in x], loss_role) for x in part.column(1).to_pylist()]
+                found = []
+                for text, spans in rendered:
+                    e = WORKER[key].encode(text, add_special_tokens=False)
+                    at_ = np.array(e.offsets, np.int32).reshape(-1, 2)
+                    found.append((text, e.ids, at_, masked(at_[:, 0], at_[:, 1], spans)))
+                yield part.column(0), found
 
-    return turns.mapInArrow(run, schema)
+    return turns, made
 
 
-def loss_texts(formatted: str, starts: list[int], ends: list[int], mask: list[bool]) -> list[str]:
+def loss_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
     """The texts under the mask, unescaped: runs of masked tokens, each from its first start to its last end."""
-    out, last = [], None
-    for a, b, m in zip(starts, ends, mask, strict=True):
-        if not m:
-            if last:
-                out.append(unescape(formatted[last[0] : last[1]]))
-            last = None
-        else:
-            last = (last[0], max(last[1], b)) if last else (a, b)
-    if last:
-        out.append(unescape(formatted[last[0] : last[1]]))
-    return out
+    starts, ends, edges = np.asarray(starts), np.asarray(ends), np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(mask, np.int8), [0]])))
+    return [unescape(formatted[starts[a] : int(ends[a:b].max())]) for a, b in edges.reshape(-1, 2)]
+
+
+DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _digest(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> tuple:
+    """DIGESTS of one conversation, read back from what was made of it alone."""
+    turns = read_back(formatted)
+    loss = "".join(loss_texts(formatted, starts, ends, mask))
+    whole = "".join(f"{r}\n{t}\n" for r, t in turns)
+    return len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)
+
+
+def _digests(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    return pa.RecordBatch.from_arrays([ids, *[pa.array([x[k] for x in found], kinds[k]) for k in range(5)]], names=["conv_id", *[d.split()[0] for d in DIGESTS.split(", ")]])
 
 
 def read_conversations(made: DataFrame) -> DataFrame:
     """What can be read back from format_conversations(): n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-    schema = T.StructType([made.schema["conv_id"], *T._parse_datatype_string("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields])
+    schema = T.StructType([made.schema["conv_id"], *T._parse_datatype_string(DIGESTS).fields])
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out = []
-                for row in part.select(["formatted", "starts", "ends", "mask"]).to_pylist():
-                    turns = read_back(row["formatted"])
-                    loss = "".join(loss_texts(**row))
-                    whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                    out.append((len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(row["formatted"])))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([o[k] for o in out], kinds[k]) for k in range(5)]], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return made.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                columns = part.select(["formatted", "starts", "ends", "mask"]).to_pylist()
+                yield _digests(part.column(0), [_digest(**row) for row in columns])
+
+    return made.select("conv_id", "formatted", "starts", "ends", "mask").mapInArrow(run, schema)
+
+
+def checked_conversations(spark: SparkSession, rows: DataFrame, tokenizer_path: str, loss_role: str = LOSS_ROLE) -> DataFrame:
+    """read_conversations() of format_conversations(), in one pass: what was made of a conversation is read back in the same
+    task, and only the digests leave it."""
+    turns, made = _made(spark, rows, tokenizer_path, loss_role)
+    schema = T.StructType([turns.schema["conv_id"], *T._parse_datatype_string(DIGESTS).fields])
+
+    def run(batches):
+        for ids, found in made(batches):
+            yield _digests(ids, [_digest(f, s[:, 0], s[:, 1], m) for f, _, s, m in found])
+
+    return turns.mapInArrow(run, schema)
 
 
 #: A conversation that shows the escaping; the registered query adds it to the table.

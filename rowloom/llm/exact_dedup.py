@@ -8,19 +8,40 @@ are deduplicated once, by content, into verified identifiers; a document becomes
   chunks by grouping hash and content. Where several contents share a hash, the identifier carries the content as well.
   Equal recipes therefore mean equal texts, whatever the hash function does.
 * Hot groups: a content that a third of the rows share is reduced by each task before the shuffle, to one row a task;
-  the join of rows to their group is a plain join, which adaptive execution splits where one key is large.
+  the rows of a large group are dealt to several tasks when they are joined to its one row (graph.join_one).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.graph import join_one
+
 from .common import SPACE, text_of, written
 
-#: A chunk ends after a space between a character of the first and one of the second class: about one space in forty
-#: of a Latin-script text. Texts without such a place are one chunk.
-ANCHOR = r"(?<=[dgkmpuwyéßóz0-46.;:] )(?=[abfilmquvyé0-3A-M])"
+#: Rows of one group that a task takes at least when rows are joined to their group.
+GROUP_ROWS = 64
+#: A chunk ends before a byte where it and those before it are each in the class of their place. Classes are drawn by
+#: a hash of place and byte (SEED, and SHARE of all bytes), so that texts of any script have chunks of a few
+#: dozen to a few hundred bytes.
+SEED, PLACES, SHARE = 3881, 5, 0.5
+
+
+def byte_classes(seed: int = SEED, places: int = PLACES, share: float = SHARE) -> list[list[int]]:
+    """The bytes of each place. No byte is in all of them, so a run of one byte has no end of a chunk in it."""
+    out = [[b for b in range(256) if hashlib.md5(f"{seed}:{k}:{b}".encode()).digest()[0] < 256 * share] for k in range(places)]
+    return [*out[:-1], [b for b in out[-1] if not all(b in c for c in out[:-1])]]
+
+
+def anchor_pattern(classes: list[list[int]]) -> str:
+    own = ["[" + "".join(f"\\x{b:02x}" for b in c) + "]" for c in classes]
+    return f"(?<={''.join(own[:-1])})(?={own[-1]})"
+
+
+ANCHOR = anchor_pattern(byte_classes())
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -28,9 +49,14 @@ def normalised(text: F.Column) -> F.Column:
     return F.regexp_replace(text, f"{SPACE}+", " ")
 
 
+def as_bytes(text: F.Column) -> F.Column:
+    """The UTF-8 bytes of a text as characters U+0000 to U+00FF."""
+    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+
+
 def chunks(text: F.Column, anchor: str = ANCHOR) -> F.Column:
-    """The chunks of a normalised text, in order; joined they are the text."""
-    return F.split(text, anchor)
+    """The chunks of a normalised text as_bytes(), in order; joined they are the text."""
+    return F.split(as_bytes(text), anchor)
 
 
 def collided(docs: DataFrame, id_hash=F.xxhash64, anchor: str = ANCHOR) -> DataFrame:
@@ -65,13 +91,13 @@ def exact_groups(docs: DataFrame, id_hash=F.xxhash64, anchor: str = ANCHOR) -> D
     tells them apart; a null doc_id stays only in a group without any other. Extra columns of docs are ignored; an empty
     table gives an empty result. Texts of any length: the unit that moves is a chunk.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     clashes = written(collided(docs, id_hash, anchor))
     each = written(recipes(docs, None if clashes.isEmpty() else clashes, id_hash, anchor))
     # a recipe is compared as a whole; its two hashes only spread the rows
     each = each.withColumn("spread", F.xxhash64("recipe"))
     groups = each.groupBy("spread", "recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return each.join(groups, ["spread", "recipe"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return join_one(each, groups, ["spread", "recipe"], GROUP_ROWS).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 SQL = r"""

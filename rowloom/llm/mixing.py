@@ -12,6 +12,7 @@ right, and without an active bound the first already hits the targets.
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -141,31 +142,43 @@ def copies(r: F.Column, key: F.Column, seed: int = 2) -> F.Column:
     return (F.floor(r) + (u < r - F.floor(r)).cast("int")).cast("int")
 
 
-def _prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: F.Column | None):
-    """The domain model, the memberships of all rows (doc_id, n_tokens, p, small, written) and the steps."""
-    model = fit_domains(docs, labels, list(targets), domain)
-    texts = docs.select("doc_id", text_of().alias("_t"))
-    members = written(with_posterior(texts.withColumn("n_tokens", n_tokens(F.col("_t"))), "_t", model).select("doc_id", "n_tokens", "p"))
-    steps, report = fit_rates(members, targets)
-    return model, members, steps, report
-
+def _prepared(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: F.Column | None, keep: list[str], report: dict | None) -> tuple[DataFrame, list[list[float]]]:
+    """Written: kept (a struct of the columns keep), key, n_tokens and p of every row; and the steps of its rates.
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: F.Column | None = None) -> DataFrame:
+    Texts are judged once. Targets that aren't met give a warning, and what was met is put into report.
+    """
+    model = fit_domains(docs, labels, list(targets), domain)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("doc_id").alias("key"), text_of().alias("_t"))
+    members = written(with_posterior(own.withColumn("n_tokens", n_tokens(F.col("_t"))), "_t", model).select("kept", "key", "n_tokens", "p"))
+    steps, found = fit_rates(members, targets)
+    found["met"] = all(abs(a - b) <= 10 * TOLERANCE * found["budget"] for a, b in zip(found["totals"], found["wanted"], strict=True))
+    if not found["met"]:
+        warnings.warn(f"target weights are out of reach: tokens {found['totals']} for {found['wanted']}", stacklevel=3)
+    if report is not None:
+        report.update(found)
+    return members, steps
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: F.Column | None = None, report: dict | None = None) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_tokens, p_<domain> for each domain of targets, rate and copies.
 
     Null texts count as empty: no tokens, and the rate of their posterior. Repeated rows have the same rate and the same
     draw. Extra columns are ignored; an empty table gives an empty result. Targets out of reach (a domain without
-    documents) give the nearest totals.
+    documents) give the nearest totals and a warning; report, if given, receives budget, wanted, totals, steps and met.
     """
     targets = targets or TARGETS
-    _, members, steps, _ = _prepared(docs, labels, targets, domain)
-    out = members.select("doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(targets)], rate(F.col("p"), steps).alias("rate"))
+    members, steps = _prepared(docs, labels, targets, domain, ["doc_id"], report)
+    out = members.select("kept.doc_id", "n_tokens", *[F.element_at("p", i + 1).alias(f"p_{d}") for i, d in enumerate(targets)], rate(F.col("p"), steps).alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: F.Column | None = None) -> DataFrame:
-    """docs with every row as often as its copies, columns unchanged; texts don't leave their partition."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: F.Column | None = None, report: dict | None = None) -> DataFrame:
+    """docs with every row as often as its copies, columns unchanged, whatever their names; nothing is shuffled.
+
+    Rows are written once with their posteriors, so that texts are judged once. Null and empty texts, repeated rows, an
+    empty table and targets out of reach are treated as mixing_rates() does.
+    """
     targets = targets or TARGETS
-    model, _, steps, _ = _prepared(docs, labels, targets, domain)
-    taken = with_posterior(docs.withColumn("_t", text_of()), "_t", model, "_p").withColumn("_n", copies(rate(F.col("_p"), steps), F.col("doc_id")))
-    return taken.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_n")))).select(docs.columns)
+    members, steps = _prepared(docs, labels, targets, domain, docs.columns, report)
+    taken = members.select("kept", copies(rate(F.col("p"), steps), F.col("key")).alias("n"))
+    return taken.select("kept", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("each")).select(*[F.col(f"kept.`{c}`").alias(c) for c in docs.columns])

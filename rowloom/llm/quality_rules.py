@@ -3,8 +3,10 @@
 Lines are normalised and hashed; for every host the distinct documents that hold a line are counted; lines above a limit
 are taken out, and documents that are left with too little are rejected. Base rules on words come first.
 
+* Texts are read once: a row's figures and the hashes of its lines are written, and all that follows works on those.
 * Hot lines and hosts: a task reduces its lines to one row for each (host, line, document) before the shuffle, and that
   shuffle goes by document as well, so that a line which a third of the documents share is spread; only counts meet.
+  Where lines are joined to the frequent ones, those of a hot line are dealt to several tasks (graph.join_one).
 * The limit is a number of documents, the same at every size.
 """
 
@@ -13,12 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.operators.graph import join_one
+
 from .common import SPACE, text_of, written
 
 #: A line that more distinct documents of a host hold is boilerplate: a low floor, which hosts of a few documents reach too.
 MAX_DOCUMENTS = 10
 #: A document is depleted with fewer words left than this, or than this share of its words.
 MIN_WORDS_LEFT, MIN_PERCENT_LEFT = 20, 30
+#: Lines of one text that a task takes at least when lines are joined to the frequent ones.
+LINE_ROWS = 1_000
 SYMBOLS = "#*$%&|<>"
 #: What a word has.
 WORD = r"[^\x20\x09-\x0D]"
@@ -57,30 +63,48 @@ def with_repeated_words(df: DataFrame, words: str, into: str) -> DataFrame:
 
 
 def base_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row."""
-    t = docs.select(*keep, text_of().alias("_t"))
-    t = t.select(*keep, "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_l"))
+    """keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed of every row.
+
+    Kept columns may have any names; one with the name of a figure gives way to it.
+    """
+    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in figures)
+    t = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("_kept"), text_of().alias("_t"))
+    t = t.select("_kept", "_t", words_of(F.col("_t")).alias("_w"), F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_l"))
     t = with_repeated_words(t, "_w", "n_repeat_words")
     out = t.select(
-        *keep,
+        "_kept",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return out.select(*[F.col(f"_kept.`{c}`").alias(c) for c in keep], *figures[:-1], failed.alias("base_failed"))
+
+
+def line_hashes(text: F.Column) -> F.Column:
+    """(hash, words) of every normalised line with a word, in order."""
+    found = F.filter(normal_lines(text), lambda x: x != "")
+    return F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
 
 
-def lines_of(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, line (hash) and words of every distinct normalised line with a word; words counts its repeats."""
-    lines = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(normal_lines(text_of())).alias("_l")).where("_l <> ''")
-    return lines.select("doc_id", "host", F.xxhash64("_l").alias("line"), F.size(F.split("_l", " ")).alias("words"))
+def measured(docs: DataFrame, host: str = "source", figures: bool = True) -> DataFrame:
+    """Written: a number for each row of docs (row), doc_id, host (null: empty), its line_hashes (lines), and its base
+    figures if wanted."""
+    own = docs.select("doc_id", "text", F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("host"))
+    own = own.withColumn("lines", line_hashes(text_of()))
+    own = base_rules(own, ("doc_id", "host", "lines")) if figures else own.drop("text")
+    return written(own.withColumn("row", F.monotonically_increasing_id()))
 
 
-def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
-    """host and line of the lines of lines_of that more than max_documents distinct documents of a host hold."""
-    return lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") > max_documents).select("host", "line")
+def taken_lines(rows: DataFrame, max_documents: int) -> DataFrame:
+    """row, doc_id, host, line and words of the lines of measured() rows that more than max_documents distinct documents
+    of their host hold; a null doc_id is no document, but loses such lines like any other."""
+    lines = rows.select("row", "doc_id", "host", F.explode("lines").alias("x")).select("row", "doc_id", "host", "x.line", "x.words")
+    frequent = lines.groupBy("host", "line").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") > max_documents).select("host", "line")
+    return join_one(lines, written(frequent), ["host", "line"], LINE_ROWS)
 
 
 def clean_texts(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
@@ -88,15 +112,17 @@ def clean_texts(docs: DataFrame, host: str = "source", max_documents: int = MAX_
     their order and as they were; n_words, n_words_left, base_failed and kept.
 
     Only hashes of lines are joined to find what to take out; a document's own few are then joined to its text. Lines
-    without a word stay. A null doc_id is no document of a line, and its lines stay, as in quality_rules.
+    without a word stay. Null texts are empty; a null host is a host of its own; rows repeated under one doc_id, null
+    among them, count once for a line's documents and each loses its own lines. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(F.col(host), F.lit("")).alias("host"))
-    lines = written(lines_of(docs, "host"))
-    gone = lines.join(frequent_lines(lines, max_documents), ["host", "line"]).groupBy("doc_id", "host").agg(F.collect_set("line").alias("_gone"))
+    rows = measured(docs, host, figures=False)
+    gone = taken_lines(rows, max_documents).groupBy("doc_id", "host").agg(F.collect_set("line").alias("_gone"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.col(f"`{host}`"), F.lit("")).alias("host"))
+    found = docs.join(gone.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), "_gone"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("host") == F.col("_host")), "left")
     pair = F.zip_with(F.split(text_of(), "\n"), normal_lines(text_of()), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
     left = F.filter(pair, lambda x: (x["n"] == "") | ~F.array_contains("_gone", F.xxhash64(x["n"])))
-    out = docs.join(gone, ["doc_id", "host"], "left").withColumn("clean_text", F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(F.transform(left, lambda x: x["t"]), "\n")))
-    out = base_rules(out, ("doc_id", "clean_text")).withColumn("n_words_left", F.size(words_of(F.col("clean_text"))).cast("long"))
+    clean = F.when(F.col("_gone").isNull(), text_of()).otherwise(F.array_join(F.transform(left, lambda x: x["t"]), "\n"))
+    out = base_rules(found.withColumn("clean_text", clean), ("doc_id", "clean_text")).withColumn("n_words_left", F.size(words_of(F.col("clean_text"))).cast("long"))
     return out.select("doc_id", "clean_text", "n_words", "n_words_left", "base_failed", (~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_words_left"))).alias("kept"))
 
 
@@ -107,16 +133,13 @@ def depleted(words: F.Column, left: F.Column) -> F.Column:
 def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """For every row of docs (doc_id, text, host): the base figures, n_boilerplate_words, base_failed and kept.
 
-    Null texts have no words and fail; a null host is a host of its own. A row repeated under one doc_id counts once for
-    a line's documents and gets the same verdict. Extra columns are ignored; an empty table gives an empty result. Texts
-    of any length: all steps are linear in the words, but for sorting.
+    Null texts have no words and fail; a null host is a host of its own. Rows repeated under one doc_id, null among them,
+    count once for a line's documents, and each has its own figures and verdict. Extra columns are ignored; an empty
+    table gives an empty result. Texts of any length: all steps are linear in the words, but for sorting.
     """
-    docs = docs.select("doc_id", "text", host)
-    lines = written(lines_of(docs, host))
-    taken = lines.join(frequent_lines(lines, max_documents), ["host", "line"]).groupBy("doc_id").agg(F.sum("words").alias("_taken"))
-    copies = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    taken = taken.join(copies, "doc_id", "left").select("doc_id", (F.col("_taken") / F.coalesce("_rows", F.lit(1))).cast("long").alias("n_boilerplate_words"))
-    out = base_rules(docs).join(taken, "doc_id", "left").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0)))
+    rows = measured(docs, host)
+    taken = taken_lines(rows, max_documents).groupBy("row").agg(F.sum("words").cast("long").alias("n_boilerplate_words"))
+    out = rows.drop("host", "lines").join(taken, "row", "left").drop("row").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_boilerplate_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), left))
 

@@ -49,7 +49,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(chat_format.PROBE_TEXT).alias("text"),
     )
-    return chat_format.read_conversations(chat_format.format_conversations(spark, rows.unionByName(probe), public_tokenizers.path(CHAT_MODEL)))
+    return chat_format.checked_conversations(spark, rows.unionByName(probe), public_tokenizers.path(CHAT_MODEL))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

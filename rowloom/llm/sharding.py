@@ -61,10 +61,9 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     No shuffle: the table is broadcast, 8 bytes a slot. Rows of one key share a shard, repeated rows included; a null key
     goes where the empty text goes. Extra columns stay; an empty table gives an empty result.
     """
-    rest = df.drop("slot", "shard") if key not in ("slot", "shard") else df.withColumn("_key", F.col(key)).drop("slot", "shard")
-    key = "_key" if key in ("slot", "shard") else key
-    out = rest.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(lookup(df.sparkSession, fill(shards, slots))), "slot", "left")
-    return out.select(*[c for c in rest.columns if c != "_key"], "slot", "shard")
+    rest = [c for c in df.columns if c not in ("slot", "shard")]
+    own = df.select(*[F.col(f"`{c}`") for c in rest], slot_of(F.col(key), slots).alias("slot"))
+    return own.join(F.broadcast(lookup(df.sparkSession, fill(shards, slots))), "slot", "left").select(*[F.col(f"`{c}`") for c in rest], "slot", "shard")
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: list[str], files_per_shard: int = 4) -> None:

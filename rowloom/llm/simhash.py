@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.graph import components
+from rowloom.operators.graph import components, join_one
 
 from .common import map_texts, written
 
@@ -29,6 +29,8 @@ WORDS, SEED, DISTANCE = 3, 42, 2
 #: Cells with more fingerprints go the way that pairs none off.
 PAIRED_CELL = 24
 SEGMENTS = 32
+#: Fingerprints that one task puts on the grid at most, on average.
+NODES_PER_TASK = 50_000
 
 
 def fingerprint(text: str, n: int = WORDS, seed: int = SEED) -> int:
@@ -58,7 +60,7 @@ def fingerprint(text: str, n: int = WORDS, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and fp (the fingerprint's 64 bits as a signed integer) of every row; null counts as empty."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return map_texts(docs.withColumn("_text", F.col("text")), list(keep), "_text", [("fp", pa.int64(), "long")], lambda texts: [[signed(fingerprint(t)) for t in texts]])
+    return map_texts(docs, list(keep), "text", [("fp", pa.int64(), "long")], lambda texts: [[signed(fingerprint(t)) for t in texts]])
 
 
 def point(fp: F.Column) -> F.Column:
@@ -82,7 +84,10 @@ def _signed(x: int) -> int:
 def links(nodes: DataFrame, paired_cell: int = PAIRED_CELL) -> DataFrame:
     """Pairs (a, b) of different fingerprints of nodes (fp, distinct) within two bits: all such pairs from cells of up to
     paired_cell, from larger ones enough that the same fingerprints are connected."""
-    cells = nodes.select("fp", point(F.col("fp")).alias("p")).select("fp", F.explode(around(F.col("p"))).alias("cell"))
+    n = nodes.count()
+    tasks = max(n // NODES_PER_TASK, min(n // 1_000, nodes.sparkSession.sparkContext.defaultParallelism)) + 1
+    dealt = nodes.repartition(tasks, "fp")  # each task makes 49 times its rows
+    cells = dealt.select("fp", point(F.col("fp")).alias("p")).select("fp", F.explode(around(F.col("p"))).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = written(cells.join(sizes, "cell"))
     few = sized.where(F.col("n") <= paired_cell)
@@ -104,10 +109,10 @@ def near_groups(docs: DataFrame, paired_cell: int = PAIRED_CELL) -> DataFrame:
     is one shingle. Repeated rows and equal texts share a fingerprint and so a component. Extra columns are ignored; an
     empty table gives an empty result. Texts of any length: shingles are hashed in blocks.
     """
-    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    prints = written(fingerprints(docs.select("doc_id", "text")))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = components(links(nodes.select("fp"), paired_cell))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = join_one(written(rooted.select("fp", "root")), firsts, ["root"]).select("fp", "component_id")
+    return join_one(prints, named, ["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

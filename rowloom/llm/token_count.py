@@ -3,9 +3,9 @@
 A text is cut into pre-tokens at which the tokenizer's merges never join: before a run of spaces, and around characters
 that no longer piece holds. The number of tokens of a text is the sum over its pre-tokens.
 
-* Tier 1, broadcast: a table of frequent pre-tokens with their lengths in tokens. The vocabulary itself says which they
-  are (its whole words and common punctuation), so the table needs no pass over the corpus, is the same at every size and is
-  bounded by the vocabulary.
+* Tier 1, broadcast: a table of the FREQUENT most frequent pre-tokens with their lengths in tokens, as counted over whole
+  texts of a bounded sample (about SAMPLE documents, drawn over all of the corpus; each task sends counts of at most
+  TASK_ENTRIES pre-tokens).
 * Tier 2: each worker keeps the lengths of pre-tokens that it had to encode, in a cache of bounded size.
 
 The result doesn't depend on what either tier holds.
@@ -13,6 +13,7 @@ The result doesn't depend on what either tier holds.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 
@@ -26,6 +27,8 @@ from .common import map_texts, text_of
 #: Entries of a worker's cache; it starts anew when full. Longer pre-tokens aren't kept.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 LIMIT = 4096
+#: Documents that the sample for tier 1 has about, pre-tokens that a task sends, and pre-tokens of the table.
+SAMPLE, TASK_ENTRIES, FREQUENT = 1_000, 2_048, 50_000
 MARK = "▁"
 #: What this worker process keeps from task to task: a Counter for each model.
 WORKER: dict[str, Counter] = {}
@@ -55,7 +58,6 @@ class Counter:
     def __init__(self, model: bytes, frequent: dict[str, int] | None = None):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()) if not self.sp.is_byte(i) and not self.sp.is_control(i) and not self.sp.is_unknown(i)]
-        self.words = [p for p in pieces if len(p) > 1 and p[0] == MARK and p[1:].isalpha()]
         self.find = cut_pattern(pieces).findall
         self.frequent, self.cache = frequent or {}, {}
 
@@ -72,13 +74,12 @@ class Counter:
     def newline(self) -> int:
         return self.__dict__.setdefault("_newline", len(self.sp.encode("\n", num_threads=1)))
 
-    def table(self) -> dict[str, int]:
-        """Tier 1: whole-word pieces and common punctuation."""
-        keys = self.words + [s for s in ",.;:!?'\"()-" if len(self.find(s)) == 1]
-        return dict(zip(keys, self.lengths(keys), strict=True)) | {"\n": self.newline - 1}
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        return self.find(MARK + text.replace(" ", MARK)) if text else []
 
     def counts(self, texts: list[str]) -> list[int]:
-        cut = [self.find(MARK + t.replace(" ", MARK)) if t else () for t in texts]
+        cut = list(map(self.cut, texts))
         known, cache = self.frequent.get, self.cache
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
@@ -92,22 +93,44 @@ class Counter:
         return [sum(own[p] if p.__class__ is str else p for p in x) for x in parts]
 
 
+def frequent_pretokens(docs: DataFrame, model: bytes, text: str = "text") -> list[str]:
+    """Pre-tokens of a sample of docs, the most frequent first. The rows of a task are counted there, so none is shuffled."""
+    total = docs.count()
+    some = docs.sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=1) if total > SAMPLE else docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        counter, found = Counter(shared.value), collections.Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found.update(counter.cut(t or ""))
+        top = found.most_common(TASK_ENTRIES)
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["p", "n"])
+
+    sent = some.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "p string, n long").toArrow()
+    best = sent.group_by("p").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("p", "ascending")])
+    return [p for p in best.column("p").slice(0, FREQUENT).to_pylist() if len(p) <= CACHE_CHARS]
+
+
 def count_tokens(spark: SparkSession, docs: DataFrame, model_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_bytes and n_tokens of every row, as the library counts the whole text, without added tokens.
 
-    Null counts as empty: no bytes, no tokens. Repeated rows are counted each; extra columns are ignored; an empty table
-    gives an empty result. Texts are taken in slices of a few MB, a longer one alone.
+    Null counts as empty: no bytes, no tokens. Repeated rows are counted each; extra columns are ignored unless kept, and
+    kept ones named n_bytes or n_tokens give way to the results; an empty table gives an empty result. Texts are taken in
+    slices of a few MB, a longer one alone.
     """
     model = open(model_path, "rb").read()
-    shared = spark.sparkContext.broadcast((model, Counter(model).table()))
-    key = hashlib.sha256(model).hexdigest()
+    counter, frequent = Counter(model), frequent_pretokens(docs, model, text)
+    shared = spark.sparkContext.broadcast((model, dict(zip(frequent, counter.lengths(frequent), strict=True))))
+    key = hashlib.sha256(model + repr(sorted(frequent)).encode()).hexdigest()
 
     def setup() -> None:
         if key not in WORKER:
+            WORKER.clear()
             WORKER[key] = Counter(*shared.value)
 
-    counted = map_texts(docs.select(*keep, F.octet_length(text_of(text)).cast("long").alias("n_bytes"), F.col(text).alias("_text")), [*keep, "n_bytes"], "_text", [("n_tokens", pa.int64(), "long")], lambda texts: [WORKER[key].counts(texts)], setup)
-    return counted
+    own = docs.withColumn("n_bytes", F.octet_length(text_of(text)).cast("long"))
+    return map_texts(own, [*keep, "n_bytes"], text, [("n_tokens", pa.int64(), "long")], lambda texts: [WORKER[key].counts(texts)], setup)
 
 
 def with_limit(counted: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -86,9 +86,10 @@ def test_token_counts(spark, docs, none, real):
 def test_token_counts_of_random_texts():
     model = open(public_tokenizers.path(queries.PIECE_MODEL), "rb").read()
     sp, counter = sentencepiece.SentencePieceProcessor(model_proto=model), token_count.Counter(model)
-    tiers = token_count.Counter(model, counter.table())
     random.seed(3)
     texts = ["".join(random.choice(" \n\t\r▁ab.,é界<>s/1 2'A\x00 ﬁ(») ") for _ in range(random.randint(0, 14))) for _ in range(5000)]
+    frequent = sorted({p for t in texts[::2] for p in counter.cut(t)})
+    tiers = token_count.Counter(model, dict(zip(frequent, counter.lengths(frequent), strict=True)))
     wanted = [len(x) for x in sp.encode(texts, num_threads=1)]
     assert counter.counts(texts) == wanted == tiers.counts(texts)
 
@@ -183,7 +184,7 @@ def test_collided_chunks_are_told_apart(docs, real):
 
 def test_chunks_join_to_the_text(real):
     t = exact_dedup.normalised(F.col("text"))
-    assert real.where(F.array_join(exact_dedup.chunks(t), "") != t).count() == 0
+    assert real.where(F.array_join(exact_dedup.chunks(t), "") != exact_dedup.as_bytes(t)).count() == 0
 
 
 # --- sharding -------------------------------------------------------------------------------------------------------
@@ -363,6 +364,7 @@ def test_conversations(spark):
         loss = "".join(x for _, r, x in turns if r == "assistant")
         wanted[c] = (len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert {r["conv_id"]: tuple(r)[1:5] for r in out.collect()} == wanted
+    assert rows(chat_format.checked_conversations(spark, df, public_tokenizers.path(queries.CHAT_MODEL)).toPandas()) == rows(out.toPandas())
     assert chat_format.format_conversations(spark, df.limit(0), public_tokenizers.path(queries.CHAT_MODEL)).count() == 0
 
 
