@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +68,16 @@ def term_hits(texts: DataFrame, lexicon: DataFrame, longest: int = 4) -> DataFra
     return texts.select("id", F.explode(let(words, grams)).alias("term")).join(lexicon.select("term", "ord", "key"), "term").select("id", "ord", "key").distinct()
 
 
-def skills_of(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """id and skills (array in the lexicon's order) of every text, empty where none is found."""
-    found = term_hits(texts, lexicon).groupBy("id").agg(F.transform(F.sort_array(F.collect_set(F.struct("ord", "key"))), lambda x: x["key"]).alias("skills"))
-    return texts.select("id").distinct().join(found, "id", "left").withColumn("skills", F.coalesce("skills", F.array().cast("array<string>")))
+def skills_of(texts: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """texts (id, text) with skills (array in the lexicon's order), empty where none is found; every row by itself, whatever
+    its id. One expression a term: a lexicon of some hundred terms, given by the caller. term_hits() is for larger ones."""
+    lexicon = SKILLS if lexicon is None else lexicon
+
+    def found(words: Column) -> Column:
+        named = [F.when(reduce(or_, (has_term(words, t) for t in dict.fromkeys(terms))), F.lit(k)) for k, terms in lexicon.items() if terms]
+        return F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
+
+    return texts.select("id", let(word_text(F.col("text")), found).alias("skills"))
 
 
 def compare_skills(wanted: DataFrame, have: list[str]) -> DataFrame:

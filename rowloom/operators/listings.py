@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions import urls
+
 from rowloom.functions.text import is_fresh, parse_time
 from rowloom.functions.urls import ats_of, same_url
 
@@ -34,3 +36,12 @@ def merge_listings(cache: DataFrame, new: DataFrame, cutoff: Column, now: Column
 def discovery_counts(routed: DataFrame) -> DataFrame:
     """Listings handed to each source, and kept."""
     return routed.groupBy(F.coalesce("handed", F.lit("kept")).alias("origin")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("links"))
+
+
+def unique_links(*found: DataFrame) -> DataFrame:
+    """Links (link) of any number of searches, parsed and united: one row (ats, slug, job_id, url) for each job."""
+    rows = found[0].select("link")
+    for df in found[1:]:
+        rows = rows.unionByName(df.select("link"))
+    parsed = rows.select(urls.parse_link(F.col("link")).alias("p")).where("p IS NOT NULL").select("p.*")
+    return parsed.groupBy("ats", F.lower("slug").alias("slug"), "job_id").agg(F.min("url").alias("url"))

@@ -104,16 +104,26 @@ def due_counts(state: DataFrame, today: int, ghost: int = GHOST_DAYS) -> DataFra
     return state.agg(F.count_if((F.col("stage") == "applied") & ~F.coalesce(due <= today, F.lit(False)) & (today - F.col("last_day") >= ghost)).alias("quiet"))
 
 
-def digest_row(items: DataFrame, names: int = 20) -> DataFrame:
-    """One row of subject and counts, none when nothing is new. The subject names the companies of today's items,
-    the first of them in order, and how many more there are; the list is cut by a ranking, not gathered whole."""
-    per = items.groupBy().agg(F.count_if("new").alias("n_new"), F.count_if(F.col("bucket") == "today").alias("n_today"), F.count_if(F.col("bucket") == "overdue").alias("n_overdue"), F.count_if(F.col("bucket") == "this_week").alias("n_calls"))
-    first = items.where("bucket = 'today' OR new").groupBy("company").agg(F.min(F.struct("sort_day", "id")).alias("_o")).orderBy("_o").limit(names)
-    listed = first.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_o", "company"))), lambda x: x["company"]), ", ").alias("companies"))
+def digest_row(items: DataFrame) -> DataFrame:
+    """One row of subject and counts, none when nothing is new.
+
+    The subject names the companies of today's items, else those of the new ones and since when, each once and in the
+    order of its items. It is the text of one mail, so it holds every company that is named in it.
+    """
+    order = F.struct("sort_day", F.lower("company").alias("name"), "id")
+    name = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.coalesce("company", F.lit("")), r"\s+", " ")), F.lit("")), F.lit("—"))
+    kinds = {"today": F.col("bucket") == "today", "new": F.col("new")}
+    per = items.groupBy().agg(
+        F.count_if("new").alias("n_new"), F.count_if(kinds["today"]).alias("n_today"), F.count_if(F.col("bucket") == "overdue").alias("n_overdue"),
+        F.count_if(F.col("bucket") == "this_week").alias("n_calls"), F.min(F.when(F.col("new"), F.col("sort_day"))).alias("since"),
+    )
+    first = items.groupBy(name.alias("name")).agg(*[F.min(F.when(which, order)).alias(k) for k, which in kinds.items()])
+    listed = first.groupBy().agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(k).isNotNull(), F.struct(k, "name")))), lambda x: x["name"]), ", ").alias(k) for k in kinds])
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("since").cast("int")), "EEE MMM d")
     subject = F.concat(
-        F.lit("Due: "), F.col("companies"),
+        F.when(F.col("n_today") > 0, F.concat(F.lit("Due today: "), "today")).otherwise(F.concat(F.lit("Due since "), day, F.lit(": "), "new")),
         F.when(F.col("n_overdue") > 0, F.format_string(" · %d overdue", "n_overdue")).otherwise(""),
-        F.when(F.col("n_calls") > 0, F.format_string(" · %d calls this week", "n_calls")).otherwise(""),
+        F.when(F.col("n_calls") > 0, F.format_string(" · %d call%s this week", "n_calls", F.when(F.col("n_calls") == 1, "").otherwise("s"))).otherwise(""),
     )
     return per.where("n_new > 0").join(listed).select(subject.alias("subject"), "n_new", "n_today", "n_overdue", "n_calls")
 

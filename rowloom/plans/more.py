@@ -22,14 +22,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {_HITS} SELECT id, array_to_string(hits, ',') AS skills FROM h", ["v_postings"])
 def skills(spark: SparkSession, d: str) -> DataFrame:
     """J12"""
-    found = lexicon.skills_of(_texts(spark, d), lexicon.lexicon_table(spark, LEXICON))
+    found = lexicon.skills_of(_texts(spark, d), LEXICON)
     return found.select("id", F.array_join("skills", ",").alias("skills"))
 
 
 @register(f"WITH {_HITS} SELECT id, array_to_string(list_filter(hits, lambda x: x IN ('of', 'article')), ',') AS matched, array_to_string(list_filter(hits, lambda x: x NOT IN ('of', 'article')), ',') AS gaps FROM h", ["v_postings"])
 def compared_skills(spark: SparkSession, d: str) -> DataFrame:
     """Q2, U3, U4"""
-    found = lexicon.compare_skills(lexicon.skills_of(_texts(spark, d), lexicon.lexicon_table(spark, LEXICON)), ["article", "of"])
+    found = lexicon.compare_skills(lexicon.skills_of(_texts(spark, d), LEXICON), ["article", "of"])
     return found.select("id", F.array_join("matched", ",").alias("matched"), F.array_join("gaps", ",").alias("gaps"))
 
 
@@ -142,7 +142,7 @@ def routed_listings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"""WITH c AS (SELECT concat('k', ord) AS key, title, posted_at, ord * 3600 + {NOW - 400 * 3600} AS seen, 0 AS r FROM v_postings WHERE ord < 500), n AS (SELECT concat('k', ord) AS key, 'new ' || title AS title, CASE WHEN ord % 2 = 0 THEN '' ELSE posted_at END AS posted_at, {NOW} AS seen, 1 AS r FROM v_postings WHERE ord >= 300),
+    f"""WITH c AS (SELECT concat('k', ord) AS key, title, posted_at, ord % 400 * 3600 + {NOW - 400 * 3600} AS seen, 0 AS r FROM v_postings WHERE source < 'src5'), n AS (SELECT concat('k', ord) AS key, 'new ' || title AS title, CASE WHEN ord % 2 = 0 THEN '' ELSE posted_at END AS posted_at, {NOW} AS seen, 1 AS r FROM v_postings WHERE source >= 'src3'),
 b AS (SELECT * FROM (SELECT * FROM c UNION ALL SELECT * FROM n) WHERE CASE WHEN posted_at = '' THEN seen ELSE CAST(posted_at AS BIGINT) END >= {NOW - 72 * 3600})
 SELECT key, arg_min(title, r) AS title, min(seen) AS seen FROM b GROUP BY key""",
     ["v_postings"],
@@ -150,8 +150,8 @@ SELECT key, arg_min(title, r) AS title, min(seen) AS seen FROM b GROUP BY key"""
 def merged_listings(spark: SparkSession, d: str) -> DataFrame:
     """J17, T13"""
     p = read(spark, d, "v_postings").withColumn("key", F.concat(F.lit("k"), F.col("ord")))
-    cache = p.where("ord < 500").select("key", "title", "posted_at", F.timestamp_seconds(F.col("ord") * 3600 + NOW - 400 * 3600).alias("first_seen"))
-    new = p.where("ord >= 300").select("key", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("ord") % 2 == 0, "").otherwise(F.col("posted_at")).alias("posted_at"))
+    cache = p.where("source < 'src5'").select("key", "title", "posted_at", F.timestamp_seconds(F.col("ord") % 400 * 3600 + NOW - 400 * 3600).alias("first_seen"))
+    new = p.where("source >= 'src3'").select("key", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("ord") % 2 == 0, "").otherwise(F.col("posted_at")).alias("posted_at"))
     out = listings.merge_listings(cache, new, F.timestamp_seconds(F.lit(NOW - 72 * 3600)), F.timestamp_seconds(F.lit(NOW)))
     return out.select("key", "title", F.unix_seconds("first_seen").alias("seen"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import scores, text, urls
-from rowloom.operators import evaluate, outcomes, similar, tracker
+from rowloom.operators import evaluate, listings, outcomes, similar, tracker
+from rowloom.operators.filters import LEVELS, apply_filters, keyword_reason, seniority_reason, title_levels
 
 from .views import NOW, TERMINAL, view, with_views
 
@@ -115,8 +116,7 @@ def parsed_links(spark: SparkSession, d: str) -> DataFrame:
 @register(f"WITH {_PARSED} SELECT ats, lower(slug) AS slug, job_id, min(link) AS url FROM p WHERE ats IS NOT NULL GROUP BY ALL")
 def unique_links(spark: SparkSession, d: str) -> DataFrame:
     """J18, U1"""
-    p = _links(spark, d).select(urls.parse_link(F.col("link")).alias("p")).where("p IS NOT NULL").select("p.*")
-    return p.groupBy("ats", F.lower("slug").alias("slug"), "job_id").agg(F.min("url").alias("url"))
+    return listings.unique_links(_links(spark, d).select("link"))
 
 
 @register(r"""WITH f AS (SELECT DISTINCT rtrim(replace(unnest(regexp_extract_all(html, '(https?://[^\s"''<>()\]]+)', 1)), '&amp;', '&'), '.,;:!') AS link FROM pages)
@@ -132,22 +132,6 @@ def extracted_links(spark: SparkSession, d: str) -> DataFrame:
 EXCLUDED = {"companies": ["src3", "src11"], "title": ["the", "der"], "phrases": ["of the", "que de"], "roles": {"a": (["thing", "ertion", "and"], 2)}}
 
 
-def keyword_reason(df_title: Column, company: Column, description: Column, cfg: dict | None = None) -> Column:
-    """F8: why a posting is skipped by its words, null if it isn't; the first rule that applies."""
-    cfg = cfg or EXCLUDED
-    first = lambda words, terms, say: F.concat(F.lit(say), F.get(text.terms_in(words, terms), F.lit(0)))
-
-    def reason(k: Column) -> Column:
-        def group(name: str, terms: list[str], least: int) -> Column:
-            return text.let(text.terms_in(k["x"], terms), lambda hits: F.when(F.size(hits) >= least, F.concat(F.lit(f"excluded role '{name}': "), F.array_join(hits, ", "))))
-
-        groups = [group(name, terms, least) for name, (terms, least) in cfg["roles"].items()]
-        return F.coalesce(first(k["c"], cfg["companies"], "excluded company: "), first(k["t"], cfg["title"], "excluded title word: "), first(k["x"], cfg["phrases"], "excluded phrase: "), *groups)
-
-    words = F.struct(text.word_text(df_title).alias("t"), text.word_text(company).alias("c"), text.word_text(F.concat(df_title, F.lit(" "), description)).alias("x"))
-    return text.let(words, reason)
-
-
 def _keyword_sql() -> str:
     x = w("title || ' ' || description")
     whens = [f"WHEN {has('c', k)} THEN 'excluded company: {k}'" for k in EXCLUDED["companies"]] + [f"WHEN {has('t', k)} THEN 'excluded title word: {k}'" for k in EXCLUDED["title"]] + [f"WHEN {has('x', k)} THEN 'excluded phrase: {k}'" for k in EXCLUDED["phrases"]]
@@ -159,38 +143,19 @@ def _keyword_sql() -> str:
 @register(f"WITH {_keyword_sql()} SELECT id, reason FROM k", ["v_postings"])
 def keyword_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """F1, F8"""
-    return read(spark, d, "v_postings").select("id", keyword_reason(F.col("title"), F.col("company"), F.col("description")).alias("reason"))
+    return read(spark, d, "v_postings").select("id", keyword_reason(F.col("title"), F.col("company"), F.col("description"), EXCLUDED).alias("reason"))
 
 
-LEVELS = {
-    "intern": ["intern", "internship", "co-op", "coop"],
-    "entry": ["new grad", "new graduate", "entry level", "junior", "jr", "associate", "graduate", "engineer i", "developer i"],
-    "mid": ["mid level", "intermediate", "engineer ii", "developer ii"],
-    "senior": ["senior", "sr", "lead", "engineer iii", "developer iii"],
-    "staff": ["staff", "principal", "distinguished", "architect", "fellow"],
-}
 _TITLES = "CASE ord % 6 WHEN 0 THEN 'Senior ' WHEN 1 THEN 'Junior ' WHEN 2 THEN 'Staff/Principal ' WHEN 3 THEN 'Summer Intern, ' WHEN 4 THEN 'Entry-Level ' ELSE '' END"
 
 
-def title_levels(title: Column) -> Column:
-    """the levels that a title names, in order."""
-    levels = lambda words: F.array_compact(F.array(*[F.when(F.size(text.terms_in(words, terms)) > 0, F.lit(level)) for level, terms in LEVELS.items()]))
-    return text.let(text.word_text(title), levels)
-
-
-def seniority_reason(title: Column, allowed: list[str]) -> Column:
-    """skipped only if a level is named and none of those is allowed."""
-    found = title_levels(title)
-    return F.when((F.size(found) > 0) & ~F.arrays_overlap(found, F.array(*map(F.lit, allowed))), F.concat(F.lit("title level "), F.array_join(found, "/"), F.lit(f" not in {', '.join(sorted(allowed))}")))
-
-
 def _levels_sql() -> str:
     cases = ", ".join("CASE WHEN " + " OR ".join(has("words", t) for t in terms) + f" THEN '{level}' END" for level, terms in LEVELS.items())
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
 @register(
-    f"WITH t AS (SELECT id, {w(f'{_TITLES} || title')} AS words FROM v_postings), f AS (SELECT id, {_levels_sql()} AS found FROM t) SELECT id, array_to_string(found, '/') AS levels, CASE WHEN len(found) > 0 AND NOT list_has_any(found, ['entry', 'mid']) THEN 'title level ' || array_to_string(found, '/') || ' not in entry, mid' END AS reason FROM f",
+    f"WITH t AS (SELECT id, {_TITLES} || title AS title, {w(f'{_TITLES} || title')} AS words FROM v_postings), f AS (SELECT id, title, {_levels_sql()} AS found FROM t) SELECT id, array_to_string(found, '/') AS levels, CASE WHEN len(found) > 0 AND NOT list_has_any(found, ['entry', 'mid']) THEN 'title level ' || array_to_string(found, '/') || ' not in entry, mid: ' || title END AS reason FROM f",
     ["v_postings"],
 )
 def seniority_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -207,12 +172,7 @@ def applied_filters(spark: SparkSession, d: str) -> DataFrame:
     """filters in order, the first reason wins."""
     p = read(spark, d, "v_postings")
     fresh = text.is_fresh(F.col("posted_at"), F.timestamp_seconds(F.lit(NOW - 72 * 3600)))
-    return p.select("id", apply_filters({"keywords": keyword_reason(F.col("title"), F.col("company"), F.col("description")), "age": F.when(~fresh, "old")}).alias("filter_reason"))
-
-
-def apply_filters(reasons: dict[str, Column]) -> Column:
-    """"name: reason" of the first filter with a reason, null to keep the row."""
-    return F.coalesce(*[F.concat(F.lit(f"{name}: "), reason) for name, reason in reasons.items()])
+    return p.select("id", apply_filters({"keywords": keyword_reason(F.col("title"), F.col("company"), F.col("description"), EXCLUDED), "age": F.when(~fresh, "old")}).alias("filter_reason"))
 
 
 @register("SELECT id, length(trim(description)) < 200 AS needs FROM v_postings", ["v_postings"])
@@ -238,7 +198,7 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: new postings of a run, judged by age and words, counted by source."""
     new = outcomes.filter_unseen(read(spark, d, "v_postings"), read(spark, d, "v_outcomes"))
     fresh = text.is_fresh(F.col("posted_at"), F.timestamp_seconds(F.lit(NOW - 72 * 3600)))
-    judged = new.select("source", fresh.alias("_f"), keyword_reason(F.col("title"), F.col("company"), F.col("description")).alias("_r"))
+    judged = new.select("source", fresh.alias("_f"), keyword_reason(F.col("title"), F.col("company"), F.col("description"), EXCLUDED).alias("_r"))
     return judged.groupBy("source").agg(F.count(F.lit(1)).alias("found"), F.count_if("_f").alias("fresh"), F.count_if(F.col("_r").isNotNull()).alias("filtered"), F.count_if(F.col("_f") & F.col("_r").isNull()).alias("kept"))
 
 
@@ -257,10 +217,10 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.status_counts(read(spark, d, "v_outcomes"))
 
 
-@register(f"SELECT id, status, first_run_at FROM v_outcomes WHERE status IN ('error_429_retry', 'error_unavailable', 'error_scorer') AND first_run_at >= {NOW - 86400 * 20} AND id NOT IN (SELECT id FROM v_postings WHERE ord % 3 = 0)", ["v_postings", "v_outcomes"])
+@register(f"SELECT id, status, first_run_at FROM v_outcomes WHERE status IN ('error_429_retry', 'error_unavailable', 'error_scorer') AND first_run_at >= {NOW - 86400 * 20} AND id NOT IN (SELECT id FROM v_postings WHERE source < 'src2')", ["v_postings", "v_outcomes"])
 def retries(spark: SparkSession, d: str) -> DataFrame:
     """J2, with a window of twenty days"""
-    return outcomes.retry_candidates(read(spark, d, "v_postings").where("ord % 3 = 0"), read(spark, d, "v_outcomes"), NOW, 480).select("id", "status", "first_run_at")
+    return outcomes.retry_candidates(read(spark, d, "v_postings").where("source < 'src2'"), read(spark, d, "v_outcomes"), NOW, 480).select("id", "status", "first_run_at")
 
 
 _SCORED = "SELECT id, regexp_extract(description, '^([^ ]+( [^ ]+)?)', 1) AS title, company, CASE ord % 4 WHEN 0 THEN 'log' WHEN 1 THEN 'skip' ELSE 'notify' END AS decision, ord % 7 <> 0 AS delivered, ord AS slot FROM {v}"
@@ -285,39 +245,39 @@ def latest_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.latest_verdicts(read(spark, d, "v_verdicts"), read(spark, d, "v_outcomes")).select("job_id", "id", "verdict", "received_at", "title", "company")
 
 
-_HIDDEN = "SELECT id AS job_id, run_at + 50 AS hidden_at FROM {o} WHERE ord % 17 = 0"
+_HIDDEN = "SELECT id AS job_id, run_at + 50 AS hidden_at FROM {o} WHERE source = 'src7'"
 
 
 @register(
-    f"WITH {LATEST}, h AS ({_HIDDEN.replace('{o}', 'v_outcomes')}) SELECT id, title, run_at FROM v_outcomes o WHERE status = 'notified' AND run_at >= {NOW - 40 * 86400} AND NOT EXISTS (SELECT 1 FROM v_applications a WHERE a.job_id = o.id AND a.id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM h WHERE h.job_id = o.id) AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.job_id = o.id AND verdict IN ('bad', 'applied')) ORDER BY run_at DESC, id DESC LIMIT 200",
+    f"WITH {LATEST}, h AS ({_HIDDEN.replace('{o}', 'v_outcomes')}) SELECT id, title, run_at FROM v_outcomes o WHERE status = 'notified' AND run_at >= {NOW - 40 * 86400} AND NOT EXISTS (SELECT 1 FROM v_applications a WHERE a.job_id = o.id AND a.board = 'board1') AND NOT EXISTS (SELECT 1 FROM h WHERE h.job_id = o.id) AND NOT EXISTS (SELECT 1 FROM latest l WHERE l.job_id = o.id AND verdict IN ('bad', 'applied')) ORDER BY run_at DESC, id DESC LIMIT 200",
     ["v_verdicts", "v_outcomes", "v_applications"],
 )
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     """J5"""
     o = read(spark, d, "v_outcomes")
-    return outcomes.review_queue(o, read(spark, d, "v_applications").where("id % 3 = 0"), spark.sql(_HIDDEN, o=o), read(spark, d, "v_verdicts"), NOW, 40).select("id", "title", "run_at")
+    return outcomes.review_queue(o, read(spark, d, "v_applications").where("board = 'board1'"), spark.sql(_HIDDEN, o=o), read(spark, d, "v_verdicts"), NOW, 40).select("id", "title", "run_at")
 
 
 @register(
     f"""WITH {LATEST}, h AS (SELECT job_id, max(hidden_at) AS hid FROM ({_HIDDEN.replace("{o}", "v_outcomes")}) GROUP BY job_id)
 SELECT o.id, greatest(coalesce(l.received_at, 0), coalesce(h.hid, 0)) AS at, CASE WHEN h.hid IS NULL OR l.received_at >= h.hid THEN 'bad' ELSE 'hidden' END AS kind
 FROM v_outcomes o LEFT JOIN latest l ON l.job_id = o.id AND l.verdict = 'bad' LEFT JOIN h ON h.job_id = o.id
-WHERE (l.job_id IS NOT NULL OR h.job_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM v_applications a WHERE a.job_id = o.id AND a.id % 3 = 0) ORDER BY 2 DESC, o.id DESC LIMIT 500""",
+WHERE (l.job_id IS NOT NULL OR h.job_id IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM v_applications a WHERE a.job_id = o.id AND a.board = 'board1') ORDER BY 2 DESC, o.id DESC LIMIT 500""",
     ["v_verdicts", "v_outcomes", "v_applications"],
 )
 def dismissed_jobs(spark: SparkSession, d: str) -> DataFrame:
     """J6"""
     o = read(spark, d, "v_outcomes")
-    return outcomes.dismissed(o, read(spark, d, "v_applications").where("id % 3 = 0"), spark.sql(_HIDDEN, o=o), read(spark, d, "v_verdicts")).select("id", "at", "kind")
+    return outcomes.dismissed(o, read(spark, d, "v_applications").where("board = 'board1'"), spark.sql(_HIDDEN, o=o), read(spark, d, "v_verdicts")).select("id", "at", "kind")
 
 
 @register(
-    f"WITH {LATEST} SELECT l.job_id, o.title, o.company, o.url, l.received_at // 86400 AS applied_day FROM latest l JOIN v_outcomes o ON o.id = l.job_id WHERE verdict = 'applied' AND received_at // 86400 BETWEEN 10957 AND {DAY_NOW + 1} AND NOT EXISTS (SELECT 1 FROM v_applications a WHERE a.job_id = l.job_id AND a.id % 2 = 0)",
+    f"WITH {LATEST} SELECT l.job_id, o.title, o.company, o.url, l.received_at // 86400 AS applied_day FROM latest l JOIN v_outcomes o ON o.id = l.job_id WHERE verdict = 'applied' AND received_at // 86400 BETWEEN 10957 AND {DAY_NOW + 1} AND NOT EXISTS (SELECT 1 FROM v_applications a WHERE a.job_id = l.job_id AND a.board < 'board2')",
     ["v_verdicts", "v_outcomes", "v_applications"],
 )
 def applications_from_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """J7"""
-    return outcomes.verdicts_to_applications(read(spark, d, "v_verdicts"), read(spark, d, "v_outcomes"), read(spark, d, "v_applications").where("id % 2 = 0"), DAY_NOW)
+    return outcomes.verdicts_to_applications(read(spark, d, "v_verdicts"), read(spark, d, "v_outcomes"), read(spark, d, "v_applications").where("board < 'board2'"), DAY_NOW)
 
 
 _CANDIDATES = "SELECT CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN concat(url, '?utm_source=x') ELSE url END AS url, title, company, id AS n FROM {v}"
@@ -401,9 +361,12 @@ def due_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"""WITH {_STATE}, {_ITEMS}, n AS (SELECT *, bucket <> 'this_week' AND sort_day > {TODAY - 3} AS new FROM i), c AS (SELECT company, min(sort_day * 1000000 + id) AS o FROM n WHERE bucket = 'today' OR new GROUP BY company ORDER BY o LIMIT 20),
-p AS (SELECT count_if(new) AS n_new, count_if(bucket = 'today') AS n_today, count_if(bucket = 'overdue') AS n_overdue, count_if(bucket = 'this_week') AS n_calls FROM n)
-SELECT 'Due: ' || (SELECT string_agg(company, ', ' ORDER BY o) FROM c) || CASE WHEN n_overdue > 0 THEN ' · ' || n_overdue || ' overdue' ELSE '' END || CASE WHEN n_calls > 0 THEN ' · ' || n_calls || ' calls this week' ELSE '' END AS subject, n_new, n_today, n_overdue, n_calls FROM p WHERE n_new > 0""",
+    f"""WITH {_STATE}, {_ITEMS}, n AS (SELECT *, bucket <> 'this_week' AND sort_day > {TODAY - 3} AS new FROM i), c AS (SELECT company, min(sort_day) FILTER (bucket = 'today') AS t, min(sort_day) FILTER (new) AS w FROM n GROUP BY company),
+p AS (SELECT count_if(new) AS n_new, count_if(bucket = 'today') AS n_today, count_if(bucket = 'overdue') AS n_overdue, count_if(bucket = 'this_week') AS n_calls, min(sort_day) FILTER (new) AS since FROM n)
+SELECT CASE WHEN n_today > 0 THEN 'Due today: ' || (SELECT string_agg(company, ', ' ORDER BY t, lower(company)) FROM c WHERE t IS NOT NULL)
+  ELSE 'Due since ' || strftime(DATE '1970-01-01' + CAST(since AS INTEGER), '%a %b %-d') || ': ' || (SELECT string_agg(company, ', ' ORDER BY w, lower(company)) FROM c WHERE w IS NOT NULL) END
+  || CASE WHEN n_overdue > 0 THEN ' · ' || n_overdue || ' overdue' ELSE '' END || CASE WHEN n_calls > 0 THEN ' · ' || n_calls || CASE WHEN n_calls = 1 THEN ' call' ELSE ' calls' END || ' this week' ELSE '' END AS subject,
+  n_new, n_today, n_overdue, n_calls FROM p WHERE n_new > 0""",
     _VIEWS,
 )
 def digest(spark: SparkSession, d: str) -> DataFrame:
@@ -487,22 +450,22 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    """WITH n AS (SELECT *, 0 AS new FROM v_outcomes WHERE ord % 2 = 0 UNION ALL SELECT * REPLACE (run_at + 100 AS run_at, 'logged' AS status), 1 AS new FROM v_outcomes WHERE ord % 3 = 0)
+    """WITH n AS (SELECT *, 0 AS new FROM v_outcomes WHERE source < 'src6' UNION ALL SELECT * REPLACE (run_at + 100 AS run_at, 'logged' AS status), 1 AS new FROM v_outcomes WHERE source >= 'src3')
 SELECT id, arg_min(first_run_at, new) AS first_run_at, arg_max(status, new) AS status, arg_max(run_at, new) AS run_at FROM n GROUP BY id""",
     ["v_outcomes"],
 )
 def upserted_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """S20"""
     o = read(spark, d, "v_outcomes")
-    batch = o.where("ord % 3 = 0").withColumn("run_at", F.col("run_at") + 100).withColumn("status", F.lit("logged"))
-    return outcomes.upsert_outcomes(o.where("ord % 2 = 0"), batch).select("id", "first_run_at", "status", "run_at")
+    batch = o.where("source >= 'src3'").withColumn("run_at", F.col("run_at") + 100).withColumn("status", F.lit("logged"))
+    return outcomes.upsert_outcomes(o.where("source < 'src6'"), batch).select("id", "first_run_at", "status", "run_at")
 
 
-@register("SELECT message_id, min(id) AS id FROM v_verdicts WHERE message_id NOT IN (SELECT message_id FROM v_verdicts WHERE id % 5 = 0) GROUP BY message_id", ["v_verdicts"])
+@register("SELECT message_id, min(id) AS id FROM v_verdicts WHERE message_id NOT IN (SELECT message_id FROM v_verdicts WHERE verdict = 'applied') GROUP BY message_id", ["v_verdicts"])
 def new_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """S22"""
     v = read(spark, d, "v_verdicts")
-    return outcomes.append_verdicts(v.where("id % 5 = 0"), v).select("message_id", "id")
+    return outcomes.append_verdicts(v.where("verdict = 'applied'"), v).select("message_id", "id")
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------

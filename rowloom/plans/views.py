@@ -34,7 +34,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('fit ', 1 + doc_id % 9, '.5/10') END AS score_label,
           CASE WHEN doc_id % 14 = 3 THEN CASE WHEN doc_id % 3 = 0 THEN 'location: abroad' ELSE 'keywords: excluded' END ELSE '' END AS filter_reason,
           {NOW} - 3600 * (doc_id % 1000) AS run_at, {NOW} - 3600 * (doc_id % 1000) - 60 * (doc_id % 97) AS first_run_at, doc_id AS ord
-        FROM documents WHERE doc_id % 5 < 3""",
+        FROM documents""",
     ),
     "v_verdicts": (
         ["events"],
@@ -49,7 +49,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
           CASE WHEN event_id % 7 = 0 THEN concat('', CAST(floor(epoch_s / 86400) AS BIGINT) + event_id % 12) WHEN event_id % 11 = 0 THEN ''
             ELSE CASE event_type WHEN 'signup' THEN 'applied' WHEN 'view' THEN 'screen' WHEN 'click' THEN 'interview' WHEN 'purchase' THEN 'offer' ELSE 'rejected' END END AS value,
           CAST(floor(epoch_s / 86400) AS BIGINT) + event_id % 3 AS at_day, CAST(floor(epoch_s / 86400) AS BIGINT) AS made_day
-        FROM v_events WHERE event_id % 9 = user_id % 9""",
+        FROM v_events""",
     ),
     "v_applications": (
         ["customer"],

@@ -3,7 +3,7 @@ the site needs it, slug; unreadable rows come out with a null id, which collect_
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.text import html_to_text, is_fresh, posted_iso
@@ -195,6 +195,9 @@ def from_jsonld(pages: DataFrame) -> DataFrame:
 
 def collect_postings(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Rows of all sources under their names, and for each source how many rows couldn't be read."""
+    if not sources:
+        spark = SparkSession.active()
+        return spark.createDataFrame([], "id string, source string"), spark.createDataFrame([], "source string, unreadable long")
     rows = None
     for name, df in sources.items():
         own = df.withColumn("source", F.lit(name))
