@@ -6,7 +6,7 @@ import html
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,3 +180,28 @@ def parse_mail_date(header: Column, received: Column) -> Column:
 def csv_cell(cell: Column) -> Column:
     """A cell that a spreadsheet would read as a formula, made plain text."""
     return F.when(cell.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), cell)).otherwise(cell)
+
+
+#: Fixed value: the characters of a description that a model reads.
+MODEL_CHARS = 8_000
+
+
+def clean_posting(df: DataFrame) -> DataFrame:
+    """Postings with null texts empty, misread text of title, company, location and description repaired, and posted_at
+    in one format; other columns stay."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    repaired = ("title", "company", "location", "description")
+    each = {c: repair_text(F.col(c)) if c in repaired else posted_iso(F.col(c)) if c == "posted_at" else F.coalesce(F.col(c), F.lit("")) for c in texts}
+    return df.withColumns(each)
+
+
+def model_state(profile: Column, title: Column, company: Column, description: Column) -> Column:
+    """What a model reads of a posting beside a profile's text."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    head = [F.concat(F.lit("Candidate profile:\n"), none(profile), F.lit("\n")), F.concat(F.lit("Job title: "), none(title)), F.concat(F.lit("Company: "), none(company), F.lit("\n"))]
+    return F.concat_ws("\n", *head, F.lit("Job description:"), F.substring(none(description), 1, MODEL_CHARS))
+
+
+def question_state(sections: Column, profile: Column | None = None) -> Column:
+    """The same as JSON, of condense.split_posting()'s sections: the job alone, or after a profile's text."""
+    return F.to_json(F.struct(*([] if profile is None else [profile.alias("candidate")]), sections.alias("job")))

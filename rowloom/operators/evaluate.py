@@ -133,6 +133,11 @@ def alert_summary(df: DataFrame, good: str = "notify") -> DataFrame:
     return sums.select("alerts", F.round(100 * F.col("alerts") / F.greatest(F.lit(1), F.col("labelled")), 1).alias("per100"), F.coalesce(F.try_divide("caught", "alerts"), F.lit(0.0)).alias("worth"), F.round(low, 3).alias("low"), F.round(high, 3).alias("high"), "caught", "good")
 
 
+def go_no_go(summary: DataFrame, alerts: int, caught: int) -> DataFrame:
+    """alert_summary() with go: more of its alerts are worth opening than of a baseline's, and no fewer are caught."""
+    return summary.withColumn("go", (F.col("worth") > F.lit(caught / alerts)) & (F.col("caught") >= caught))
+
+
 def calibrate_fit(outcomes: DataFrame, fit: Column, least: int = 30, spread: float = 0.5) -> DataFrame:
     """For each model with enough real fits the 1st and 99th percentile, if they are far enough apart."""
     q = F.percentile(fit, F.array(F.lit(0.01), F.lit(0.99)))

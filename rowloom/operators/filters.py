@@ -1,11 +1,11 @@
-"""Filters by words and levels, and their order."""
+"""Filters by words, levels and model answers, their order, and which postings need a page."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions import text
+from rowloom.functions import text, urls
 
 #: The words of titles that name a level.
 LEVELS = {
@@ -48,3 +48,40 @@ def seniority_reason(title: Column, allowed: list[str]) -> Column:
 def apply_filters(reasons: dict[str, Column]) -> Column:
     """"name: reason" of the first filter with a reason, null to keep the row."""
     return F.coalesce(*[F.concat(F.lit(f"{name}: "), reason) for name, reason in reasons.items()])
+
+
+#: The probability from which an answer counts, and the questions by which a requirement rules a posting out.
+LIKELY = 0.5
+REQUIREMENTS = {"citizenship": ("requires_citizenship", "requires citizenship"), "clearance": ("requires_clearance", "requires a security clearance")}
+#: Hosts whose pages aren't read, with all below them, and the characters that a description needs.
+UNREADABLE_HOSTS = ["indeed.com"]
+LEAST_CHARS = 200
+
+
+def model_check_verdict(postings: DataFrame, answers: DataFrame, ask_students: bool, skip_if: list[str] = ()) -> DataFrame:
+    """postings (id) with reason, why a model's answers (id, question, p) rule a posting out, null if they don't.
+
+    Questions in order: no software role, for students only (if asked), then the requirements of skip_if. A missing
+    answer, or one without a probability, never rules out. Of repeated answers to a question the highest counts.
+    """
+    asked = ["software_role", *["students_only"] * ask_students, *[REQUIREMENTS[k][0] for k in skip_if]]
+    p = answers.where(F.col("question").isin(asked)).groupBy("id").agg(*[F.max(F.when(F.col("question") == q, F.col("p"))).alias(f"_{q}") for q in asked])
+    said = lambda why, q: F.format_string(f"{why} (model: %.2f)", F.col(f"_{q}"))
+    reason = F.when(F.col("_software_role") < LIKELY, said("not a software engineering role", "software_role"))
+    if ask_students:
+        reason = reason.when(F.col("_students_only") >= LIKELY, said("only for current students", "students_only"))
+    for k in skip_if:
+        q, why = REQUIREMENTS[k]
+        reason = reason.when(F.col(f"_{q}") >= LIKELY, said(why, q))
+    return postings.join(p, "id", "left").select(*postings.columns, reason.alias("reason"))
+
+
+def unreadable_host(url: Column) -> Column:
+    """the host of UNREADABLE_HOSTS that an address is on, null if none."""
+    name = F.trim(F.lower(urls.host(url)), F.lit("."))
+    return F.coalesce(*[F.when((name == h) | name.endswith(f".{h}"), F.lit(h)) for h in UNREADABLE_HOSTS])
+
+
+def needs_description(description: Column, is_snippet: Column) -> Column:
+    """whether a posting's page has to be read: its text is a snippet, or short."""
+    return F.coalesce(is_snippet, F.lit(False)) | (F.length(F.trim(F.coalesce(description, F.lit("")))) < LEAST_CHARS)

@@ -14,6 +14,34 @@ GEORGIA_CITIES = ["tbilisi", "batumi", "kutaisi"]
 
 #: A country: its names, and the codes of its regions.
 Countries = dict[str, dict[str, list[str]]]
+#: The built-in countries, with the names, large cities and region codes by which postings mean them.
+US_REGIONS = {
+    "AL": "alabama", "AK": "alaska", "AZ": "arizona", "AR": "arkansas", "CA": "california", "CO": "colorado", "CT": "connecticut", "DE": "delaware", "FL": "florida", "GA": "georgia", "HI": "hawaii",
+    "ID": "idaho", "IL": "illinois", "IN": "indiana", "IA": "iowa", "KS": "kansas", "KY": "kentucky", "LA": "louisiana", "ME": "maine", "MD": "maryland", "MA": "massachusetts", "MI": "michigan",
+    "MN": "minnesota", "MS": "mississippi", "MO": "missouri", "MT": "montana", "NE": "nebraska", "NV": "nevada", "NH": "new hampshire", "NJ": "new jersey", "NM": "new mexico", "NY": "new york",
+    "NC": "north carolina", "ND": "north dakota", "OH": "ohio", "OK": "oklahoma", "OR": "oregon", "PA": "pennsylvania", "RI": "rhode island", "SC": "south carolina", "SD": "south dakota",
+    "TN": "tennessee", "TX": "texas", "UT": "utah", "VT": "vermont", "VA": "virginia", "WA": "washington", "WV": "west virginia", "WI": "wisconsin", "WY": "wyoming", "DC": "district of columbia",
+}
+US_CITIES = [
+    "new york city", "nyc", "san francisco", "sf bay area", "bay area", "silicon valley", "los angeles", "seattle", "boston", "chicago", "austin", "denver", "atlanta", "san jose", "san diego",
+    "palo alto", "mountain view", "menlo park", "sunnyvale", "santa clara", "redmond", "cambridge, ma", "pittsburgh", "philadelphia", "dallas", "houston", "miami", "portland", "salt lake city",
+    "raleigh", "washington dc", "washington d.c.", "minneapolis", "detroit", "phoenix", "nashville", "cincinnati", "columbus",
+]
+BUILTIN: Countries = {
+    "US": {"names": ["united states", "united states of america", "usa", "u.s.", "u.s.a.", "us", *US_REGIONS.values(), *US_CITIES], "region_codes": list(US_REGIONS)},
+    "CA": {"names": ["canada", "toronto", "vancouver", "montreal", "montréal", "ottawa", "calgary", "edmonton", "waterloo", "mississauga"], "region_codes": ["AB", "BC", "MB", "NB", "NL", "NS", "NT", "NU", "ON", "PE", "QC", "SK", "YT"]},
+    "GB": {"names": ["united kingdom", "uk", "england", "scotland", "wales", "northern ireland", "great britain"], "region_codes": []},
+    "IN": {"names": ["india", "bengaluru", "bangalore", "hyderabad", "chennai", "pune", "mumbai", "delhi", "new delhi", "gurgaon", "gurugram", "noida", "kolkata", "ahmedabad"], "region_codes": ["AP", "DL", "GJ", "HR", "KA", "KL", "MH", "RJ", "TG", "TN", "TS", "UP", "WB"]},
+    "DE": {"names": ["germany", "deutschland", "berlin", "munich", "münchen", "hamburg", "frankfurt", "cologne", "köln", "stuttgart", "düsseldorf", "dusseldorf", "muenchen"], "region_codes": ["BE", "BW", "BY", "HB", "HE", "HH", "NI", "NW", "RP", "SH", "SN", "TH"]},
+}
+
+
+def countries(allowed: list[str], own: Countries | None = None) -> tuple[Countries, Countries]:
+    """the allowed countries and the other known ones, by code, of the built-in ones and the caller's own."""
+    known = BUILTIN | (own or {})
+    if missing := [c for c in allowed if c not in known]:
+        raise ValueError(f"no names are known of {', '.join(missing)}")
+    return {c: known[c] for c in allowed}, {c: v for c, v in known.items() if c not in allowed}
 
 
 def _code(part: Column) -> Column:
@@ -111,13 +139,18 @@ def location_verdict(location: Column, title: Column, description: Column, allow
         words = word_text(t)
         return F.when(_named(words, long_names) | overlap(city_code_pairs(t), codes), "keep").when(_named(words, elsewhere), "out")
 
-    fallback = F.coalesce(in_text(title), in_text(F.substring(F.coalesce(description, F.lit("")), 1, 2000)), F.lit("none"))
+    body = F.substring(F.coalesce(description, F.lit("")), 1, 2000)
+    told = F.struct(in_text(F.coalesce(title, F.lit(""))).alias("title"), in_text(body).alias("body"))
     outside = F.concat(F.lit("location outside allowed countries: "), location)
-    by_text = (
-        F.when(fallback == "keep", None)
-        .when(fallback == "out", F.concat(F.lit("location outside allowed countries: "), F.coalesce(F.nullif(location, F.lit("")), F.lit("none given"))))
+    named = lambda t: F.concat(F.lit("location outside allowed countries: "), F.coalesce(F.nullif(location, F.lit("")), F.lit("none given")), F.lit(" ("), F.left(t, F.lit(60)), F.lit(")"))
+    by_text = let(
+        told,
+        lambda k: F.when(k["title"] == "keep", None)
+        .when(k["title"] == "out", named(F.coalesce(title, F.lit(""))))
+        .when(k["body"] == "keep", None)
+        .when(k["body"] == "out", named(body))
         .when(location == "", "no location given, and no place named in the title or description")
-        .otherwise(F.concat(F.lit("no place named in the location ("), location, F.lit("), title or description")))
+        .otherwise(F.concat(F.lit("no place named in the location ("), location, F.lit("), title or description"))),
     )
 
     def judge(verdicts: Column) -> Column:

@@ -218,3 +218,31 @@ def score_chain(answers: list[Column], kinds: list[Column]) -> dict[str, Column]
     limited, away = (F.coalesce(*[F.when(k == kind, F.lit(True)) for k in kinds], F.lit(False)) for kind in ("rate_limited", "unavailable"))
     result = F.coalesce(*answers)
     return {"result": result, "status": F.when(result.isNotNull(), "").when(limited, "error_429_retry").when(away, "error_unavailable").otherwise("error_scorer")}
+
+
+def first_saved(ids: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Q4: ids (id) with first_saved_at, the earliest time that an outcome has for the id, null for one never saved."""
+    first = outcomes.groupBy("id").agg(F.min("first_run_at").alias("first_saved_at"))
+    return ids.join(first, "id", "left")
+
+
+def feedback_counts(saved: DataFrame, ignored: DataFrame) -> DataFrame:
+    """(kind, value, n): messages saved by verdict, and ignored ones by reason."""
+    per = lambda df, kind, c: df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    return per(saved, "saved", "verdict").unionByName(per(ignored, "ignored", "reason"))
+
+
+def alerts_outbox(alerts: DataFrame) -> DataFrame:
+    """Q5: one row (id, body) for each alert, the plain text that is sent; delivery comes back as a table of its own.
+
+    alerts: id, title, company, location, url, score_label, resume_id, reasoning, matched and gaps (arrays), source, posted_at.
+    """
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(F.col(c), ", "), F.lit("")), F.lit("none"))
+    lines = [
+        F.concat(text("title"), F.lit(" at "), text("company")), F.concat(F.lit("Location: "), text("location")), F.concat(F.lit("Link: "), text("url")), F.lit(""),
+        F.concat(F.lit("Score: "), text("score_label")), F.concat(F.lit("Resume: "), text("resume_id")), F.concat(F.lit("Why: "), text("reasoning")),
+        F.concat(F.lit("Matched skills: "), listed("matched")), F.concat(F.lit("Gaps: "), listed("gaps")),
+        F.concat(F.lit("Source: "), text("source"), F.lit(" | Posted: "), F.coalesce(F.nullif(F.col("posted_at"), F.lit("")), F.lit("unknown"))),
+    ]
+    return alerts.select("id", F.concat_ws("\n", *lines).alias("body"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import scores, text, urls
-from rowloom.operators import evaluate, listings, outcomes, similar, tracker
+from rowloom.operators import evaluate, filters, listings, outcomes, similar, tracker, years
 from rowloom.operators.filters import LEVELS, apply_filters, keyword_reason, seniority_reason, title_levels
 
 from .views import NOW, TERMINAL, view, with_views
@@ -102,9 +102,10 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PARSED = rf"""l AS ({_LINKS.replace("{pages}", "pages")}),
-p AS (SELECT page_id, link, CASE page_id % 5 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'workday' WHEN 3 THEN 'adp' END AS ats,
-  CASE page_id % 5 WHEN 0 THEN concat('Co', page_id % 11) WHEN 1 THEN concat('co', page_id % 11) WHEN 2 THEN concat('ten', page_id % 7) WHEN 3 THEN concat('c', page_id % 5) END AS slug,
-  CASE page_id % 5 WHEN 0 THEN concat('', page_id % 97) WHEN 1 THEN concat('', page_id % 89) WHEN 2 THEN concat('', page_id % 83) WHEN 3 THEN concat('', page_id) END AS job_id FROM l)"""
+g AS (SELECT page_id, link, regexp_extract(link, '^https?://(?:boards|job-boards)\.greenhouse\.io/([^/?]+)/jobs/(\d+)', ['s', 'j']) AS gh, regexp_extract(link, '^https?://jobs\.lever\.co/([^/?]+)/([^/?]+)', ['s', 'j']) AS lv,
+  regexp_extract(link, '^https?://[a-z0-9]+\.myworkdaysite\.com/recruiting/([^/?]+)/[^/?]+/job/([^/?]+)', ['s', 'j']) AS wd, regexp_extract(link, '^https?://myjobs\.adp\.com/.*[?&]cid=([^&]+)&jobId=([^&]+)', ['s', 'j']) AS ad FROM l),
+p AS (SELECT page_id, link, CASE WHEN gh.s <> '' THEN 'greenhouse' WHEN lv.s <> '' THEN 'lever' WHEN wd.s <> '' THEN 'workday' WHEN ad.s <> '' THEN 'adp' END AS ats,
+  nullif(coalesce(nullif(gh.s, ''), nullif(lv.s, ''), nullif(wd.s, ''), ad.s), '') AS slug, nullif(coalesce(nullif(gh.j, ''), nullif(lv.j, ''), nullif(wd.j, ''), ad.j), '') AS job_id FROM g)"""
 
 
 @register(f"WITH {_PARSED} SELECT page_id, coalesce(ats, '') AS ats, slug, job_id FROM p")
@@ -119,11 +120,13 @@ def unique_links(spark: SparkSession, d: str) -> DataFrame:
     return listings.unique_links(_links(spark, d).select("link"))
 
 
-@register(r"""WITH f AS (SELECT DISTINCT rtrim(replace(unnest(regexp_extract_all(html, '(https?://[^\s"''<>()\]]+)', 1)), '&amp;', '&'), '.,;:!') AS link FROM pages)
+@register(rf"""WITH l AS ({_LINKS.replace("{pages}", "pages")}), t AS (SELECT html || ' <a href="' || replace(link, '&', '&amp;') || '">job</a> or ' || link || '.' AS html FROM pages JOIN l USING (page_id)),
+f AS (SELECT DISTINCT rtrim(replace(unnest(regexp_extract_all(html, '(https?://[^\s"''<>()\]]+)', 1)), '&amp;', '&'), '.,;:!') AS link FROM t)
 SELECT link FROM f WHERE regexp_matches(lower(regexp_extract(link, '^https?://([^/?#]*)', 1)), '(^|\.)(greenhouse\.io|lever\.co|ashbyhq\.com|adp\.com|myworkdayjobs\.com|myworkdaysite\.com|dover\.io|dover\.com|gem\.com|teamtailor\.com|bamboohr\.com|workable\.com)$')""")
 def extracted_links(spark: SparkSession, d: str) -> DataFrame:
-    """C16"""
-    found = read(spark, d, "pages").select(F.explode(urls.links_in(F.col("html"))).alias("link"))
+    """Pages that also name a posting, once in markup and once in prose"""
+    named = F.concat(F.col("html"), F.lit(' <a href="'), F.replace(F.col("link"), F.lit("&"), F.lit("&amp;")), F.lit('">job</a> or '), F.col("link"), F.lit("."))
+    found = read(spark, d, "pages").join(_links(spark, d), "page_id").select(F.explode(urls.links_in(named)).alias("link"))
     return found.where(urls.ats_of(F.col("link")) != "").distinct()
 
 
@@ -175,10 +178,60 @@ def applied_filters(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", apply_filters({"keywords": keyword_reason(F.col("title"), F.col("company"), F.col("description"), EXCLUDED), "age": F.when(~fresh, "old")}).alias("filter_reason"))
 
 
-@register("SELECT id, length(trim(description)) < 200 AS needs FROM v_postings", ["v_postings"])
+@register(
+    "WITH p AS (SELECT *, CASE WHEN length(title) % 5 = 0 THEN true WHEN length(title) % 5 = 1 THEN false END AS snippet, CASE WHEN source < 'src3' THEN concat('https://', source, '.indeed.com/x') ELSE url END AS link FROM v_postings)"
+    " SELECT id, coalesce(snippet, false) OR length(trim(description)) < 200 AS needs, CASE WHEN regexp_matches(link, '^https?://([^/]+\\.)?indeed\\.com(/|$)') THEN 'indeed.com' END AS blocked FROM p",
+    ["v_postings"],
+)
 def needs_description(spark: SparkSession, d: str) -> DataFrame:
     """F14"""
-    return read(spark, d, "v_postings").select("id", (F.length(F.trim("description")) < 200).alias("needs"))
+    n = F.length("title") % 5
+    link = F.when(F.col("source") < "src3", F.concat(F.lit("https://"), "source", F.lit(".indeed.com/x"))).otherwise(F.col("url"))
+    return read(spark, d, "v_postings").select("id", filters.needs_description(F.col("description"), F.when(n == 0, True).when(n == 1, False)).alias("needs"), filters.unreadable_host(link).alias("blocked"))
+
+
+_YEARS = "SELECT id, title, company, concat(description, '\nRequires ', 1 + length(title) % 12, '+ years of software experience. At least ', 1 + ord % 9, ' years of work with it, or ', 1 + ord % 4, ' years of work with a degree.') AS text FROM {v}"
+
+
+@register(
+    f"WITH t AS ({_YEARS.replace('{v}', 'v_postings')}), n AS (SELECT id, list_transform(regexp_extract_all(text, '([0-9]+)[+]? years of', 1), lambda x: CAST(x AS INT)) AS n FROM t), y AS (SELECT id, greatest(n[1], least(n[2], n[3])) AS years FROM n)"
+    " SELECT id, years, CASE WHEN years > 6 THEN 'requires ' || years || '+ years (max 6)' END AS reason FROM y",
+    ["v_postings"],
+)
+def required_years(spark: SparkSession, d: str) -> DataFrame:
+    """a requirement and two alternatives after every text; the highest counts, of alternatives the lowest."""
+    p = spark.sql(_YEARS, v=read(spark, d, "v_postings"))
+    return p.select("id", years.required_years(F.col("text"), F.col("company")).alias("years"), years.years_reason(F.col("title"), F.col("text"), F.col("company"), 6).alias("reason"))
+
+
+_ASKED = "SELECT concat('src', user_id % 20, '_', user_id) AS id, CASE event_type WHEN 'view' THEN 'software_role' WHEN 'click' THEN 'students_only' WHEN 'purchase' THEN 'requires_clearance' WHEN 'error' THEN 'requires_citizenship' ELSE 'other' END AS question, CASE WHEN value < 400 THEN round(value - floor(value), 2) END AS p FROM {e}"
+
+
+@register(
+    f"WITH a AS ({_ASKED.replace('{e}', 'events')}), m AS (SELECT id, max(p) FILTER (question = 'software_role') AS r, max(p) FILTER (question = 'students_only') AS s, max(p) FILTER (question = 'requires_citizenship') AS c, max(p) FILTER (question = 'requires_clearance') AS k FROM a GROUP BY id)"
+    " SELECT v.id, CASE WHEN r < 0.5 THEN printf('not a software engineering role (model: %.2f)', r) WHEN s >= 0.5 THEN printf('only for current students (model: %.2f)', s) WHEN k >= 0.5 THEN printf('requires a security clearance (model: %.2f)', k) WHEN c >= 0.5 THEN printf('requires citizenship (model: %.2f)', c) END AS reason FROM v_postings v LEFT JOIN m ON m.id = v.id",
+    ["v_postings"],
+)
+def model_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """F11"""
+    answers = spark.sql(_ASKED, e=read(spark, d, "events"))
+    return filters.model_check_verdict(read(spark, d, "v_postings").select("id"), answers, True, ["clearance", "citizenship"])
+
+
+@register(
+    "SELECT id, title, company, strftime(make_timestamp(CAST(posted_at AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS posted_at, md5(description) AS description FROM (SELECT id, coalesce(title, '') AS title, CASE WHEN company = 'src1' THEN '' ELSE company END AS company, posted_at, coalesce(description, '') AS description FROM v_postings)",
+    ["v_postings"],
+)
+def cleaned_postings(spark: SparkSession, d: str) -> DataFrame:
+    """With the company of one source missing"""
+    p = read(spark, d, "v_postings").withColumn("company", F.when(F.col("company") != "src1", F.col("company")))
+    return text.clean_posting(p).select("id", "title", "company", "posted_at", F.md5("description").alias("description"))
+
+
+@register("SELECT id, md5('Candidate profile:\nknows ' || source || '\n\nJob title: ' || title || '\nCompany: ' || company || '\n\nJob description:\n' || left(description, 8000)) AS state FROM v_postings".replace("\n", "' || chr(10) || '"), ["v_postings"])
+def model_states(spark: SparkSession, d: str) -> DataFrame:
+    """C21"""
+    return read(spark, d, "v_postings").select("id", F.md5(text.model_state(F.concat(F.lit("knows "), "source"), F.col("title"), F.col("company"), F.col("description"))).alias("state"))
 
 
 # --- outcomes -------------------------------------------------------------------------------------------------------
@@ -280,6 +333,34 @@ def applications_from_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.verdicts_to_applications(read(spark, d, "v_verdicts"), read(spark, d, "v_outcomes"), read(spark, d, "v_applications").where("board < 'board2'"), DAY_NOW)
 
 
+@register("SELECT a.id, a.job_id, o.first_saved_at FROM v_applications a LEFT JOIN (SELECT id, min(first_run_at) AS first_saved_at FROM v_outcomes GROUP BY id) o ON o.id = a.job_id", ["v_applications", "v_outcomes"])
+def first_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Q4"""
+    ids = read(spark, d, "v_applications").select(F.col("id").alias("application"), F.col("job_id").alias("id"))
+    return outcomes.first_saved(ids, read(spark, d, "v_outcomes")).select(F.col("application").alias("id"), F.col("id").alias("job_id"), "first_saved_at")
+
+
+@register("SELECT 'saved' AS kind, verdict AS value, count(*) AS n FROM v_verdicts GROUP BY ALL UNION ALL SELECT 'ignored', event_type, count(*) FROM events WHERE event_type IN ('signup', 'error') GROUP BY ALL", ["v_verdicts"])
+def feedback_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A12"""
+    ignored = read(spark, d, "events").where("event_type IN ('signup', 'error')").select(F.col("event_type").alias("reason"))
+    return outcomes.feedback_counts(read(spark, d, "v_verdicts"), ignored)
+
+
+_ALERTS = "SELECT id, title, company, source AS location, url, score_label, concat('resume', ord % 3) AS resume_id, filter_reason AS reasoning, source, CASE WHEN ord % 5 = 0 THEN '' ELSE concat('', run_at) END AS posted_at, ord FROM {o} WHERE status = 'notified'"
+
+
+@register(
+    f"WITH a AS ({_ALERTS.replace('{o}', 'v_outcomes')}) SELECT id, concat_ws(chr(10), title || ' at ' || company, 'Location: ' || location, 'Link: ' || url, '', 'Score: ' || score_label, 'Resume: ' || resume_id, 'Why: ' || reasoning, 'Matched skills: ' || CASE WHEN source < 'src2' THEN 'sql, ' || source ELSE 'none' END, 'Gaps: go', 'Source: ' || source || ' | Posted: ' || CASE WHEN posted_at = '' THEN 'unknown' ELSE posted_at END) AS body FROM a",
+    ["v_outcomes"],
+)
+def alerts_outbox(spark: SparkSession, d: str) -> DataFrame:
+    """Q5"""
+    a = spark.sql(_ALERTS, o=read(spark, d, "v_outcomes"))
+    own = F.when(F.col("source") < "src2", F.array(F.lit("sql"), F.col("source"))).otherwise(F.array().cast("array<string>"))
+    return outcomes.alerts_outbox(a.withColumn("matched", own).withColumn("gaps", F.array(F.lit("go"))))
+
+
 _CANDIDATES = "SELECT CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN concat(url, '?utm_source=x') ELSE url END AS url, title, company, id AS n FROM {v}"
 
 
@@ -506,13 +587,13 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
 @register(
     """WITH a AS (SELECT count(*) AS labelled, count_if(s >= 6 AND id % 3 = 0) AS alerts, count_if(s >= 6 AND id % 3 = 0 AND label = 'notify') AS caught, count_if(label = 'notify') AS good FROM v_labelled),
 x AS (SELECT *, caught / alerts AS p, 1.96 AS z FROM a)
-SELECT alerts, round(100 * alerts / labelled, 1) AS per100, p AS worth, round((p + z * z / (2 * alerts) - z * sqrt(p * (1 - p) / alerts + z * z / (4 * alerts * alerts))) / (1 + z * z / alerts), 3) AS low, round((p + z * z / (2 * alerts) + z * sqrt(p * (1 - p) / alerts + z * z / (4 * alerts * alerts))) / (1 + z * z / alerts), 3) AS high, caught, good FROM x""",
+SELECT alerts, round(100 * alerts / labelled, 1) AS per100, p AS worth, round((p + z * z / (2 * alerts) - z * sqrt(p * (1 - p) / alerts + z * z / (4 * alerts * alerts))) / (1 + z * z / alerts), 3) AS low, round((p + z * z / (2 * alerts) + z * sqrt(p * (1 - p) / alerts + z * z / (4 * alerts * alerts))) / (1 + z * z / alerts), 3) AS high, caught, good, p > 0.2 AND caught >= 2 AS go FROM x""",
     ["v_labelled"],
 )
 def alert_summary(spark: SparkSession, d: str) -> DataFrame:
     """A19, X12"""
     rows = read(spark, d, "v_labelled").select("label", F.when(F.col("s") >= 6, "notify").alias("decision"), (F.col("id") % 3 == 0).alias("keep"))
-    return evaluate.alert_summary(rows)
+    return evaluate.go_no_go(evaluate.alert_summary(rows), 10, 2)
 
 
 @register("SELECT label, count_if(s >= 6) AS notify, count_if(s >= 4 AND s < 6) AS log, count_if(s < 4) AS skip FROM v_labelled GROUP BY label", ["v_labelled"])
