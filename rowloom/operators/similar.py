@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.text import group_key
+from rowloom.functions.text import group_key, let
 
 from .graph import components, written
 
@@ -14,18 +14,16 @@ SALT_ROWS = 500
 
 
 def shingles(text: Column, n: int = 5, min_words: int = 30) -> Column:
-    """Distinct word n-grams of a text, null with fewer words than min_words."""
+    """Hashes of the distinct word n-grams of a text, sorted; null with fewer words than min_words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9+#]+)"), F.lit(1))
-    k = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    grams = F.slice(words, F.lit(1), k)
-    for i in range(1, n):
-        grams = F.zip_with(grams, F.slice(words, F.lit(1 + i), k), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.when(F.size(words) >= min_words, F.array_distinct(grams))
+    gram = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(n)])
+    grams = lambda w: F.when(F.size(w) >= max(min_words, n), F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: gram(w, i)))))
+    return let(words, grams)
 
 
 def _indexed(df: DataFrame, text: str) -> DataFrame:
     """ord, sorted hashes of shingles, and a key that equal sets share, for rows that have any."""
-    out = df.select("ord", shingles(F.col(text)).alias("_s")).where("_s IS NOT NULL").select("ord", F.array_sort(F.transform("_s", lambda g: F.xxhash64(g))).alias("_h"))
+    out = df.select("ord", shingles(F.col(text)).alias("_h")).where("_h IS NOT NULL")
     return out.withColumn("_k", F.sha2(F.array_join(F.transform("_h", lambda h: h.cast("string")), ","), 256))
 
 
@@ -38,37 +36,44 @@ def _keys_below(a: DataFrame, b: DataFrame | None, max_df: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """k, n, left, right and h: of every set, the rarest of its shingles, one of which any similar set has among its own
-    rarest. Rarity counts different sets; ties go by hash, so that the order is one for all sets."""
-    flat = sets.select("k", "left", "right", F.size("_h").alias("n"), F.explode("_h").alias("h"))
-    df = flat.groupBy("h").agg(F.count(F.lit(1)).alias("d"))
-    ranked = flat.join(df, "h").groupBy("k", "left", "right", "n").agg(F.array_sort(F.collect_list(F.struct("d", "h"))).alias("_r"))
-    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1
-    return ranked.select("k", "left", "right", "n", F.explode(F.slice("_r", F.lit(1), first.cast("int"))).alias("_e")).where("_e.d > 1").select("k", "left", "right", "n", F.col("_e.h").alias("h"))
+    """id, n, left, right and h: of every set, the rarest of its shingles, one of which any similar set has among its own
+    rarest. Rarity counts different sets; ties go by hash, so that the order is one for all sets.
+
+    Shingles of one set alone come first in that order and find nothing, so only their number counts: what is joined and
+    ranked are the shared ones.
+    """
+    flat = sets.select("id", F.explode("_h").alias("h"))
+    shared = flat.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    ranked = flat.join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "h"))).alias("_r"))
+    own = ranked.join(sets.select("id", "n", "left", "right"), "id")
+    first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("_r"))
+    return own.where(first > 0).select("id", "n", "left", "right", F.explode(F.slice("_r", F.lit(1), first.cast("int"))).alias("_e")).select("id", "n", "left", "right", F.col("_e.h").alias("h"))
 
 
 def _similar_sets(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFrame:
-    """(x, y) keys of different sets of at least the threshold's similarity, x of a and y of b, or x < y without b.
+    """(x, y) keys of different sets of at least the threshold's similarity, x of a and y of b, or one order of each pair
+    without b.
 
     Copies count once, and every shingle counts: no document frequency is left out. Prefixes that many sets share are
-    spread over tasks by salting one side and repeating the other.
+    spread over tasks by salting one side and repeating the other; sizes prune before any set of hashes moves.
     """
-    own = lambda df, name: df.groupBy("_k").agg(F.first("_h").alias("_h")).select(F.col("_k").alias("k"), "_h", F.lit(name == "left").alias("left"), F.lit(name == "right").alias("right"))
+    own = lambda df, name: df.groupBy("_k").agg(F.first("_h").alias("_h")).select("_k", "_h", F.lit(name == "left").alias("left"), F.lit(name == "right").alias("right"))
     if b is None:
         sets = own(a, "left").withColumn("right", F.lit(True))
     else:
         both = own(a, "left").unionByName(own(b, "right"))
-        sets = both.groupBy("k").agg(F.first("_h").alias("_h"), F.max("left").alias("left"), F.max("right").alias("right"))
-    sets = written(sets)
+        sets = both.groupBy("_k").agg(F.first("_h").alias("_h"), F.max("left").alias("left"), F.max("right").alias("right"))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("id"), F.size("_h").alias("n"), "_k", "_h", "left", "right"))
     entries = written(_prefixes(sets, threshold))
     salts = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("m"))
     entries = entries.join(salts, "h")
-    x = entries.where("left").select("h", F.col("k").alias("x"), F.col("n").alias("nx"), F.pmod(F.xxhash64("k"), F.col("m")).cast("int").alias("salt"))
-    y = entries.where("right").select("h", F.col("k").alias("y"), F.col("n").alias("ny"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"))
+    x = entries.where("left").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("salt"))
+    y = entries.where("right").select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"))
     near = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.col("x") < F.col("y") if b is None else F.col("x") != F.col("y"))
     pairs = x.join(y, ["h", "salt"]).where(near).select("x", "y").distinct()
-    pairs = pairs.join(sets.select(F.col("k").alias("x"), F.col("_h").alias("_x")), "x").join(sets.select(F.col("k").alias("y"), F.col("_h").alias("_y")), "y")
-    return pairs.where(_jaccard("_x", "_y") >= threshold).select("x", "y")
+    end = lambda name: sets.select(F.col("id").alias(name), F.col("_h").alias(f"_{name}"), F.col("_k").alias(f"_k{name}"))
+    found = pairs.join(end("x"), "x").join(end("y"), "y")
+    return found.where(_jaccard("_x", "_y") >= threshold).select(F.col("_kx").alias("x"), F.col("_ky").alias("y"))
 
 
 def _jaccard(x: str, y: str) -> Column:
