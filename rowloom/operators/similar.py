@@ -24,7 +24,8 @@ def shingles(text: Column, n: int = 5, min_words: int = 30) -> Column:
 def _indexed(df: DataFrame, text: str) -> DataFrame:
     """ord, sorted hashes of shingles, and a key that equal sets share, for rows that have any."""
     out = df.select("ord", shingles(F.col(text)).alias("_h")).where("_h IS NOT NULL")
-    return out.withColumn("_k", F.sha2(F.array_join(F.transform("_h", lambda h: h.cast("string")), ","), 256))
+    # two hashes of other seeds, 128 bits together
+    return out.withColumn("_k", F.concat_ws("-", F.hex(F.xxhash64("_h")), F.hex(F.xxhash64(F.lit(1), F.col("_h")))))
 
 
 def _keys_below(a: DataFrame, b: DataFrame | None, max_df: int) -> DataFrame:
