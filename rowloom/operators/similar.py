@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import group_key, let
 
-from .graph import components, written
+from .graph import components, join_one, written
 
 #: Sets that share a shingle of their prefixes and meet in one task at most, on the salted side.
 SALT_ROWS = 500
@@ -28,14 +28,6 @@ def _indexed(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_k", F.concat_ws("-", F.hex(F.xxhash64("_h")), F.hex(F.xxhash64(F.lit(1), F.col("_h")))))
 
 
-def _keys_below(a: DataFrame, b: DataFrame | None, max_df: int) -> DataFrame:
-    """(ord of a, ord of b) of rows that share a shingle which at most max_df rows of b have; i < j without b."""
-    same, b = b is None, a if b is None else b
-    light = b.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_df).select("h")
-    keys = lambda x, name: x.select(F.col("ord").alias(name), F.explode("_h").alias("h")).join(light, "h")
-    return keys(a, "i").join(keys(b, "j"), "h").where("i < j" if same else "true").select("i", "j").distinct()
-
-
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """id, n, left, right and h: of every set, the rarest of its shingles, one of which any similar set has among its own
     rarest. Rarity counts different sets; ties go by hash, so that the order is one for all sets.
@@ -82,40 +74,62 @@ def _jaccard(x: str, y: str) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame | None = None, text: str = "description", threshold: float = 0.8, max_df: int | None = None) -> DataFrame:
-    """Pairs (i, j) of ord values whose shingle sets have a Jaccard similarity of at least threshold; i < j within
-    left when right is None.
+def _first_of(indexed: DataFrame) -> DataFrame:
+    """_k and the smallest ord of each set, by which its class is named."""
+    return indexed.groupBy("_k").agg(F.min("ord").alias("class"))
+
 
-    Rows with equal sets are one set; different sets are found by an exact prefix filter over all shingles. The result
-    has every pair of a group, so it grows with the square of a group's rows; job_groups and exclude_near_duplicates
-    don't. With max_df, as in the reference, candidates share a shingle that at most max_df texts of the indexed side have.
+def similar_pairs(left: DataFrame, right: DataFrame | None = None, text: str = "description", threshold: float = 0.8) -> DataFrame:
+    """Pairs (i, j) of classes whose shingle sets have a Jaccard similarity of at least threshold; i < j within left
+    when right is None, else i is a class of left and j one of right.
+
+    A class is the rows of one table with equal sets, named by its smallest ord; similar_classes() says which row is in
+    which. Its rows are all similar to each other and alike to the rest, so they aren't made into pairs, and the result
+    has one row for each link between different sets (and, between two tables, one where both have a set). Rows with too
+    few words are in no pair; an empty table gives none.
     """
     same = right is None
     a = written(_indexed(left, text))
     b = a if same else written(_indexed(right, text))
-    if max_df is not None:
-        pairs = _keys_below(a, None if same else b, max_df)
-        sets = pairs.join(a.select(F.col("ord").alias("i"), F.col("_h").alias("x")), "i").join(b.select(F.col("ord").alias("j"), F.col("_h").alias("y")), "j")
-        return sets.where(_jaccard("x", "y") >= threshold).select("i", "j")
-    mine, theirs = a.select(F.col("ord").alias("i"), F.col("_k").alias("x")), b.select(F.col("ord").alias("j"), F.col("_k").alias("y"))
-    equal = mine.join(theirs, F.col("x") == F.col("y")).where("i < j" if same else "true").select("i", "j")
-    across = _similar_sets(a, None if same else b, threshold).join(mine, "x").join(theirs, "y")
-    return equal.unionByName(across.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")) if same else across.select("i", "j"))
+    mine = written(_first_of(a))
+    theirs = mine if same else written(_first_of(b))
+    ends = mine.select(F.col("_k").alias("x"), F.col("class").alias("i")), theirs.select(F.col("_k").alias("y"), F.col("class").alias("j"))
+    across = _similar_sets(a, None if same else b, threshold).join(ends[0], "x").join(ends[1], "y")
+    if same:
+        return across.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    equal = ends[0].join(ends[1], F.col("x") == F.col("y"))
+    return across.select("i", "j").unionByName(equal.select("i", "j"))
+
+
+def similar_classes(rows: DataFrame, text: str = "description", threshold: float = 0.8, links: bool = True) -> DataFrame:
+    """Ord, class and, with links, the number of classes that the row's class is similar to, for every row.
+
+    A row with too few words for shingles is a class of its own without links; a repeated ord is a row each time.
+    """
+    indexed = written(_indexed(rows, text))
+    first = written(_first_of(indexed))
+    if links:
+        pairs = _similar_sets(indexed, None, threshold)
+        degree = pairs.select(F.explode(F.array("x", "y")).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("links"))
+        first = written(first.join(degree, "_k", "left").select("_k", "class", F.coalesce("links", F.lit(0)).alias("links")))
+    found = join_one(indexed.select("ord", "_k"), first, ["_k"]).drop("_k")
+    short = rows.select("ord", shingles(F.col(text)).isNull().alias("_s")).where("_s").select("ord", F.col("ord").alias("class"), *[F.lit(0).cast("long").alias("links")] * links)
+    return found.unionByName(short)
 
 
 def similar_rows(rows: DataFrame, reference: DataFrame, text: str = "description", threshold: float = 0.8) -> DataFrame:
-    """ord of the rows that have a similar row in the reference (the i of similar_pairs), without making the pairs."""
+    """ord of the rows that have a similar row in the reference."""
     a, b = written(_indexed(rows, text)), written(_indexed(reference, text))
     found = _similar_sets(a, b, threshold).select(F.col("x").alias("_k")).unionByName(b.select("_k")).distinct()
     return a.join(found, "_k", "left_semi").select("ord").distinct()
 
 
 def similar_links(rows: DataFrame, text: str = "description", threshold: float = 0.8) -> DataFrame:
-    """(a, b) links of ord values whose components are those of similar_pairs: each row to the first of its set, and one
+    """(a, b) links of ord values whose components are those of similar rows: each row to the first of its set, and one
     link for each pair of similar sets."""
     indexed = written(_indexed(rows, text))
-    first = written(indexed.groupBy("_k").agg(F.min("ord").alias("b")))
-    own = indexed.select("ord", "_k").join(first, "_k").where("ord <> b").select(F.col("ord").alias("a"), "b")
+    first = written(_first_of(indexed).withColumnRenamed("class", "b"))
+    own = join_one(indexed.select("ord", "_k"), first, ["_k"]).where("ord <> b").select(F.col("ord").alias("a"), "b")
     ends = lambda k, name: first.select(F.col("_k").alias(k), F.col("b").alias(name))
     return own.unionByName(_similar_sets(indexed, None, threshold).join(ends("x", "a"), "x").join(ends("y", "b"), "y").select("a", "b"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import scores
-from rowloom.operators import condense, employment, evaluate, graph, lexicon, listings, location, pools, similar
+from rowloom.operators import condense, employment, evaluate, graph, lexicon, listings, location, pools
 
 from .queries import NOW, QUERIES, _answers, _LOGITS, has, read, register, w
 
@@ -73,12 +73,6 @@ def posting_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("id", condense.matching_lines(F.col("text"), ["the", "der", "que"]).alias("lines"), condense.matching_lines(F.col("text"), ["thing"], sentences=True, prefixes=["onth"]).alias("sentences"))
 
 
-def excluded_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Odd documents against even ones"""
-    p = read(spark, d, "v_postings")
-    return similar.exclude_near_duplicates(p.where("ord % 2 = 1"), p.where("ord % 2 = 0")).select("id", "excluded")
-
-
 @register("SELECT concat('pool', ord % 2) AS pool, CASE ord % 6 WHEN 0 THEN 'clearance' WHEN 1 THEN 'seniority' WHEN 2 THEN 'location' WHEN 3 THEN 'other' WHEN 4 THEN 'none' ELSE 'citizenship' END AS category, count(*) AS n FROM v_postings GROUP BY ALL", ["v_postings"])
 def dealbreaker_counts(spark: SparkSession, d: str) -> DataFrame:
     """A9"""
@@ -182,5 +176,5 @@ def contract_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "v_postings").select("id", employment.contract_reason(title, text, listed).alias("contract"), employment.hourly_reason(title, text, pay).alias("hourly"))
 
 
-for f in (condensed_postings, input_health, posting_excerpts, excluded_duplicates, split_pool, capped_labels, question_metrics, temperatures):
+for f in (condensed_postings, input_health, posting_excerpts, split_pool, capped_labels, question_metrics, temperatures):
     QUERIES[f.__name__] = f

@@ -655,13 +655,47 @@ def band_scores(spark: SparkSession, d: str) -> DataFrame:
 
 # --- similarity -----------------------------------------------------------------------------------------------------
 
-_SHINGLES = "w AS (SELECT ord, title, company, id, regexp_extract_all(lower(description), '([a-z0-9+#]+)', 1) AS w FROM v_postings), h AS (SELECT ord, list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4])) AS s FROM w WHERE len(w) >= 30), e AS (SELECT ord, unnest(s) AS g FROM h), n AS (SELECT g FROM e GROUP BY g HAVING count(*) BETWEEN 2 AND 100), x AS (SELECT DISTINCT a.ord AS i, b.ord AS j FROM e a JOIN n USING (g) JOIN e b USING (g) WHERE a.ord < b.ord), pairs AS (SELECT i, j FROM x JOIN h a ON a.ord = i JOIN h b ON b.ord = j WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.8)"
+# rows of one table with equal shingle sets are a class, named by its smallest ord; shared: shingles that two classes share
+_SHINGLES = """w AS (SELECT ord, regexp_extract_all(lower(description), '([a-z0-9+#]+)', 1) AS w FROM v_postings),
+h AS (SELECT ord, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4]))) AS s FROM w WHERE len(w) >= 30),
+c AS (SELECT s, min(ord) AS rep FROM h GROUP BY s), e AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM c),
+x AS (SELECT a.rep AS i, b.rep AS j, a.n AS ni, b.n AS nj, count(*) AS shared FROM e a JOIN e b USING (g) WHERE a.rep < b.rep GROUP BY ALL), pairs AS (SELECT i, j FROM x WHERE shared / (ni + nj - shared) >= 0.8)"""
+_GROUP_KEY = "(trim(regexp_replace(translate(lower(title), '-/', '  '), '\\s+', ' ', 'g')) || chr(10) || trim(regexp_replace(translate(lower(company), '-/', '  '), '\\s+', ' ', 'g')))"
 
 
 @register(f"WITH {_SHINGLES} SELECT i, j FROM pairs", ["v_postings"])
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """J13"""
+    """Links between classes of equal sets; similar_classes has their members."""
     return similar.similar_pairs(read(spark, d, "v_postings"))
 
 
-QUERIES["job_groups"] = lambda spark, d: similar.job_groups(read(spark, d, "v_postings"))
+@register(
+    f"WITH {_SHINGLES}, l AS (SELECT k, count(*) AS links FROM (SELECT i AS k FROM pairs UNION ALL SELECT j FROM pairs) GROUP BY k) SELECT ord, coalesce(rep, ord) AS class, coalesce(links, 0) AS links FROM v_postings LEFT JOIN h USING (ord) LEFT JOIN c USING (s) LEFT JOIN l ON k = rep",
+    ["v_postings"],
+)
+def similar_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting with its class and its number of links"""
+    return similar.similar_classes(read(spark, d, "v_postings"))
+
+
+@register(
+    f"""WITH RECURSIVE {_SHINGLES}, k AS (SELECT ord, {_GROUP_KEY} AS k FROM v_postings), m AS (SELECT k, min(ord) AS b FROM k GROUP BY k),
+l AS (SELECT ord AS a, b FROM k JOIN m USING (k) UNION SELECT ord, rep FROM h JOIN c USING (s) UNION SELECT i, j FROM pairs), g AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) WHERE a <> b),
+r AS (SELECT ord AS a, ord AS b FROM v_postings UNION SELECT r.a, g.b FROM r JOIN g ON g.a = r.b) SELECT a AS ord, min(b) AS "group" FROM r GROUP BY a""",
+    ["v_postings"],
+)
+def job_groups(spark: SparkSession, d: str) -> DataFrame:
+    """J15"""
+    return similar.job_groups(read(spark, d, "v_postings"))
+
+
+@register(
+    f"""WITH {_SHINGLES}, p AS (SELECT ord, id, {_GROUP_KEY} AS k FROM v_postings), near AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs UNION ALL SELECT rep, rep FROM c),
+even AS (SELECT DISTINCT rep FROM h JOIN c USING (s) WHERE ord % 2 = 0), lk AS (SELECT DISTINCT h.ord FROM h JOIN c USING (s) JOIN near ON i = rep JOIN even ON even.rep = j)
+SELECT id, CASE WHEN id IN (SELECT id FROM p WHERE ord % 2 = 0) THEN 'same_id' WHEN k IN (SELECT k FROM p WHERE ord % 2 = 0) THEN 'same_title_company' WHEN ord IN (SELECT ord FROM lk) THEN 'similar_text' END AS excluded FROM p WHERE ord % 2 = 1""",
+    ["v_postings"],
+)
+def excluded_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Odd postings against even ones"""
+    p = read(spark, d, "v_postings")
+    return similar.exclude_near_duplicates(p.where("ord % 2 = 1"), p.where("ord % 2 = 0")).select("id", "excluded")

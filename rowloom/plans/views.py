@@ -90,4 +90,6 @@ def with_views(names: list[str], select: str) -> str:
     texts = [VIEWS[n][1] for n in names]
     parts = [f"v_events AS ({EVENTS['duckdb']})"] * any("v_events" in t for t in texts) + [f"{n} AS ({t})" for n, t in zip(names, texts, strict=True)]
     select = select.strip()
-    return f"WITH {', '.join(parts)}" + (f", {select[4:]}" if select[:5].upper() == "WITH " else f" {select}")
+    again = "RECURSIVE " if select.startswith("WITH RECURSIVE ") else ""
+    select = select.replace("WITH RECURSIVE ", "WITH ", 1)
+    return f"WITH {again}{', '.join(parts)}" + (f", {select[4:]}" if select[:5].upper() == "WITH " else f" {select}")

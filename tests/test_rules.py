@@ -202,9 +202,11 @@ def test_similar_pairs_count_heavy_shingles(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words)] * 3 + [" ".join(words[:58] + ["x", "y"]), "short text"]
     df = spark.createDataFrame(list(enumerate(texts)), "ord long, description string")
-    got = sorted(map(tuple, similar.similar_pairs(df).collect()))
-    assert got == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
-    assert similar.similar_pairs(df, max_df=2).count() == 0
+    assert sorted(map(tuple, similar.similar_pairs(df).collect())) == [(0, 3)]
+    assert sorted(map(tuple, similar.similar_classes(df).collect())) == [(0, 0, 1), (1, 0, 1), (2, 0, 1), (3, 3, 1), (4, 4, 0)]
+    assert sorted(map(tuple, similar.similar_classes(df, links=False).collect())) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4)]
+    none = df.limit(0)
+    assert similar.similar_pairs(none).count() == similar.similar_classes(none).count() == similar.similar_pairs(df, none).count() == 0
 
 
 def test_similar_pairs_of_hot_groups(spark):
@@ -216,10 +218,14 @@ def test_similar_pairs_of_hot_groups(spark):
     sets = [frozenset(zip(*[t.split()[k:] for k in range(5)], strict=False)) if len(t.split()) >= 30 else None for t in texts]
     like = lambda x, y: bool(x and y) and len(x & y) / len(x | y) >= 0.8
     wanted = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if like(sets[i], sets[j])]
-    assert sorted(map(tuple, similar.similar_pairs(df).collect())) == wanted and len(wanted) > 130 * 129 // 2
+    member = lambda rows: {r["ord"]: r["class"] for r in similar.similar_classes(rows, links=False).collect() if sets[r["ord"]]}
+    classes, linked = member(df), {tuple(r) for r in similar.similar_pairs(df).collect()}
+    linked |= {(j, i) for i, j in linked} | {(k, k) for k in classes.values()}
+    assert [(i, j) for i in classes for j in classes if i < j and (classes[i], classes[j]) in linked] == wanted and len(wanted) > 130 * 129 // 2
     odd, even = df.where("ord % 2 = 1"), df.where("ord % 2 = 0")
     across = [(i, j) for i in range(1, len(texts), 2) for j in range(0, len(texts), 2) if like(sets[i], sets[j])]
-    assert sorted(map(tuple, similar.similar_pairs(odd, even).collect())) == across
+    mine, theirs, linked = member(odd), member(even), {tuple(r) for r in similar.similar_pairs(odd, even).collect()}
+    assert sorted((i, j) for i in mine for j in theirs if (mine[i], theirs[j]) in linked) == across
     excluded = similar.exclude_near_duplicates(odd, even).where("excluded = 'similar_text'").select("ord").collect()
     assert sorted(r["ord"] for r in excluded) == sorted({i for i, _ in across})
     root = list(range(len(texts)))
