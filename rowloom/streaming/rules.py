@@ -1,4 +1,5 @@
-"""The same rules over streams. State is keyed, bounded by watermarks or time to live, and sinks are idempotent."""
+"""The same rules over streams. State is keyed, bounded by watermarks, timers or time to live, and sinks are
+idempotent. suppress_repeats() and the clocks need spark.sql.streaming.stateStore.providerClass set to Spark's RocksDB store."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rowloom.operators.outcomes import append_verdicts, filter_unseen, verdicts_to_applications
+from rowloom.operators.tracker import GHOST_DAYS, follow_up_for
 
 
 def landed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -44,17 +46,17 @@ def append_new_verdicts(table: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def create_applications(folder: str, outcomes: DataFrame, today_day: int) -> Callable[[DataFrame, int], None]:
-    """Applications from verdicts, in a folder of the batch's own, so that a replay writes the same files again."""
+def create_applications(folder: str, outcomes: DataFrame, today_day: int, applications: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """Applications from verdicts, in a folder of the batch's own, so that a replay writes the same files again.
+
+    Jobs with an application, given or of an earlier batch, get no other one; earlier batches are one scan of the folder.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        done = spark.createDataFrame([], "job_id string")
+        done = spark.createDataFrame([], "job_id string") if applications is None else applications.select("job_id")
         if number:
-            import functools
-
-            parts = [spark.read.parquet(f"{folder}/batch={k}").select("job_id") for k in range(number)]
-            done = functools.reduce(DataFrame.unionByName, parts)
+            done = done.unionByName(spark.read.schema("job_id string, batch long").parquet(folder).where(F.col("batch") < number).select("job_id"))
         verdicts_to_applications(batch, outcomes, done, today_day).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return each
@@ -69,8 +71,8 @@ def _keyed(schema: str, state: str, handle):
             self.handle = handle_
             self.state = handle_.getValueState("v", state, ttl_ms())
 
-        def handleInputRows(self, key, rows, timers):
-            yield from handle(self, key, rows, timers)
+        def handleInputRows(self, key, rows, timerValues):
+            yield from handle(self, key, rows, timerValues)
 
         def close(self):
             pass
@@ -102,17 +104,102 @@ def suppress_repeats(stream: DataFrame, days: int = 30) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=_keyed("", "seen long", handle), outputStructType="key string, id string, at long, repeat boolean", outputMode="Append", timeMode="ProcessingTime")
 
 
-def gone_clock(stream: DataFrame, hours: int = 24) -> DataFrame:
-    """T4, T5: empty answers (id, at: seconds) with status: gone once they have been empty for hours since the first."""
+def deadlines(stream: DataFrame, late: str = "1 hour", restart: bool = False) -> DataFrame:
+    """Rows (id, at, due, tag: timestamps and a text) of a stream, one for each clock that ran out: the watermark passed its
+    due time and no row with a null due, which ends the clock of its id, came in between.
+
+    A clock starts with the first row that has a due time and keeps that start: a later row changes its length (due - at)
+    and its tag only. With restart, each row starts it anew. State: one row an id that waits, cleared with its timer, so
+    silent ids come out and leave nothing behind. Rows of one id and batch are folded by time; rows before the watermark
+    are too late and don't count.
+    """
     import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    def handle(self, key, rows, timers):
-        times = pd.concat(list(rows))["at"]
-        first = min([int(times.min()), *([self.state.get()[0]] if self.state.exists() else [])])
-        self.state.update((first,))
-        yield pd.DataFrame({"id": [key[0]], "first_at": [first], "status": ["gone" if int(times.max()) - first >= hours * 3600 else "pending"]})
+    class Clock(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("clock", "first long, due long, tag string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            old = tuple(self.state.get()) if self.state.exists() else None
+            first, ended, last = (old[0] if old else None), None, None
+            waiting = []  # starts after the last end; only the least of them counts, and ends drop the earlier ones
+            for frame in rows:
+                at, due = frame["at"].astype("datetime64[ms]").astype("int64"), frame["due"]
+                stops = at[due.isna()]
+                if len(stops):
+                    ended = max(int(stops.max()), ended if ended is not None else int(stops.max()))
+                open_ = due.notna() & (at > (ended if ended is not None else at.min() - 1))
+                waiting = [x for x in waiting if ended is None or x > ended] + sorted(set(at[open_].tolist()))
+                if open_.any():
+                    k = at[open_].idxmax()
+                    mine = (int(at[k]), int(due[k].timestamp() * 1000), frame["tag"][k])
+                    last = mine if last is None or mine[0] >= last[0] else last
+            if ended is not None and (first is None or first <= ended):
+                first = None
+            if last is not None and ended is not None and last[0] <= ended:
+                last = None
+            new = old if first is not None else None
+            if last is not None:
+                start = min([*waiting, *([first] if first is not None else [])])
+                new = (last[0], last[1], last[2]) if restart else (start, start + last[1] - last[0], last[2])
+            if new != old:
+                if old:
+                    self.handle.deleteTimer(old[1])
+                if new:
+                    self.state.update(new)
+                    self.handle.registerTimer(new[1])
+                else:
+                    self.state.clear()
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if self.state.exists():
+                first, due, tag = self.state.get()
+                self.state.clear()
+                yield pd.DataFrame({"id": [key[0]], "at": pd.to_datetime([first], unit="ms"), "due": pd.to_datetime([due], unit="ms"), "tag": [tag]})
+
+        def close(self):
+            pass
 
-    return stream.groupBy("id").transformWithStateInPandas(statefulProcessor=_keyed("", "first long", handle), outputStructType="id string, first_at long, status string", outputMode="Update", timeMode="None")
+    rows = stream.select("id", "at", "due", "tag").withWatermark("at", late)
+    return rows.groupBy("id").transformWithStateInPandas(statefulProcessor=Clock(), outputStructType="id string, at timestamp, due timestamp, tag string", outputMode="Append", timeMode="EventTime")
+
+
+def gone_clock(stream: DataFrame, hours: int = 24, late: str = "1 hour") -> DataFrame:
+    """T4: answers (id, at: timestamp, empty) to ids that are gone: empty for hours since the first, nothing else between."""
+    due = F.when(F.col("empty"), F.col("at") + F.expr(f"INTERVAL {hours} HOURS"))
+    out = deadlines(stream.select("id", "at", due.alias("due"), F.lit("gone").alias("tag")), late)
+    return out.select("id", F.col("at").alias("first_at"), F.col("tag").alias("status"))
+
+
+def retry_windows(stream: DataFrame, hours: int = 24, unread: int = 6, late: str = "1 hour") -> DataFrame:
+    """T5: attempts (id, at: timestamp, status) to the final rows of ids whose retries ran out: error_terminal hours after the
+    first failure of the scorer, filtered after unread hours for a posting without a description. Other statuses end it."""
+    wait = F.when(F.col("status") == "error_scorer", F.expr(f"INTERVAL {hours} HOURS")).when(F.col("status") == "error_unavailable", F.expr(f"INTERVAL {unread} HOURS"))
+    final = F.when(F.col("status") == "error_scorer", "error_terminal").otherwise("filtered")
+    out = deadlines(stream.select("id", "at", (F.col("at") + wait).alias("due"), final.alias("tag")), late)
+    return out.select("id", F.col("at").alias("first_run_at"), F.col("due").alias("run_at"), F.col("tag").alias("status"))
+
+
+def application_timers(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Events (id of the application, at: timestamp, kind, value) to reminders: follow up when the last stage's time for
+    an answer is over, or a set follow-up is due, and "ghost?" for applications still at the start with nothing heard.
+
+    Each event starts the clocks of its application anew; closed stages, offers and follow-ups done end the one they are for.
+    """
+    c = F.col
+    days = lambda n: F.make_dt_interval(days=n)
+    stage = c("kind") == "stage"
+    set_on = F.when(c("kind") == "follow_up_set", F.timestamp_seconds(c("value").try_cast("long") * 86_400))
+    follow = F.coalesce(set_on, F.when(stage, c("at") + days(follow_up_for(c("value"), F.lit(0)).cast("int"))))
+    quiet = F.when(~stage | (c("value") == "applied"), c("at") + days(F.lit(GHOST_DAYS)))
+    due = F.explode(F.array(F.struct(F.lit("follow up").alias("tag"), follow.alias("due")), F.struct(F.lit("ghost?").alias("tag"), quiet.alias("due"))))
+    # a clock of its own for each kind of reminder
+    rows = stream.select(c("id").cast("string").alias("id"), "at", due.alias("r")).select(F.concat_ws(":", "r.tag", "id").alias("id"), "at", "r.due", "r.tag")
+    out = deadlines(rows, late, restart=True)
+    return out.select(F.substring_index("id", ":", -1).alias("id"), c("at").alias("last_at"), "due", c("tag").alias("reason"))
 
 
 def application_stages(stream: DataFrame) -> DataFrame:
