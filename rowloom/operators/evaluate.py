@@ -8,16 +8,20 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowloom.functions.scores import softmax, wilson
+from rowloom.functions.scores import STACK_ROLES, answers, gates_pass, softmax, summarise, wilson
 
+from .graph import written
 
-def steps(df: DataFrame, score: str = "s", cells: int = 4096) -> DataFrame:
+
+def steps(df: DataFrame, score: str = "s") -> DataFrame:
     """For each distinct score its rows (n, good) and those at or above it (n_at, good_at).
 
     The running sums go by range partitions: each partition sums its own scores, the sums of partitions above it are
-    added, so no task sees all distinct scores. The order of partitions is that of the ranges.
+    added, so no task sees all distinct scores. The order of partitions is that of the ranges; the counts are written with
+    them, so that sums and scores agree on the ranges also where a lost executor's part is computed again.
     """
-    per = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("good")).repartitionByRange(F.desc(score)).withColumn("_p", F.spark_partition_id())
+    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("good"))
+    per = written(counts.repartitionByRange(F.desc(score)).withColumn("_p", F.spark_partition_id()))
     up = Window.partitionBy("_p").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     sums = per.groupBy("_p").agg(F.sum("n").alias("_n"), F.sum("good").alias("_g"))
     above = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,6 +172,37 @@ def fit_temperature(df: DataFrame, logits: str = "logits", y: str = "y", rounds:
     return round(1 / b, 4)
 
 
+def evaluate_questions(select: DataFrame, calibrate: DataFrame, min_recall: float = 0.3) -> DataFrame:
+    """One report row over labelled answers: temperatures fitted on calibrate, everything else measured on select.
+
+    Rows have logits (role, deal, fit: arrays), role_true, deal_true (0 or 1), deal_known, score (1 to 10), y and label. The
+    report has the temperatures, the average precision of both summaries of fit and the one chosen, its cut-offs for
+    alerts and saved postings (floored to 4 places), what alerts are worth there with the range, counts, question_metrics()
+    and the calibration error of the fit answer before and after. The driver holds a few numbers only.
+    """
+    c = F.col
+    floored = lambda x: math.floor(round(x * 1e4, 6)) / 1e4
+    select, calibrate = written(select), written(calibrate)
+    index = {"role": F.array_position(F.array(*map(F.lit, STACK_ROLES)), c("role_true")) - 1, "deal": c("deal_true"), "fit": c("score") - 1}
+    t = {q: fit_temperature(calibrate.where("deal_known" if q == "deal" else "true").select(c(q).alias("logits"), y.cast("int").alias("y"))) for q, y in index.items()}
+    a = answers(c("role"), c("deal"), c("fit"), (t["role"], t["deal"], t["fit"]))
+    rows = select.select("role_true", "deal_true", "deal_known", "score", "y", "label", c("fit").alias("_fit"), *[v.alias(k) for k, v in a.items()])
+    rows = written(rows.select("*", gates_pass(c("role"), c("deal_p")).alias("gated"), *[summarise(c("fit_p"), k).alias(k) for k in ("expected", "p_good")]))
+    best = choose_summary(rows).first()
+    scored = rows.withColumn("s", c(best["chosen"]))
+    cut = alert_cutoff(scored, min_recall)
+    at = cut.first()["t"]
+    save_at = save_cutoff(scored.where("gated"), at).first()["save_at"]
+    top = lambda p: calibration_error(rows.select(p.alias("_p"), "score").select(F.array_max("_p").alias("conf"), (F.array_position("_p", F.array_max("_p")) == c("score")).alias("correct")))
+    low, high = wilson(F.round(c("precision") * c("alerts")), c("alerts"))
+    counts = rows.agg(F.count(F.lit(1)).alias("select_jobs"), F.count_if(c("y") == 1).alias("good_jobs"), F.count_if("gated").alias("gated_jobs"), F.coalesce(F.avg(F.when(c("gated"), c("y"))), F.lit(0.0)).alias("base_rate"))
+    fixed = {f"t_{q}": v for q, v in t.items()} | {"summary": best["chosen"], "ap_expected": best["expected"], "ap_p_good": best["p_good"], "alert_at": floored(at), "save_at": floored(save_at)}
+    report = cut.select("met", "precision", "recall", "alerts", F.round(low, 4).alias("low"), F.round(high, 4).alias("high"))
+    for part in (counts, question_metrics(rows), top(softmax(c("_fit"))).withColumnRenamed("ece", "ece_before"), top(c("fit_p")).withColumnRenamed("ece", "ece_after")):
+        report = report.join(part.drop("n"))  # one row each
+    return report.select(*[F.lit(v).alias(k) for k, v in fixed.items()], "*")
+
+
 def report_warnings(report: DataFrame) -> DataFrame:
     """Messages on a report row (alerts, met, precision, base_rate, spread, least_spread, accuracy, majority)."""
     c = F.col

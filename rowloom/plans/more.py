@@ -122,6 +122,18 @@ def temperatures(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(evaluate.fit_temperature(rows)).alias("temperature"))
 
 
+def question_report(spark: SparkSession, d: str) -> DataFrame:
+    """Calibrated on one half of the answers, measured on the other"""
+    e, k = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    true = F.element_at(F.array(*map(F.lit, scores.STACK_ROLES)), (k % 7 + 1).cast("int"))
+    rows = read(spark, d, "embeddings").select(
+        k, F.slice(e, 1, 7).alias("role"), F.slice(e, 8, 2).alias("deal"), F.slice(e, 10, 10).alias("fit"), true.alias("role_true"), (k % 2).alias("deal_true"), (k % 5 > 0).alias("deal_known"), (k % 10 + 1).alias("score"),
+        (k % 10 >= 6).cast("int").alias("y"), F.when(k % 10 >= 6, "notify").when(k % 10 >= 4, "log").otherwise("skip").alias("label"),
+    )
+    half = F.pmod(F.xxhash64("vec_id"), F.lit(2))
+    return evaluate.evaluate_questions(rows.where(half == 0), rows.where(half == 1))
+
+
 _LISTED = "SELECT concat('k', ord % 400) AS key, CASE ord % 3 WHEN 0 THEN concat('https://jobs.lever.co/c/', ord % 300, '/') ELSE concat('http://x.org/', ord % 350, '?a=1') END AS url, ord FROM {p}"
 
 
@@ -176,5 +188,5 @@ def contract_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "v_postings").select("id", employment.contract_reason(title, text, listed).alias("contract"), employment.hourly_reason(title, text, pay).alias("hourly"))
 
 
-for f in (condensed_postings, input_health, posting_excerpts, split_pool, capped_labels, question_metrics, temperatures):
+for f in (condensed_postings, input_health, posting_excerpts, split_pool, capped_labels, question_metrics, temperatures, question_report):
     QUERIES[f.__name__] = f

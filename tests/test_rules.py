@@ -112,6 +112,33 @@ def test_scores(spark):
     assert one(scores.score_label(none, F.lit(0.72), F.lit(""), F.lit("m"), none, none)) == "fit 72%"
 
 
+def test_question_report(spark, sf):
+    """The report against a plain computation over its rows."""
+    import numpy as np
+
+    from rowloom import catalog
+
+    e = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()}
+    half = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id").where("pmod(xxhash64(vec_id), 2) = 0").collect()}
+    r = catalog.queries()["question_report"](spark, sf).first()
+    soft = lambda x, t: np.exp((x - x.max()) / t) / np.exp((x - x.max()) / t).sum()
+    rows = []
+    for k in sorted(half):
+        role, deal, fit = soft(e[k][:7], r["t_role"]), soft(e[k][7:9], r["t_deal"]), soft(e[k][9:19], r["t_fit"])
+        s = 1 + (fit * np.arange(10)).sum() if r["summary"] == "expected" else fit[6:].sum()
+        rows.append((int(role.argmax()) in (0, 2, 3, 4) and deal[1] < 0.5, s, k % 10 >= 6))
+    good, gated = sum(y for *_, y in rows), [(s, y) for g, s, y in rows if g]
+    assert (r["select_jobs"], r["good_jobs"], r["gated_jobs"]) == (len(rows), good, len(gated))
+    assert abs(r["base_rate"] - np.mean([y for _, y in gated])) < 1e-9
+    cuts = []
+    for t, _ in gated:
+        hit = [y for s, y in gated if s >= t]
+        cuts.append((sum(hit) / good >= 0.3, sum(hit) / len(hit), t, len(hit)))
+    met = max(x for x in cuts if x[0]) if any(x[0] for x in cuts) else min((False, 0, t, 0) for t, y in gated if y)
+    assert r["met"] == met[0] and abs(r["alert_at"] - np.floor(round(met[2] * 1e4, 6)) / 1e4) < 1e-9
+    assert not met[0] or (abs(r["precision"] - met[1]) < 1e-9 and r["alerts"] == met[3])
+
+
 def test_cutoff_without_gated_rows(spark):
     df = spark.createDataFrame([(1.0, 1, False), (2.0, 0, False)], "s double, y int, gated boolean")
     assert evaluate.alert_cutoff(df, 0.5).first().asDict() == {"t": 2.0, "precision": 0.0, "recall": 0.0, "alerts": 0, "met": False}
