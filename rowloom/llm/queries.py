@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, html_text, mixing, periodic_runs, quality_rules, sharding, simhash, token_count, toxicity
+from . import byte_bpe, chat_format, collocations, exact_dedup, html_text, mixing, periodic_runs, quality_rules, sharding, simhash, token_count, toxicity
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -72,10 +72,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.plant(table(spark, sf_dir, "documents"))))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.sql(), "op7_chat_format": chat_format.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL, "op11_periodic_runs": periodic_runs.SQL}
+    return {"op6_sharding": sharding.sql(), "op7_chat_format": chat_format.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL, "op11_periodic_runs": periodic_runs.SQL, "op12_collocations": collocations.SQL}
