@@ -9,7 +9,8 @@ its number of words and its link density, those of the blocks before and after i
   wrapper with a name of furniture doesn't make furniture of what it wraps;
 * inner: whether that element stands inside the main text's element, or the other way round;
 * comments: whether that element is for reader comments;
-* main: whether the block stands in an element for the main text, and whether the page has one at all.
+* main: whether the block stands in an element for the main text, and whether the page has one at all;
+* plain: whether the page has neither links nor anything that looks like furniture.
 
 A decision tree trained on the blocks of a few hand-labelled layouts (LAYOUTS) tells text from furniture.
 """
@@ -268,7 +269,7 @@ def blocks(page: str) -> tuple[list[Block], list[list[int]]]:
 
 
 #: Names of the features, in their order.
-FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "kind", "share", "inner", "comments", "main", "page has main")
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "kind", "share", "inner", "comments", "main", "page has main", "plain page")
 
 
 def features(found: list[Block], holders: list[list[int]]) -> np.ndarray:
@@ -277,12 +278,12 @@ def features(found: list[Block], holders: list[list[int]]) -> np.ndarray:
     A share is of the words in main text, where the page has any, else of all words.
     """
     own = np.array([(b.words, b.density, b.kind, b.holder, b.inner, b.comments, b.main) for b in found], np.float64).reshape(-1, 7)
-    has_main = bool(own[:, 6].any())
+    has_main, plain = bool(own[:, 6].any()), not holders and not own[:, 1].any()
     counted = np.concatenate([[0], np.cumsum(own[:, 0] * own[:, 6] if has_main else own[:, 0])])
     held = np.array([counted[b] - counted[a] for a, b in holders] + [2 * counted[-1]]) / max(1.0, counted[-1])
     edge = np.zeros((1, 2))
     around = np.vstack([edge, own[:, :2], edge])
-    rest = np.column_stack([own[:, 2], held[own[:, 3].astype(int)], own[:, 4:], np.full(len(own), has_main)])
+    rest = np.column_stack([own[:, 2], held[own[:, 3].astype(int)], own[:, 4:], np.full(len(own), has_main), np.full(len(own), plain)])
     return np.hstack([own[:, :2], around[:-2], around[2:], rest]).astype(np.float32)
 
 
@@ -334,6 +335,24 @@ LAYOUTS = [
     "<p><a href=x>-12</a></p><p><a href=x>-15</a></p><h2><a href=x>-5</a></h2><p><a href=x>-20</a></p><div><a href=x>-30</a></div>",
     # main text with many links: a list of references in an article
     "<article><h1>+3</h1><p>+40</p><h2>+1</h2><ol><li><a href=x>+8</a><li><a href=x>+6</a></ol><p><a href=x>+1</a></p></article><div><a href=x>-5</a></div><p>-4</p>",
+    # bare and short pages: nothing around a few words, with or without elements
+    "+3",
+    "<body>+5</body>",
+    "<div>+4</div>",
+    "<div>+2</div><div>+9</div>",
+    "<body>+1<br>+6</body>",
+    "<div><div>+12</div></div>",
+    "<html><head></head><body>+20</body></html>",
+    "<div>+6</div><div>+3</div><div>+8</div>",
+    "<p>+2",
+    "<h1>+2</h1><div>+4</div>",
+    "<td>+5",
+    "<body><div>+7</div>+3</body>",
+    "<span>+2</span>",
+    "<article>+5</article>",
+    "<div>+3</div><div>+3</div>",
+    "<div>+4</div><div>+4</div>",
+    "<div>+8</div><div>+8</div>",
 ]
 _WRITTEN = re.compile(r"([+-])(\d+)")
 #: How often each layout is read with other numbers of words, and how far they vary: where an element names the main text,

@@ -97,3 +97,13 @@ def test_tree_is_learnt_from_labels():
         unseen, labels = html_text.labelled_table([p for i, p in enumerate(html_text.LAYOUTS) if i % 5 == k])
         right.append((html_text.classify(tree, unseen) == labels).mean())
     assert np.mean(right) > 0.85
+
+
+BARE = ["{}", "<body>{}</body>", "<div>{}</div>", "<p>{}</p>", "<html><body><div><div>{}</div></div></body></html>", "<table><tr><td>{}</table>", "<span>{}</span>", "<section>{}</section>", "<ul><li>{}</ul>", "{}<br>{}",
+        "<div>{}</div><div>{}</div>", "<h1>Title here</h1><div>{}</div>", "<div>{}</div><p>second one</p>", "<p>{}</p><p>two words</p>"]
+
+
+def test_bare_and_short_pages_keep_their_text():
+    tree = html_text.train_tree(*html_text.labelled_table())
+    lost = [(n, f) for n in range(1, 31) for f in BARE for page in [f.replace("{}", " ".join(["word"] * n))] if html_text.main_text(page, tree).count("word") != page.count("word")]
+    assert lost == []
