@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, collocations, exact_dedup, html_text, mixing, periodic_runs, quality_rules, sharding, simhash, token_count, toxicity
+from . import byte_bpe, chat_format, collocations, exact_dedup, html_text, mixing, periodic_runs, prefix_forest, quality_rules, sharding, simhash, token_count, toxicity
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -76,6 +76,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(own.items(), key=lambda x: int(x[0][2:].split("_")[0])))
