@@ -1,7 +1,9 @@
-"""Connected components in tables, and the checkpoints that iterative operators write."""
+"""Connected components in tables, and the tables that operators write on their way."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df from reliable checkpoint files, so that later plans reread it; lost executors cost nothing that was written.
-
-    The folder is the session's (spark.checkpoint.dir); only where none is set, as in tests, it is below the warehouse.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
-    return df.checkpoint(eager=True)
+    """df from Parquet files in the folder that driver and executors share, so that later plans reread it by column and know
+    its size; lost executors cost nothing that was written. The files stay there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows of one key that a task takes in join_one() at least; beyond that and a thousandth of all rows a key is dealt out.
@@ -65,7 +65,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b: bigint): root is the least node that it reaches, itself included.
     Alternating large-star and small-star steps (Kiveris et al., 2014).
 
-    Each round is two joins and two aggregations of edges by node, written to checkpoint files; the driver sees only a
+    Each round is two joins and two aggregations of edges by node, written to files; the driver sees only a
     count and a checksum, by which it knows that nothing moves any more. A hub is reduced by each task before its
     shuffle, and the edges of a large one are dealt to several tasks (join_one). No edges give no rows.
     """
