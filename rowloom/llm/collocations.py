@@ -16,8 +16,10 @@ that words on either side of it aren't adjacent.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.operators.graph import join_one, shared_folder
@@ -25,9 +27,9 @@ from rowloom.operators.graph import join_one, shared_folder
 from .common import text_of, written
 
 LEAST, MOST_WORDS, TOP, COVERED = 10, 3, 2_000, 50
-BUCKET_WORDS, MOST_BUCKETS = 4_000_000, 50_000
-#: Groups up to this number are sent to every executor (about 100 bytes each).
-BROADCAST_GROUPS = 600_000
+BUCKET_WORDS, MOST_BUCKETS = 1_000_000, 50_000
+#: Groups up to this number are sent to every executor (about 60 bytes each, by one integer).
+BROADCAST_GROUPS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BORDERS = ".,;:!?\n\x0b\x0c\r"
 
@@ -50,10 +52,22 @@ def _semi(rows: DataFrame, groups: DataFrame, key: list[str], limit: int) -> tup
     return join_one(written(rows), groups, key), False
 
 
+@contextmanager
+def _in_buckets(spark: SparkSession) -> Iterator[None]:
+    """While plans are made in here, tables of the same buckets are joined where they are, also by more columns than theirs."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class _Relations:
     """Occurrence tables of one run: bucketed by document, sorted by position, in the shared folder."""
 
-    def __init__(self, spark, buckets: int):
+    def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.run, self.names = spark, buckets, uuid.uuid4().hex, []
 
     def keep(self, rows: DataFrame, in_place: bool) -> DataFrame:
@@ -70,10 +84,24 @@ class _Relations:
             self.spark.sql(f"DROP TABLE {name}")
 
 
-def _adjacent(rows: DataFrame) -> DataFrame:
-    """doc, at, head, tail: a group and the one that starts one word on."""
+def _adjacent(rows: DataFrame, groups: int) -> DataFrame:
+    """doc, at, key: a group and the one that starts one word on, as one number (ids are below groups)."""
     second = rows.select("doc", (F.col("at") - 1).alias("at"), F.col("id").alias("tail"))
-    return rows.select("doc", "at", F.col("id").alias("head")).hint("merge").join(second, ["doc", "at"])
+    return rows.hint("merge").join(second, ["doc", "at"]).select("doc", "at", (F.col("id") * groups + F.col("tail")).alias("key"))
+
+
+def _numbered(groups: DataFrame) -> tuple[DataFrame, int]:
+    """groups with an id counting from 0, and their number. Rows are numbered in each task, the tasks' sizes are added up."""
+    own = written(groups.withColumn("_m", F.monotonically_increasing_id()))
+    part, ahead, offsets = F.shiftright("_m", 33), 0, []
+    for r in own.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("n")).orderBy("_p").collect():
+        offsets.append((r["_p"], ahead))
+        ahead += r.n
+    if ahead >= 1 << 31:
+        raise ValueError("more than 2^31 frequent groups; pairs of them don't fit one number")
+    ahead_of = own.sparkSession.createDataFrame(offsets, "_p long, _o long")
+    placed = own.withColumn("_p", part).join(F.broadcast(ahead_of), "_p").withColumn("id", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    return written(placed.drop("_m", "_p", "_o")), ahead
 
 
 def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEAST, limit: int = BROADCAST_GROUPS) -> tuple[DataFrame, DataFrame]:
@@ -85,20 +113,21 @@ def frequent_phrases(docs: DataFrame, most_words: int = MOST_WORDS, least: int =
     totals = written(counts.groupBy("lang").agg(F.sum("a").alias("n")))
     words = sum(r.n for r in totals.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect())
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // BUCKET_WORDS)))
-    groups = written(counts.where(F.col("a") >= least).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a"))
+    groups, size = _numbered(counts.where(F.col("a") >= least).select("lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a"))
     found = [groups.select("lang", F.lit(1).alias("words"), "phrase", "a")]
     relations = _Relations(spark, buckets)
     rows, placed = _semi(_exploded(own.repartition(buckets, "doc")), groups.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"], limit)
     for k in range(2, most_words + 1):
-        rows = relations.keep(rows.select("doc", "at", "id"), placed)
-        pairs = _adjacent(rows)
-        counted = written(pairs.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()))
-        heads = join_one(counted, groups.select(F.col("id").alias("head"), "lang", "phrase"), ["head"])
+        with _in_buckets(spark):
+            pairs = _adjacent(relations.keep(rows.select("doc", "at", "id"), placed), size)
+            counted, more = _numbered(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("a")).where(F.col("a") >= least))
+            if k < most_words:
+                rows, placed = _semi(pairs, counted.select("key", "id"), ["key"], limit)
+        ends = counted.select("id", "a", F.expr(f"key div {size}").alias("head"), (F.col("key") % size).alias("tail"))
+        heads = join_one(written(ends), groups.select(F.col("id").alias("head"), "lang", "phrase"), ["head"])
         named = join_one(written(heads), groups.select(F.col("id").alias("tail"), "last"), ["tail"])
-        groups = written(named.select("id", "head", "tail", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a"))
+        groups, size = written(named.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a")), more
         found.append(groups.select("lang", F.lit(k).alias("words"), "phrase", "a"))
-        if k < most_words:
-            rows, placed = _semi(pairs, groups.select("head", "tail", "id"), ["head", "tail"], limit)
     relations.forget()
     phrases = found[0]
     for more in found[1:]:
@@ -132,7 +161,7 @@ def collocations(docs: DataFrame, most_words: int = MOST_WORDS, least: int = LEA
     left = join_one(written(cuts), counts.select(F.struct("lang", "part").alias("first"), F.col("f").alias("l")), ["first"])
     both = join_one(written(left), counts.select(F.struct("lang", "part").alias("rest"), F.col("f").alias("r")), ["rest"])
     big = lambda c: f"cast({c} AS decimal(19, 0))"
-    score = F.expr(f"(1000000 * {big('a')} * {big('a')}) div ({big('l')} * {big('r')})")
+    score = F.expr(f"(1000000 * {big("a")} * {big("a")}) div ({big("l")} * {big("r")})")
     scored = both.withColumn("score", score).groupBy("lang", "phrase", "words", "a").agg(F.min_by(F.struct("score", "l", "r"), F.struct("score", "k")).alias("s"))
     inner = asked.where("words > 2").select("lang", "a", "w", "words", F.explode(F.expr("sequence(2, words - 1)")).alias("size"))
     inner = inner.withColumn("from", F.explode(F.expr("sequence(1, words - size + 1)"))).groupBy("lang", _cut("from", "size").alias("phrase")).agg(F.max("a").alias("longer"))
