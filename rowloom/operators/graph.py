@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,54 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components are not stable after {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+#: Rows of a bucket that meet in one task at most, on the salted side.
+SALT_ROWS = 500
+
+
+def bucket_links(entries: DataFrame, close: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+    """(a, b) links between ids that share a bucket and are close, enough to connect what all such links connect.
+
+    entries: written rows (id: bigint, bucket), each once. close: of pairs (x, y) those that are close, as links (a, b).
+    First each id of a bucket is compared with the bucket's least alone; after that only buckets that hold ids of several
+    components are of interest. There the ids outside the largest component get a centre of their own, for some rounds;
+    then each is compared with all ids of other components in its bucket. So a family of close ids costs a few
+    comparisons a row, not one for each pair, and no link between components is lost.
+    """
+    centres = entries.groupBy("bucket").agg(F.min("id").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    links = written(close(join_one(entries, centres, ["bucket"]).select(F.col("id").alias("x"), "y").where("x <> y").distinct()))
+    for k in range(rounds + 1):
+        mixed = _mixed(entries, links)
+        outside = mixed.where("part <> most")
+        if outside.isEmpty():
+            break
+        if k < rounds:
+            centre = F.min_by(F.struct(F.col("id").alias("y"), F.col("part").alias("_p")), "id").alias("_c")
+            centres = outside.groupBy("bucket").agg(centre).select("bucket", "_c.*")
+            pairs = join_one(mixed, centres, ["bucket"]).where("part <> _p").select(F.col("id").alias("x"), "y").distinct()
+        else:
+            pairs = _across(mixed, outside)
+        links = written(links.unionByName(close(pairs)))
+    return links
+
+
+def _mixed(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """entries of the buckets that hold ids of several components of links, with the component (part) and the bucket's
+    largest one (most). A bucket whose ids are all connected has nothing left to find."""
+    ids = entries.select(F.col("id").alias("node")).distinct()
+    parts = ids.join(components(links), "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("part"))
+    named = written(join_one(entries, parts, ["id"]))
+    per = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    most = per.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "most")
+    return written(join_one(named, most, ["bucket"]))
+
+
+def _across(mixed: DataFrame, outside: DataFrame) -> DataFrame:
+    """(x, y) of ids of different components that share a bucket, x outside of the bucket's largest component. Buckets are
+    dealt to several tasks by salting one side and repeating the other."""
+    salts = outside.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("m"))
+    x = join_one(outside, salts, ["bucket"]).select("bucket", F.col("id").alias("x"), F.col("part").alias("px"), F.col("most").alias("top"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("salt"))
+    y = join_one(mixed, salts, ["bucket"]).select("bucket", F.col("id").alias("y"), F.col("part").alias("py"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"))
+    differ = (F.col("px") != F.col("py")) & ((F.col("py") == F.col("top")) | (F.col("x") < F.col("y")))
+    return x.join(y, ["bucket", "salt"]).where(differ).select("x", "y").distinct()

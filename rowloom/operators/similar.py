@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import group_key, let
 
-from .graph import components, join_one, written
-
-#: Sets that share a shingle of their prefixes and meet in one task at most, on the salted side.
-SALT_ROWS = 500
+from .graph import SALT_ROWS, bucket_links, components, join_one, written
 
 
 def shingles(text: Column, n: int = 5, min_words: int = 30) -> Column:
@@ -28,16 +25,26 @@ def _indexed(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_k", F.concat_ws("-", F.hex(F.xxhash64("_h")), F.hex(F.xxhash64(F.lit(1), F.col("_h")))))
 
 
+def _counted(rows: DataFrame, counts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined to counts (one row a key, with its number of rows d) by key: the keys that hold more than a thousandth of
+    all rows, a thousand at most, are sent to every task, so that the join by the others meets no hot key."""
+    heavy = written(counts.where(F.col("d") > max(1, total // 1_000)))
+    light = counts.where(F.col("d") <= max(1, total // 1_000))
+    few = F.broadcast(heavy)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(light, key))
+
+
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     """id, n, left, right and h: of every set, the rarest of its shingles, one of which any similar set has among its own
     rarest. Rarity counts different sets; ties go by hash, so that the order is one for all sets.
 
     Shingles of one set alone come first in that order and find nothing, so only their number counts: what is joined and
-    ranked are the shared ones.
+    ranked are the shared ones. A shingle that a third of the sets hold meets its count where it is (_counted).
     """
     flat = sets.select("id", F.explode("_h").alias("h"))
-    shared = flat.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
-    ranked = flat.join(shared, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "h"))).alias("_r"))
+    shared = written(flat.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1"))
+    total = shared.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("d")).first().d
+    ranked = _counted(flat, shared, "h", total).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", "h"))).alias("_r"))
     own = ranked.join(sets.select("id", "n", "left", "right"), "id")
     first = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("_r"))
     return own.where(first > 0).select("id", "n", "left", "right", F.explode(F.slice("_r", F.lit(1), first.cast("int"))).alias("_e")).select("id", "n", "left", "right", F.col("_e.h").alias("h"))
@@ -58,8 +65,8 @@ def _similar_sets(a: DataFrame, b: DataFrame | None, threshold: float) -> DataFr
         sets = both.groupBy("_k").agg(F.first("_h").alias("_h"), F.max("left").alias("left"), F.max("right").alias("right"))
     sets = written(sets.select(F.monotonically_increasing_id().alias("id"), F.size("_h").alias("n"), "_k", "_h", "left", "right"))
     entries = written(_prefixes(sets, threshold))
-    salts = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("m"))
-    entries = entries.join(salts, "h")
+    met = written(entries.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 1"))
+    entries = _counted(entries, met, "h", entries.count()).withColumn("m", F.ceil(F.col("d") / SALT_ROWS).cast("int")).drop("d")
     x = entries.where("left").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("salt"))
     y = entries.where("right").select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"))
     near = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.col("x") < F.col("y") if b is None else F.col("x") != F.col("y"))
@@ -124,14 +131,30 @@ def similar_rows(rows: DataFrame, reference: DataFrame, text: str = "description
     return a.join(found, "_k", "left_semi").select("ord").distinct()
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) of ids that are similar, as links (a, b). Sizes prune before any set moves."""
+    sizes = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"))
+    near = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9
+    pairs = written(join_one(written(join_one(written(pairs), sizes("x"), ["x"])), sizes("y"), ["y"]).where(near).select("x", "y"))
+    end = lambda name: sets.select(F.col("id").alias(name), F.col("_h").alias(f"_{name}"))
+    found = join_one(written(join_one(pairs, end("x"), ["x"])), end("y"), ["y"])
+    return found.where(_jaccard("_x", "_y") >= threshold).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def similar_links(rows: DataFrame, text: str = "description", threshold: float = 0.8) -> DataFrame:
-    """(a, b) links of ord values whose components are those of similar rows: each row to the first of its set, and one
-    link for each pair of similar sets."""
+    """(a, b) links of ord values whose components are those of similar rows: each row to the first of its set, and links
+    between similar sets, enough to connect what any chain of similar sets connects.
+
+    Sets meet in the buckets of their rarest shingles (_prefixes), where any two similar ones do; bucket_links() spares
+    the comparisons within a family of near copies.
+    """
     indexed = written(_indexed(rows, text))
     first = written(_first_of(indexed).withColumnRenamed("class", "b"))
     own = join_one(indexed.select("ord", "_k"), first, ["_k"]).where("ord <> b").select(F.col("ord").alias("a"), "b")
-    ends = lambda k, name: first.select(F.col("_k").alias(k), F.col("b").alias(name))
-    return own.unionByName(_similar_sets(indexed, None, threshold).join(ends("x", "a"), "x").join(ends("y", "b"), "y").select("a", "b"))
+    sets = indexed.groupBy("_k").agg(F.first("_h").alias("_h"), F.min("ord").alias("id"))
+    sets = written(sets.select("id", F.size("_h").alias("n"), "_h", F.lit(True).alias("left"), F.lit(True).alias("right")))
+    entries = written(_prefixes(sets, threshold).select("id", F.col("h").alias("bucket")).distinct())
+    return own.unionByName(bucket_links(entries, lambda pairs: _verified(pairs, sets, threshold)))
 
 
 def exclude_near_duplicates(rows: DataFrame, reference: DataFrame, text: str = "description") -> DataFrame:
@@ -150,7 +173,8 @@ def job_groups(rows: DataFrame, text: str = "description") -> DataFrame:
     """Ord and group of every row: rows with one title and company, or similar texts, transitively; a group is named
     by its smallest ord."""
     keyed = rows.select("ord", group_key(F.col("title"), F.col("company")).alias("_k"))
+    keyed = written(keyed)
     first = keyed.groupBy("_k").agg(F.min("ord").alias("b"))
-    by_key = keyed.join(first, "_k").where("ord <> b").select(F.col("ord").alias("a"), "b")
+    by_key = join_one(keyed, first, ["_k"]).where("ord <> b").select(F.col("ord").alias("a"), "b")
     found = components(by_key.unionByName(similar_links(rows, text))).withColumnRenamed("node", "ord")
     return rows.select("ord").join(found, "ord", "left").select("ord", F.coalesce("root", "ord").alias("group"))

@@ -390,3 +390,40 @@ def test_actions(spark):
     apps = spark.createDataFrame([("j1", "rejected")], "job_id string, stage string")
     assert act.new_applications(df, jobs, apps).count() == 1
     assert act.new_applications(df, jobs, apps.withColumn("stage", F.lit("screen"))).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_bucket_links_connect_what_all_links_connect(spark, rounds):
+    """Numbers are close within three; buckets hold them at random, one holds them all."""
+    import random
+
+    draw = random.Random(rounds)
+    values = draw.sample(range(600), 150)
+    entries = {(v, 0) for v in values} | {(v, draw.randrange(1, 9)) for v in values for _ in range(2)}
+    df = spark.createDataFrame(sorted(entries), "id long, bucket long")
+    asked = []
+
+    def close(pairs):
+        asked.append(pairs.count())
+        return pairs.where("abs(x - y) <= 3").selectExpr("x AS a", "y AS b")
+
+    links = graph.bucket_links(graph.written(df), close, rounds)
+    got = {r.node: r.root for r in graph.components(links).collect()}
+    ordered, root = sorted(values), {}
+    for k, v in enumerate(ordered):
+        root[v] = root[ordered[k - 1]] if k and v - ordered[k - 1] <= 3 else v
+    assert {v: got.get(v, v) for v in values} == root
+    assert graph.bucket_links(graph.written(df.where("false")), close, rounds).count() == 0
+
+
+def test_a_family_of_near_copies_takes_few_comparisons(spark):
+    """5,000 near copies of one text: a few comparisons a row, components as of all pairs."""
+    from pyspark.sql import functions as F
+
+    words = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.when(i == F.col("id") % 97, F.concat(F.lit("x"), F.col("id") % 89)).otherwise(F.concat(F.lit("w"), i)))
+    copies = spark.range(5_000).select(F.col("id").alias("ord"), F.array_join(words, " ").alias("description"))
+    others = spark.range(30).select((F.col("id") + 9_000).alias("ord"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: F.concat(F.lit("o"), F.col("id"), F.lit("n"), i)), " ").alias("description"))
+    links = graph.written(similar.similar_links(copies.unionByName(others)))
+    assert links.count() < 40 * 5_000
+    roots = {r.node: r.root for r in graph.components(links).collect()}
+    assert set(roots.values()) == {0} and len(roots) == 5_000
