@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sharding": sharding.sql(), "op7_chat_format": chat_format.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL, "op11_periodic_runs": periodic_runs.SQL, "op12_collocations": collocations.SQL}
+    return {"op6_sharding": sharding.sql(), "op7_chat_format": chat_format.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_quality_rules": quality_rules.SQL, "op9_clean_texts": quality_rules.CLEAN_SQL, "op11_periodic_runs": periodic_runs.SQL, "op12_collocations": collocations.SQL}

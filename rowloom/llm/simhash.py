@@ -8,9 +8,8 @@ is put at its own point and at those one step away (49 rows on average), and an
 candidates, which are then verified on all bits.
 
 * Equal fingerprints are one node from the start, so groups of copies cost nothing here.
-* Cells with many fingerprints (families of near copies) aren't paired off: within such a cell fingerprints are put on
-  the bit strings within one bit of them; all on one string are within two bits of each other, so each is linked to the
-  least of them. That is exact, and has no more edges than rows.
+* Cells with many fingerprints (families of near copies) aren't paired off: each is verified against the least of its
+  cell, and only those that no chain of links reaches are compared with the rest (graph.bucket_links).
 """
 
 from __future__ import annotations
@@ -21,13 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.operators.graph import components, join_one
+from rowloom.operators.graph import bucket_links, components, join_one
 
 from .common import map_texts, written
 
 WORDS, SEED, DISTANCE = 3, 42, 2
-#: Cells with more fingerprints go the way that pairs none off.
-PAIRED_CELL = 24
 SEGMENTS = 32
 #: Fingerprints that one task puts on the grid at most, on average.
 NODES_PER_TASK = 50_000
@@ -81,27 +78,23 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(nodes: DataFrame, paired_cell: int = PAIRED_CELL) -> DataFrame:
-    """Pairs (a, b) of different fingerprints of nodes (fp, distinct) within two bits: all such pairs from cells of up to
-    paired_cell, from larger ones enough that the same fingerprints are connected."""
+def links(nodes: DataFrame) -> DataFrame:
+    """(a, b) links of different fingerprints of nodes (fp, distinct) within two bits, that connect what all such pairs do.
+
+    Fingerprints meet in the cells of the grid; bucket_links() compares each with a few of its cell, and with all others
+    that no chain of links reaches yet.
+    """
     n = nodes.count()
     tasks = max(n // NODES_PER_TASK, min(n // 1_000, nodes.sparkSession.sparkContext.defaultParallelism)) + 1
     dealt = nodes.repartition(tasks, "fp")  # each task makes 49 times its rows
-    cells = dealt.select("fp", point(F.col("fp")).alias("p")).select("fp", F.explode(around(F.col("p"))).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = written(cells.join(sizes, "cell"))
-    few = sized.where(F.col("n") <= paired_cell)
-    pairs = few.select("cell", F.col("fp").alias("a")).join(few.select("cell", F.col("fp").alias("b")), "cell").where("a < b").select("a", "b")
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
-    many = sized.where(F.col("n") > paired_cell).select("fp").distinct()
-    strings = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    near = many.select("fp", F.explode(strings).alias("s"))
-    least = near.groupBy("s").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "a")
-    stars = near.join(least, "s").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.where(close).unionByName(stars.where(close)).distinct()
-
-
-def near_groups(docs: DataFrame, paired_cell: int = PAIRED_CELL) -> DataFrame:
+    cells = dealt.select("fp", point(F.col("fp")).alias("p")).select(F.col("fp").alias("id"), F.explode(around(F.col("p"))).alias("bucket"))
+    shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= DISTANCE
+    met = written(cells.join(shared, "bucket").select("id", "bucket"))
+    return bucket_links(met, lambda pairs: pairs.where(close).select(F.col("x").alias("a"), F.col("y").alias("b")), rounds=1)
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id
     that links reach, its own included.
 
@@ -111,7 +104,7 @@ def near_groups(docs: DataFrame, paired_cell: int = PAIRED_CELL) -> DataFrame:
     """
     prints = written(fingerprints(docs.select("doc_id", "text")))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(nodes.select("fp"), paired_cell))
+    found = components(links(nodes.select("fp")))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = join_one(written(rooted.select("fp", "root")), firsts, ["root"]).select("fp", "component_id")

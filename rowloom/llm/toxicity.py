@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, text_of
 
-#: Labelled rows that the fit takes to the driver at most, for each label, with whole texts: the bound of the fit.
-FIT_ROWS = 2_000
+#: Labelled rows that the fit takes to the driver at most, and bytes of their texts, for each label: the bounds of the fit.
+FIT_ROWS, FIT_BYTES = 2_000, 32 << 20
 #: Windows that the ordinary dictionary is trained on at most: those of the smallest hashes over all ordinary texts.
 FIT_WINDOWS = 40_000
 #: Bytes of text in a window, whole words.
@@ -170,23 +170,35 @@ def score_texts(texts: list[str], model: dict) -> list[float]:
     return out
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """Up to rows labelled texts of each label, whole, those of the smallest hashes of doc_id, none held out."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> list[tuple[str, int]]:
+    """Up to rows labelled texts of each label, whole, those of the smallest hashes of doc_id, none held out; texts that would
+    take more than size bytes with those before them are left out. First ids and sizes come to the driver, then texts."""
     own = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").distinct()
     chosen = None
     for y in (0, 1):
         some = own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.unionByName(some)
-    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").withColumn("order", F.xxhash64("doc_id"))
+    texts = docs.select("doc_id", text_of().alias("text"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("order"), F.xxhash64("text").alias("key"))
     # ids may repeat in docs, so the rows are bounded once more
-    bounded = [found.where(F.col("toxic") == y).orderBy("order", "doc_id", F.xxhash64("text")).limit(rows) for y in (0, 1)]
-    return [(r["text"], int(r["toxic"])) for r in bounded[0].unionByName(bounded[1]).select("text", "toxic").collect()]
+    measured = found.select("doc_id", "toxic", "order", "key", F.octet_length("text").alias("size"))
+    fitting = []
+    for y in (0, 1):
+        taken = 0
+        for r in measured.where(F.col("toxic") == y).orderBy("order", "doc_id", "key").limit(rows).collect():
+            if taken + r["size"] <= size:
+                fitting.append((r["doc_id"], r["key"], r["toxic"]))
+                taken += r["size"]
+    if not fitting:
+        return []
+    kept = docs.sparkSession.createDataFrame(fitting, measured.select("doc_id", "key", "toxic").schema).distinct()
+    return [(r["text"], int(r["toxic"])) for r in found.join(F.broadcast(kept), ["doc_id", "key", "toxic"]).select("text", "toxic").distinct().collect()]
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, score (0 to 1) and predicted (1 if score >= 0.5) of every row of docs (doc_id, text).
 
-    The fit takes at most FIT_ROWS rows of each label to the driver, with whole texts; the model (a few KB) is broadcast
+    The fit takes at most FIT_ROWS rows and FIT_BYTES bytes of each label to the driver, whole texts; the model (a few KB) is broadcast
     and whole texts are scored in place, without a shuffle. Null counts as empty; a text without words has one window of
     distance 0; repeated rows get the same score; extra columns are ignored unless kept, and kept ones named score or
     predicted give way to the results; an empty table gives an empty result, and empty labels a score of one half.

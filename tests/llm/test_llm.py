@@ -149,14 +149,13 @@ def brute_components(prints):
     return {i: find(i) for i in prints}
 
 
-@pytest.mark.parametrize("paired_cell", [simhash.PAIRED_CELL, 1])
-def test_near_groups(docs, none, real, paired_cell):
+def test_near_groups(docs, none, real):
     for df in (docs, real):
         prints = {r["doc_id"]: brute_fingerprint(r["text"]) for r in df.select("doc_id", "text").collect()}
         roots = brute_components(prints)
-        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_groups(df, paired_cell).collect()}
+        got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_groups(df).collect()}
         assert got == {i: (f"{p:016x}", roots[i]) for i, p in prints.items()}
-    assert simhash.near_groups(none, paired_cell).count() == 0
+    assert simhash.near_groups(none).count() == 0
 
 
 def test_links_of_families(spark):
@@ -166,10 +165,8 @@ def test_links_of_families(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in family]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     wanted = brute_components(dict(zip(signed, family, strict=True)))
-    for cell in (10**9, 24, 1):
-        found = simhash.components(simhash.links(nodes, cell))
-        groups = {r["node"]: r["root"] for r in found.collect()}
-        assert {v: groups.get(v, v) for v in signed} == wanted
+    groups = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes)).collect()}
+    assert {v: groups.get(v, v) for v in signed} == wanted
 
 
 # --- exact deduplication --------------------------------------------------------------------------------------------
@@ -253,6 +250,30 @@ def test_clean_texts_leave_repeated_lines_out(spark, planted, docs, none):
     assert quality_rules.clean_texts(docs).count() == docs.count() and quality_rules.clean_texts(none).count() == 0
 
 
+def test_a_share_of_the_host_and_sql_on_planted_lines(spark, planted):
+    documents = spark.read.parquet(f"{planted[0]}/documents.parquet").toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    # the registered limits reject some of these, by their lines alone
+    verdicts = queries.op9_quality_rules(spark, planted[0]).toPandas()
+    assert (~verdicts["base_failed"] & ~verdicts["kept"]).sum() == 11
+    assert rows(verdicts) == rows(con.execute(quality_rules.SQL).fetchdf())
+    assert rows(queries.op9_clean_texts(spark, planted[0]).toPandas()) == rows(con.execute(quality_rules.CLEAN_SQL).fetchdf())
+    # 12 of 12,000 documents of a host are not more than one in a thousand, 13 are
+    many = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id").cast("string"), F.when(F.col("id") < 12, "\nline twelve").otherwise(""), F.when(F.col("id").between(100, 112), "\nline of the thirteen").otherwise("")).alias("text"), F.lit("h").alias("source"))
+    letters = many.withColumn("text", F.translate("text", "0123456789", "abcdefghij"))
+    taken = quality_rules.taken_lines(quality_rules.measured(letters, figures=False))
+    assert {r.doc_id for r in taken.collect()} == set(range(100, 113))
+
+
+def test_clean_texts_of_null_ids(spark, planted):
+    made = [(None, t, h) for _, t, h in planted[1]] + planted[1]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    got = quality_rules.clean_texts(df).collect()
+    by_id = {r.doc_id: r.clean_text for r in got if r.doc_id is not None}
+    assert len(got) == len(made) and sorted(r.clean_text for r in got if r.doc_id is None) == sorted(by_id.values())
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
