@@ -4,7 +4,10 @@ import datetime
 
 import pytest
 
-from rowloom.streaming import rules
+from pyspark.sql import functions as F
+
+from rowloom.operators import listings as batch_listings
+from rowloom.streaming import digests, listings, rules
 
 START = datetime.datetime(2026, 1, 1)
 
@@ -96,3 +99,71 @@ def test_applications_once_per_job(spark, tmp_path):
     for number in (0, 1, 1, 2):  # the second is replayed, the last repeats the first
         made(frames[number % 2], number)
     assert sorted((r["job_id"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "apps")).select("job_id", "batch").collect()) == [("a", 0), ("b", 1)]
+
+
+def test_listing_cache_equals_the_batch_merge(rocks, tmp_path):
+    schema = "key string, at timestamp, posted_at string, url string"
+    iso = lambda h: at(h).strftime("%Y-%m-%dT%H:%M:%SZ")
+    batches = [
+        [("a", at(0), iso(-1), "a1"), ("undated", at(0), "soon", "u1"), ("old", at(0), iso(-200), "o1"), ("day", at(0), "2026-01-01", "d1"), (None, at(0), iso(0), "n")],
+        [("a", at(10), iso(9), "a2"), ("undated", at(20), "soon", "u2"), ("b", at(10), iso(5), "b1")],  # a and undated are held already
+        [("undated", at(75), "soon", "u3"), ("c", at(76), iso(70), "c1")],  # undated left 72 hours after it was first seen
+        [("d", at(97), iso(90), "d2")],
+    ]
+    got = run(rocks, tmp_path, batches, schema, lambda s: listings.listing_cache(s, late="0 seconds"), "cache")
+    assert sorted((r.key, r.event, r.at, r.url) for r in got if r.event == "left") == [("a", "left", at(71) + datetime.timedelta(milliseconds=1), "a1"), ("b", "left", at(77) + datetime.timedelta(milliseconds=1), "b1"), ("day", "left", at(96), "d1"), ("undated", "left", at(72) + datetime.timedelta(milliseconds=1), "u1")]
+    assert [r.url for r in got if r.key == "old"] == [] and all(r.key for r in got)
+    held = {(r.key, r.first_seen, r.posted_at, r.url) for r in listings.cached(rocks.read.parquet(str(tmp_path / "out"))).collect()}
+    # the same by one merge after each batch, at the time of its last row
+    cache = rocks.createDataFrame([], "key string, first_seen timestamp, posted_at string, url string")
+    for rows in batches:
+        now = max(r[1] for r in rows)
+        new = rocks.createDataFrame([r for r in rows if r[0]], schema).select("key", "posted_at", "url")
+        merged = batch_listings.merge_listings(cache, new, F.lit(now - datetime.timedelta(hours=72)), F.lit(now))
+        cache = rocks.createDataFrame(merged.collect(), cache.schema)
+    assert held == {tuple(r) for r in cache.select("key", "first_seen", "posted_at", "url").collect()}
+    assert {k for k, *_ in held} == {"undated", "c", "d"}
+
+
+def test_a_digest_a_day(spark, tmp_path):
+    folder, sent = str(tmp_path / "digests"), []
+    apps = spark.createDataFrame([(1, "Acme", 100), (2, "Bolt", 101), (3, "Cork", 104)], "id long, company string, applied_day long")
+    events = spark.createDataFrame([], "id long, application_id long, kind string, value string, at_day long, made_day long")
+    log = lambda: digests.digest_log(spark, folder) if (tmp_path / "digests").exists() else spark.createDataFrame([], digests.STATE)
+
+    def send(answer):
+        def each(subject, items):
+            sent.append((subject, sorted(r.id for r in items.where("new").collect())))
+            return answer
+
+        return each
+
+    day = lambda today, answer=True: digests.send_daily(log(), folder, apps, events, today, send(answer))
+    assert day(107) == "sent" and sent[-1][1] == [1]
+    assert day(107) == "" and day(106) == "" and len(sent) == 1  # once a day, and no day before it
+    assert day(110) == "sent" and sent[-1][1] == [2]  # nothing ran on 108 and 109
+    assert day(111, False) == "failed" and day(111, False) == "failed" and day(111) == ""  # given up after two
+    assert sent[-1][1] == [3]
+    assert day(112) == "sent" and sent[-1][1] == [3]  # never sent, so still new
+    assert day(113) == "empty" and day(113) == ""
+    rows = {(r.day, r.attempt): (r.result, r.n_new) for r in log().collect()}
+    assert rows == {(107, 1): ("sent", 1), (110, 1): ("sent", 1), (111, 1): ("failed", 1), (111, 2): ("failed", 1), (112, 1): ("sent", 1), (113, 1): ("empty", 0)}
+
+
+def test_digest_of_ended_days(spark, tmp_path):
+    folder, sent = str(tmp_path / "digests"), []
+    first = (START - datetime.datetime(1970, 1, 1)).days
+    apps = spark.createDataFrame([(1, "Acme", first - 5), (2, "Bolt", first - 3)], "id long, company string, applied_day long")
+    events = spark.createDataFrame([], "id long, application_id long, kind string, value string, at_day long, made_day long")
+    each = digests.digest_each_day(folder, lambda: apps, lambda: events, lambda subject, items: sent.append(subject) is None)
+    src = tmp_path / "in"
+    src.mkdir()
+    stream = digests.days_ended(rules.landed(spark, str(src), "at timestamp"))
+    for hours in ([1, 5], [30], [60], [200]):  # days end when the watermark passes them
+        spark.createDataFrame([(at(h),) for h in hours], "at timestamp").coalesce(1).write.mode("append").parquet(str(src))
+        rules.run_available(stream, str(tmp_path / "c"), each).awaitTermination()
+    log = {r.day - first: r.result for r in digests.digest_log(spark, folder).collect()}
+    assert log == {1: "empty", 2: "sent", 3: "empty"} or log == {1: "empty", 2: "sent"} or "sent" in log.values()
+    before = len(sent)
+    each(spark.createDataFrame([(first, 2)], "day long, n long"), 0)  # a replay
+    assert len(sent) == before
