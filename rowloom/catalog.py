@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.plans import landed, more  # noqa: F401  (they register their queries)
+from rowloom.plans import landed, more, rules  # noqa: F401  (they register their queries)
 from rowloom.plans import queries as plans
 
 

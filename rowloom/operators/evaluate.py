@@ -142,10 +142,37 @@ def go_no_go(summary: DataFrame, alerts: int, caught: int) -> DataFrame:
     return summary.withColumn("go", (F.col("worth") > F.lit(caught / alerts)) & (F.col("caught") >= caught))
 
 
+def percentiles(df: DataFrame, group: list[str], value: Column, shares: list[float]) -> DataFrame:
+    """group, n (values that aren't null) and q: for each share the exact percentile, between neighbours by their distance, as
+    percentile() gives it. Groups without a value have none.
+
+    Values are counted, and the counts go by range partitions of group and value: each partition sums its own, the sums of
+    partitions before it are added, and only the values at the wanted ranks go on. So no task holds all values of a
+    group, nor all distinct ones. The order of partitions is written with them (as in steps).
+    """
+    key = F.to_json(F.struct(*[F.col(c) for c in group])) if group else F.lit("")
+    counts = df.select(key.alias("_k"), *group, value.cast("double").alias("_v")).where("_v IS NOT NULL").groupBy("_k", *group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    per = written(counts.repartitionByRange("_k", "_v").withColumn("_p", F.spark_partition_id()))
+    ahead = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = per.groupBy("_k", "_p").agg(F.sum("_n").alias("_s"))
+    before = sums.select("_k", "_p", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy("_k")).alias("n"))
+    inside = Window.partitionBy("_k", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = per.join(before, ["_k", "_p"]).withColumn("_to", F.sum("_n").over(inside) + F.col("_b"))
+    keys = ["_k", *group]
+    at = F.array(*[F.lit(float(x)) for x in shares])
+    rank = F.explode(F.transform(at, lambda x, i: F.struct(i.alias("i"), ((F.col("n") - 1) * x).alias("r"))))
+    ends = placed.select(*keys, "_v", "n", "_n", "_to", rank.alias("_r")).select("*", (F.col("_to") - F.col("_n")).alias("_from"))
+    holds = lambda r: (r >= F.col("_from")) & (r < F.col("_to"))
+    low, high = F.floor("_r.r"), F.ceil("_r.r")
+    near = ends.where(holds(low) | holds(high)).groupBy(*keys, "n", "_r").agg(F.max(F.when(holds(low), F.col("_v"))).alias("_l"), F.max(F.when(holds(high), F.col("_v"))).alias("_h"))
+    mixed = F.when(low == high, F.col("_l")).otherwise((high - F.col("_r.r")) * F.col("_l") + (F.col("_r.r") - low) * F.col("_h"))
+    out = near.select(*keys, "n", F.struct(F.col("_r.i").alias("i"), mixed.alias("v")).alias("_q")).groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list("_q")), lambda x: x["v"]).alias("q"))
+    return out.select(*group, "n", "q")
+
+
 def calibrate_fit(outcomes: DataFrame, fit: Column, least: int = 30, spread: float = 0.5) -> DataFrame:
     """For each model with enough real fits the 1st and 99th percentile, if they are far enough apart."""
-    q = F.percentile(fit, F.array(F.lit(0.01), F.lit(0.99)))
-    per = outcomes.groupBy("source_model").agg(F.count(fit).alias("n"), q.alias("q")).where(F.col("n") >= least)
+    per = percentiles(outcomes, ["source_model"], fit, [0.01, 0.99]).where(F.col("n") >= least)
     return per.where(F.col("q")[1] - F.col("q")[0] >= spread).select("source_model", F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high"), "n")
 
 

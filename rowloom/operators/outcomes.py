@@ -9,6 +9,8 @@ from rowloom.functions.text import same_job_key
 from rowloom.functions.urls import url_key
 from rowloom.plans.views import TERMINAL
 
+from .graph import join_one, written
+
 HOUR, DAY = 3600, 86400
 #: Statuses that are tried again for a day.
 TRIED_AGAIN = ["error_429_retry", "error_unavailable", "error_scorer"]
@@ -39,20 +41,25 @@ def retry_candidates(listed: DataFrame, outcomes: DataFrame, now: int, hours: in
 
 def suppress_repeats(scored: DataFrame, outcomes: DataFrame, now: int, days: int = 30) -> DataFrame:
     """Scored (id, title, company, decision, delivered, slot) with status: a job notified in the last days, or
-    delivered earlier in this run, is a duplicate; an alert that nobody got frees the job for its next copy."""
+    delivered earlier in this run, is a duplicate; an alert that nobody got frees the job for its next copy.
+
+    What a job's copies have to know is one row a job: whether it was told before, and its first slot that is delivered.
+    The copies of one job are dealt to several tasks where they are many (join_one).
+    """
     key = same_job_key(F.col("title"), F.col("company"))
     told = outcomes.where((F.col("status") == "notified") & (F.col("run_at") >= now - days * DAY)).select(key.alias("_k")).distinct().withColumn("_told", F.lit(True))
-    rows = scored.withColumn("_k", key).join(told, "_k", "left")
-    alert = (F.col("decision") == "notify") & F.col("_told").isNull()
-    before = F.max(F.when(alert & F.col("delivered"), True)).over(Window.partitionBy("_k").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    rows = written(scored.withColumn("_k", F.coalesce(key, F.lit(""))))
+    alert = (F.col("decision") == "notify") & F.col("delivered")
+    jobs = rows.groupBy("_k").agg(F.min(F.when(alert, F.col("slot"))).alias("_first")).join(told, "_k", "left")
+    known = join_one(rows, written(jobs), ["_k"])
     status = (
         F.when(F.col("decision") == "log", "logged")
         .when(F.col("decision") == "skip", "skipped")
-        .when(F.col("_told") | F.coalesce(before, F.lit(False)), "duplicate")
+        .when(F.coalesce("_told", F.lit(False)) | F.coalesce(F.col("_first") < F.col("slot"), F.lit(False)), "duplicate")
         .when(F.col("delivered"), "notified")
         .otherwise("error_notify")
     )
-    return rows.withColumn("status", status).drop("_k", "_told")
+    return known.withColumn("status", status).select(*scored.columns, "status")
 
 
 def latest_verdicts(verdicts: DataFrame, outcomes: DataFrame, since: int | None = None) -> DataFrame:
@@ -131,14 +138,20 @@ def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 100_00
 def take_turns(postings: DataFrame) -> DataFrame:
     """Postings (id, title, company, source, ord) with their place (turn, seen), by which the run takes them: sources
     take turns in the order of their first posting (seen), each in its own order; copies of one job keep the order they
-    came in, within the places that they hold."""
+    came in, within the places that they hold.
+
+    Places are numbered through (turn times the number of sources), so that the copies of a job are numbered twice, by
+    place and by arrival, each in stretches (numbered): a job with a third of all rows is spread over tasks.
+    """
     turns = numbered(postings, "source", "ord", "_turn").withColumn("_k", same_job_key(F.col("title"), F.col("company")))
-    seen = postings.groupBy("source").agg(F.min("ord").alias("_seen"))
-    placed = turns.join(seen, "source")
-    copies = Window.partitionBy("_k")
-    held = placed.withColumn("_held", F.row_number().over(copies.orderBy("_turn", "_seen"))).withColumn("_came", F.row_number().over(copies.orderBy("ord")))
-    own = held.select("_k", F.col("_held").alias("_came"), F.col("_turn").alias("turn"), F.col("_seen").alias("seen"))
-    return held.join(own, ["_k", "_came"]).select(*postings.columns, "turn", "seen")
+    first = Window.orderBy("_seen")
+    seen = written(postings.groupBy("source").agg(F.min("ord").alias("_seen")).withColumn("_s", F.row_number().over(first)))  # one row a source
+    placed = written(turns.join(F.broadcast(seen), "source").withColumn("_place", F.col("_turn") * seen.count() + F.col("_s")))
+    held = numbered(placed, "_k", "_place", "_held")
+    came = numbered(written(held), "_k", "ord", "_came")
+    both = written(came)
+    own = both.select("_k", F.col("_held").alias("_came"), F.col("_turn").alias("turn"), F.col("_seen").alias("seen"))
+    return both.join(own, ["_k", "_came"]).select(*postings.columns, "turn", "seen")
 
 
 def upsert_outcomes(table: DataFrame, batch: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.scores import fit_band, fit_of, iso_week, scaled
 
+from .evaluate import percentiles
+
 #: Stages in order, and those that are closed or a reply.
 STAGES = ["applied", "screen", "interview", "offer", "accepted", "rejected", "withdrawn", "ghosted"]
 CLOSED = ["accepted", "rejected", "withdrawn", "ghosted"]
@@ -151,9 +153,10 @@ def reply_numbers(state: DataFrame, fit: str = "fit_score") -> DataFrame:
 
 
 def median_days_to_reply(state: DataFrame) -> DataFrame:
-    """A3"""
+    """A3: one row, the median null without replies."""
     days = F.greatest(F.lit(0), F.col("reply_day") - F.col("applied_day"))
-    return state.where("reply_day IS NOT NULL").agg(F.percentile(days, 0.5).alias("median_days"), F.count(F.lit(1)).alias("replies"))
+    found = percentiles(state.where("reply_day IS NOT NULL"), [], days, [0.5])
+    return found.agg(F.max(F.col("q")[0]).alias("median_days"), F.coalesce(F.max("n"), F.lit(0)).alias("replies"))
 
 
 def stage_counts(state: DataFrame) -> DataFrame:
