@@ -94,9 +94,9 @@ def bucket_links(entries: DataFrame, close: Callable[[DataFrame], DataFrame], ro
     """(a, b) links between ids that share a bucket and are close, enough to connect what all such links connect.
 
     entries: written rows (id: bigint, bucket), each once. close: of pairs (x, y) those that are close, as links (a, b).
-    First each id of a bucket is compared with the bucket's least alone; after that only buckets that hold ids of several
-    components are of interest. There the ids outside the largest component get a centre of their own, for some rounds;
-    then each is compared with all ids of other components in its bucket. So a family of close ids costs a few
+    First each id of a bucket is compared with the bucket's least alone; after that only buckets whose ids aren't known to
+    be connected are of interest. There the ids outside the largest part (_spread) get a centre of their own, for some
+    rounds; then each is compared with all ids of other parts in its bucket. So a family of close ids costs a few
     comparisons a row, not one for each pair, and no link between components is lost.
     """
     centres = entries.groupBy("bucket").agg(F.min("id").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -116,19 +116,34 @@ def bucket_links(entries: DataFrame, close: Callable[[DataFrame], DataFrame], ro
     return links
 
 
+#: Steps by which the least id of a component spreads along links before buckets are judged.
+HOPS = 3
+
+
+def _spread(ids: DataFrame, links: DataFrame, hops: int = HOPS) -> DataFrame:
+    """id and part of ids (id): the least id within so many links. Ids of one part are connected for certain; connected ones
+    may still be of several parts, which costs comparisons later on and loses nothing."""
+    near = written(links.selectExpr("a AS u", "b AS v").unionByName(links.selectExpr("b AS u", "a AS v")))
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    for _ in range(hops - 1):
+        own = written(least)
+        around = join_one(near, own, ["v"]).select(F.col("u").alias("v"), "m").unionByName(own)
+        least = around.groupBy("v").agg(F.min("m").alias("m"))
+    found = written(least).withColumnRenamed("v", "id")
+    return ids.join(found, "id", "left").select("id", F.coalesce("m", "id").alias("part"))
+
+
 def _mixed(entries: DataFrame, links: DataFrame) -> DataFrame:
-    """entries of the buckets that hold ids of several components of links, with the component (part) and the bucket's
-    largest one (most). A bucket whose ids are all connected has nothing left to find."""
-    ids = entries.select(F.col("id").alias("node")).distinct()
-    parts = ids.join(components(links), "node", "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("part"))
-    named = written(join_one(entries, parts, ["id"]))
+    """entries of the buckets that hold ids of several parts (_spread), with the part and the bucket's largest one (most).
+    A bucket of one part has nothing left to find."""
+    named = written(join_one(entries, _spread(entries.select("id").distinct(), links), ["id"]))
     per = named.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "most")
     return written(join_one(named, most, ["bucket"]))
 
 
 def _across(mixed: DataFrame, outside: DataFrame) -> DataFrame:
-    """(x, y) of ids of different components that share a bucket, x outside of the bucket's largest component. Buckets are
+    """(x, y) of ids of different parts that share a bucket, x outside of the bucket's largest part. Buckets are
     dealt to several tasks by salting one side and repeating the other."""
     salts = outside.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("m"))
     x = join_one(outside, salts, ["bucket"]).select("bucket", F.col("id").alias("x"), F.col("part").alias("px"), F.col("most").alias("top"), F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("salt"))

@@ -51,23 +51,80 @@ def picked_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+_MADE = """SELECT id, concat(CASE WHEN ord % 3 = 0 THEN concat('About us', chr(10), 'We are old.', chr(10), 'Requirements:', chr(10), '5 years of it', chr(10)) ELSE '' END,
+  CASE ord % 5 WHEN 0 THEN concat('**What you’ll do**', chr(10)) WHEN 1 THEN concat('Some Things To Know:', chr(10)) WHEN 2 THEN concat(upper(location), chr(10)) ELSE '' END,
+  CASE WHEN ord % 7 = 0 THEN '' ELSE concat('Responsibilities:', chr(10)) END, description,
+  CASE ord % 4 WHEN 0 THEN concat(chr(10), 'Benefits', chr(10), 'free food') WHEN 1 THEN concat(chr(10), '# Nice to have', chr(10), title, chr(10), 'Experience with ', source) ELSE '' END) AS text FROM v_postings"""
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _condensed_sql() -> str:
+    """The division of postings over rows of lines: each line's section is that of the last heading before it."""
+    phrases = [(p, k) for k, own in condense.KINDS for p in own]
+    kind = "CASE " + " ".join(f"WHEN contains(low || ' ', {_quoted(p)}) THEN '{k}'" for p, k in phrases) + " WHEN starts_with(low, 'about ') THEN 'drop' ELSE 'other' END"
+    opens = "(starts_with(low, 'about ') OR " + " OR ".join(f"starts_with(low, {_quoted(p)})" for p, _ in phrases) + ")"
+    same = ", ".join(_quoted(x) for p, _ in phrases for x in (p, p + "s"))
+    tag, boiler, need = (_quoted(x) for x in (condense.TAG, condense.BOILERPLATE, condense.REQUIREMENT))
+    letters = r"(?:[^\p{L}]*\p{L}){4}"
+    own = lambda name: f"nullif(coalesce(string_agg(trim(line), chr(10) ORDER BY i) FILTER (placed = '{name}'), ''), '') AS {name}"
+    return rf"""WITH t AS ({_MADE.replace("{", "").replace("}", "")}),
+    n AS (SELECT id, unnest(regexp_split_to_array(text, '\r\n|[\n\r]')) AS line, generate_subscripts(regexp_split_to_array(text, '\r\n|[\n\r]'), 1) AS i FROM t),
+    b AS (SELECT *, trim(regexp_replace(trim(translate(line, chr(8217) || chr(8216), chr(39) || chr(39))), '^[*#]+|[*#]+$', '', 'g')) AS bare FROM n WHERE trim(line) <> ''),
+    f AS (SELECT *, rtrim(lower(bare), ':') AS low, len(regexp_split_to_array(bare, '\s+')) AS words,
+      ends_with(bare, ':') OR regexp_matches(trim(line), '^(?:#|\*\*)') OR regexp_matches(bare, '{letters}') AND NOT regexp_matches(bare, '[\p{{Ll}}\p{{Lo}}\p{{Lt}}\p{{Lm}}]') AS marked FROM b),
+    j AS (SELECT *, bare <> '' AND length(bare) <= 70 AND words <= 8 AND NOT regexp_matches(bare, '[.;,]$') AND NOT regexp_matches(trim(rtrim(bare, ':')), {tag}) AND regexp_matches(bare, '{letters}')
+      AND (marked OR words <= 6 AND {opens}) AS head FROM f),
+    k AS (SELECT *, CASE WHEN head THEN {kind} END AS kind, CASE WHEN head THEN NOT marked AND NOT (len(regexp_split_to_array(low, '\s+')) <= 2 OR low IN ({same})) ELSE true END AS content FROM j),
+    s AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING), 'other') AS section FROM k),
+    h AS (SELECT id, count(*) FILTER (head) AS headings, count(*) FILTER (kind = 'other') AS unknown_headings FROM k GROUP BY id),
+    z AS (SELECT id, replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)) AS text FROM t SEMI JOIN (SELECT id FROM h WHERE headings = 0) USING (id)),
+    parts AS (SELECT id, line, i, section FROM s JOIN h USING (id) WHERE headings > 0 AND content AND (NOT head AND section <> 'drop' OR head AND section NOT IN ('drop', 'other'))
+      UNION ALL SELECT id, unnest(string_split(text, chr(1))), generate_subscripts(string_split(text, chr(1)), 1), 'other' FROM z),
+    r AS (SELECT id, line, i, CASE WHEN section IN ('responsibilities', 'other') AND regexp_matches(line, {need}) THEN 'requirements' ELSE section END AS placed FROM parts
+      WHERE trim(line) <> '' AND NOT regexp_matches(line, {boiler})),
+    c AS (SELECT id, {", ".join(own(x) for x in condense.SECTIONS)} FROM r GROUP BY id)
+    SELECT t.id, {", ".join(condense.SECTIONS)}, CAST(coalesce(headings, 0) AS INT) AS headings, CAST(coalesce(unknown_headings, 0) AS INT) AS unknown_headings, requirements IS NULL AS empty_requirements
+    FROM t LEFT JOIN h USING (id) LEFT JOIN c USING (id)"""
+
+
 def _condensed(spark: SparkSession, d: str) -> DataFrame:
-    made = F.concat(
-        F.when(F.col("ord") % 3 == 0, "About us\nWe are old.\nRequirements:\n5 years of it\n").otherwise(""), F.lit("Responsibilities:\n"), F.col("description"), F.when(F.col("ord") % 4 == 0, "\nBenefits\nfree food").otherwise("")
-    )
-    return read(spark, d, "v_postings").select("id", condense.split_posting(made).alias("p")).select("id", "p.*")
+    made = spark.sql(_MADE.replace("FROM v_postings", "FROM {v}"), v=read(spark, d, "v_postings"))
+    return made.select("id", condense.split_posting(F.col("text")).alias("p")).select("id", "p.*")
 
 
+@register(_condensed_sql(), ["v_postings"])
 def condensed_postings(spark: SparkSession, d: str) -> DataFrame:
     """C17"""
     return _condensed(spark, d)
 
 
+@register(
+    f"""WITH y AS ({_condensed_sql()}) SELECT count(*) AS postings, count(*) FILTER (headings = 0) AS no_headings, count(*) FILTER (empty_requirements) AS empty_requirements, CAST(sum(unknown_headings) AS BIGINT) AS unknown_headings FROM y""",
+    ["v_postings"],
+)
 def input_health(spark: SparkSession, d: str) -> DataFrame:
     """A11"""
     return pools.input_health(_condensed(spark, d))
 
 
+def _excerpt_sql(split: str, hit: str) -> str:
+    """The lines with a word until one would pass 1,500 characters, else the opening."""
+    return f"""(SELECT coalesce(nullif(string_agg(x, chr(10) ORDER BY k) FILTER (upto <= 1500), ''), substr(text, 1, 1500)) FROM (
+      SELECT x, k, sum(length(x) + 1) OVER (ORDER BY k) - 1 AS upto FROM (SELECT trim(unnest(p)) AS x, generate_subscripts(p, 1) AS k FROM (SELECT {split} AS p)) WHERE {hit}))"""
+
+
+_TOKENS = r"regexp_split_to_array(lower(x), '[^\p{L}\p{N}]+')"
+
+
+@register(
+    rf"""SELECT id, {_excerpt_sql(r"regexp_split_to_array(text, '\r\n|[\n\r]')", f"list_has_any({_TOKENS}, ['the', 'der', 'que'])")} AS lines,
+      {_excerpt_sql(r"string_split(replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))", f"list_contains({_TOKENS}, 'thing') OR len(list_filter({_TOKENS}, lambda t: starts_with(t, 'onth'))) > 0")} AS sentences
+    FROM (SELECT id, coalesce(description, '') AS text FROM v_postings)""",
+    ["v_postings"],
+)
 def posting_excerpts(spark: SparkSession, d: str) -> DataFrame:
     """C22"""
     return _texts(spark, d).select("id", condense.matching_lines(F.col("text"), ["the", "der", "que"]).alias("lines"), condense.matching_lines(F.col("text"), ["thing"], sentences=True, prefixes=["onth"]).alias("sentences"))
@@ -188,5 +245,5 @@ def contract_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "v_postings").select("id", employment.contract_reason(title, text, listed).alias("contract"), employment.hourly_reason(title, text, pay).alias("hourly"))
 
 
-for f in (condensed_postings, input_health, posting_excerpts, split_pool, capped_labels, question_metrics, temperatures, question_report):
+for f in (split_pool, capped_labels, question_metrics, temperatures, question_report):
     QUERIES[f.__name__] = f
