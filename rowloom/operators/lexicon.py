@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions.text import has_term, let, word_text
 
+from .graph import join_one, written
+
 #: Skills and their spellings, in the order shown.
 SKILLS = {
     "python": ["python", "python3"],
@@ -50,11 +55,55 @@ def lexicon_table(spark, lexicon: dict[str, list[str]] | None = None) -> DataFra
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.ord", "r.key", F.trim(word_text(F.col("r.term"))).alias("term"), F.size(F.split(F.trim(word_text(F.col("r.term"))), " ")).alias("n"))
 
 
-def term_hits(texts: DataFrame, lexicon: DataFrame, longest: int = 4) -> DataFrame:
-    """Texts (id, text) to rows (id, ord, key), each once: word n-grams joined with the lexicon, of any size. A small
-    lexicon is broadcast by the optimiser, a large one shuffled."""
-    words = F.filter(F.split(F.trim(word_text(F.col("text"))), " "), lambda x: x != "")
+#: A lexicon of up to so many characters is sent to every worker as one automaton (some 50 bytes a character there).
+AUTOMATON_CHARS = 2_000_000
+#: What a worker process keeps from task to task: the automaton of the lexicon that it met last.
+WORKER: dict = {}
+
+
+def term_hits(texts: DataFrame, lexicon: DataFrame, longest: int = 4, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """Texts (id, text) and a lexicon (ord, key, term: whole words) of any size to rows (id, ord, key), each once.
+
+    The size of the lexicon is measured first. Up to most_chars it goes to every worker as one automaton (Aho-Corasick), by
+    which a text is read once however many terms there are, without a shuffle. Beyond that it stays partitioned: the word
+    sequences of up to longest words of each text are joined to the terms, with those that many texts have dealt to several
+    tasks. Null texts have no terms; a repeated id has the terms of all its rows; an empty lexicon gives no rows.
+    """
+    terms = written(lexicon.where("term <> ''").groupBy("term").agg(F.collect_set(F.struct("ord", "key")).alias("keys")))
+    size = terms.agg(F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("n")).first().n
+    words = texts.select("id", word_text(F.col("text")).alias("words"))
+    found = _by_automaton(words, terms) if size <= most_chars else _by_join(words, terms, longest)
+    return found.select("id", F.explode("keys").alias("k")).select("id", "k.ord", "k.key").distinct()
+
+
+def _by_automaton(words: DataFrame, terms: DataFrame) -> DataFrame:
+    spark = words.sparkSession
+    known = sorted(r.term for r in terms.select("term").collect())
+    shared = spark.sparkContext.broadcast(known)
+    name = hashlib.sha256("\n".join(known).encode()).hexdigest()
+    shape = T.StructType([words.schema["id"], T.StructField("terms", T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        import ahocorasick
+
+        if name not in WORKER:
+            WORKER.clear()
+            trie = ahocorasick.Automaton()
+            for t in shared.value:
+                trie.add_word(f" {t} ", t)
+            if shared.value:
+                trie.make_automaton()
+            WORKER[name] = trie
+        trie = WORKER[name]
+        for batch in batches:
+            own = [sorted({t for _, t in trie.iter(x)}) if len(trie) else [] for x in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.list_(pa.string()))], names=["id", "terms"])
+
+    each = words.mapInArrow(run, shape).select("id", F.explode("terms").alias("term"))
+    return each.join(F.broadcast(terms), "term")
+
 
+def _by_join(words: DataFrame, terms: DataFrame, longest: int) -> DataFrame:
     def grams(w: Column) -> Column:
         parts = []
         for n in range(1, longest + 1):
@@ -65,7 +114,8 @@ def term_hits(texts: DataFrame, lexicon: DataFrame, longest: int = 4) -> DataFra
             parts.append(g)
         return F.array_distinct(F.concat(*parts))
 
-    return texts.select("id", F.explode(let(words, grams)).alias("term")).join(lexicon.select("term", "ord", "key"), "term").select("id", "ord", "key").distinct()
+    split = F.filter(F.split(F.trim("words"), " "), lambda x: x != "")
+    return join_one(written(words.select("id", F.explode(let(split, grams)).alias("term"))), terms, ["term"])
 
 
 def skills_of(texts: DataFrame, lexicon: dict[str, list[str]] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import scores
+from rowloom.functions.text import word_text
 from rowloom.operators import condense, employment, evaluate, graph, lexicon, listings, location, pools
 
 from .queries import NOW, QUERIES, _answers, _LOGITS, has, read, register, w
@@ -33,6 +34,31 @@ def compared_skills(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", F.array_join("matched", ",").alias("matched"), F.array_join("gaps", ",").alias("gaps"))
 
 
+#: Terms of two and three words, all that the benchmark table has.
+_SEQUENCES = f"SELECT DISTINCT unnest(list_concat([x[i] || ' ' || x[i + 1] FOR i IN range(1, len(x))], [x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] FOR i IN range(1, len(x) - 1)])) AS term FROM (SELECT string_split(trim({w('text')}), ' ') AS x FROM benchmark)"
+
+
+@register(
+    f"""WITH t AS ({_SEQUENCES}), p AS (SELECT id, string_split(trim({w('description')}), ' ') AS x FROM v_postings),
+    g AS (SELECT DISTINCT id, unnest(list_concat([x[i] || ' ' || x[i + 1] FOR i IN range(1, len(x))], [x[i] || ' ' || x[i + 1] || ' ' || x[i + 2] FOR i IN range(1, len(x) - 1)])) AS term FROM p)
+    SELECT id, count(*) AS terms, min(term) AS first, sum(CAST(length(term) AS BIGINT))::BIGINT AS chars FROM g JOIN t USING (term) GROUP BY id""",
+    ["v_postings"],
+)
+def benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
+    """A lexicon of some ten thousand terms"""
+    words = F.split(F.trim(word_text(F.col("text"))), " ")
+    pick = lambda x, n: F.transform(F.slice(F.sequence(F.lit(0), F.size(x)), F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(0))), lambda i: F.array_join(F.slice(x, i + 1, n), " "))
+    made = read(spark, d, "benchmark").select(words.alias("x")).select(F.explode(F.concat(pick(F.col("x"), 2), pick(F.col("x"), 3))).alias("term")).distinct()
+    found = lexicon.term_hits(_texts(spark, d), made.select(F.lit(0).alias("ord"), F.col("term").alias("key"), "term"))
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.min("key").alias("first"), F.sum(F.length("key").cast("long")).alias("chars"))
+
+
+@register(f"WITH {_HITS} SELECT id, CAST(list_position(['article', 'of', 'thing', 'and', 'ing'], k) - 1 AS INT) AS ord, k AS key FROM (SELECT id, unnest(hits) AS k FROM h)", ["v_postings"])
+def term_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row a text and key"""
+    return lexicon.term_hits(_texts(spark, d), lexicon.lexicon_table(spark, LEXICON))
+
+
 PROFILES = {"english": ["the", "and", "thing"], "german": ["der", "und", "die"], "french": ["la", "et", "que"], "spare": []}
 
 
@@ -130,11 +156,25 @@ def posting_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("id", condense.matching_lines(F.col("text"), ["the", "der", "que"]).alias("lines"), condense.matching_lines(F.col("text"), ["thing"], sentences=True, prefixes=["onth"]).alias("sentences"))
 
 
-@register("SELECT concat('pool', ord % 2) AS pool, CASE ord % 6 WHEN 0 THEN 'clearance' WHEN 1 THEN 'seniority' WHEN 2 THEN 'location' WHEN 3 THEN 'other' WHEN 4 THEN 'none' ELSE 'citizenship' END AS category, count(*) AS n FROM v_postings GROUP BY ALL", ["v_postings"])
+_SAID = """SELECT concat('pool', ord % 2) AS pool, concat(title, '; ', CASE ord % 9 WHEN 0 THEN 'Secret clearance' WHEN 1 THEN concat(ord % 12, ' years') WHEN 2 THEN 'Onsite in Germany;' WHEN 3 THEN '' WHEN 4 THEN ' ; '
+    WHEN 5 THEN 'US citizen' WHEN 6 THEN concat(ord % 7, '+ of ', source) WHEN 7 THEN 'Senior firmware' ELSE 'relocation' END, CASE WHEN ord % 4 = 0 THEN '; lead; India' ELSE '' END) AS dealbreaker, ord % 5 AS k, title FROM v_postings"""
+_KINDS = " ".join(f"WHEN regexp_matches(p, {_q}) THEN '{_name}'" for _name, _, _rule in scores.DEALBREAKER_RULES for _q in ["'" + _rule + "'"])
+_SOFT = ", ".join(f"'{_name}'" for _name, _bad, _ in scores.DEALBREAKER_RULES if not _bad)
+
+
+@register(
+    f"""WITH i AS ({_SAID}), s AS (SELECT pool, row_number() OVER () AS r, CASE k WHEN 0 THEN substr(dealbreaker, length(title) + 3) ELSE dealbreaker END AS said FROM i),
+    p AS (SELECT r, trim(unnest(string_split(lower(said), ';'))) AS p, generate_subscripts(string_split(said, ';'), 1) AS n FROM s),
+    c AS (SELECT r, n, CASE {_KINDS} ELSE 'other' END AS kind FROM p WHERE p <> ''),
+    f AS (SELECT r, arg_min(kind, (CASE WHEN kind IN ({_SOFT}) THEN 1 ELSE 0 END, n)) AS kind FROM c GROUP BY r)
+    SELECT pool, coalesce(kind, 'none') AS category, count(*) AS n FROM s LEFT JOIN f USING (r) GROUP BY ALL""",
+    ["v_postings"],
+)
 def dealbreaker_counts(spark: SparkSession, d: str) -> DataFrame:
     """A9"""
-    said = F.when(F.col("ord") % 6 == 0, "5 years; Secret clearance").when(F.col("ord") % 6 == 1, "senior role").when(F.col("ord") % 6 == 2, "onsite in Germany; 3+ years").when(F.col("ord") % 6 == 3, "manages people").when(F.col("ord") % 6 == 4, " ; ").otherwise("US citizen, 5 years")
-    return pools.dealbreaker_counts(read(spark, d, "v_postings").select(F.concat(F.lit("pool"), F.col("ord") % 2).alias("pool"), said.alias("dealbreaker")))
+    made = spark.sql(_SAID.replace("FROM v_postings", "FROM {v}"), v=read(spark, d, "v_postings"))
+    said = F.when(F.col("k") == 0, F.expr("substr(dealbreaker, length(title) + 3)")).otherwise(F.col("dealbreaker"))
+    return pools.dealbreaker_counts(made.select("pool", said.alias("dealbreaker")))
 
 
 @register("SELECT CAST(gated AS VARCHAR) AS question, label AS \"option\", count(*) AS n FROM v_labelled GROUP BY ALL", ["v_labelled"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +70,8 @@ def digest_each_day(folder: str, applications: Callable[[], DataFrame], events:
             spark = batch.sparkSession
             try:
                 log = digest_log(spark, folder)
-            except Exception as missing:  # the folder comes with the first attempt
-                if "PATH_NOT_FOUND" not in str(missing):
+            except AnalysisException as missing:  # the folder comes with the first attempt
+                if missing.getCondition() != "PATH_NOT_FOUND":
                     raise
                 log = spark.createDataFrame([], STATE)
             send_daily(log, folder, applications(), events(), last + 1, send)

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from rowloom.operators.outcomes import append_verdicts, filter_unseen, verdicts_to_applications
-from rowloom.operators.tracker import GHOST_DAYS, follow_up_for
+from rowloom.operators.tracker import CLOSED, GHOST_DAYS, follow_up_for
 
 
 def landed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -35,17 +36,45 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_new_verdicts(table: str) -> Callable[[DataFrame, int], None]:
-    """Appends verdicts whose message the table doesn't have; a replayed batch appends nothing."""
+#: Partitions of the table of verdicts, by a hash of the message.
+BUCKETS = 256
+
+
+def append_new_verdicts(table: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Appends verdicts whose message the table doesn't have; a replayed batch appends nothing.
+
+    The table is partitioned by a hash of the message (bucket), and a batch reads the ids of its own buckets only, and adds
+    one file to each. compact_verdicts() joins what many batches left. The folder may not exist before the first batch.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        have = spark.read.parquet(table)
-        append_verdicts(have, batch).write.mode("append").parquet(table)
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r.bucket for r in own.select("bucket").distinct().collect())  # buckets at most
+        if touched:
+            stored = spark.read.schema(own.schema).option("ignoreMissingFiles", "true")
+            have = stored.parquet(table) if _exists(spark, table) else spark.createDataFrame([], own.schema)
+            new = append_verdicts(have.where(F.col("bucket").isin(touched)), own)
+            new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(table)
+        own.unpersist()
 
     return each
 
 
+def compact_verdicts(spark: SparkSession, table: str, into: str) -> None:
+    """The table once more in another folder, one file a bucket, for readers and writers to change over to."""
+    spark.read.parquet(table).repartition("bucket").write.partitionBy("bucket").parquet(into)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    try:
+        return bool(spark.read.format("binaryFile").load(folder).inputFiles())
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def create_applications(folder: str, outcomes: DataFrame, today_day: int, applications: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """Applications from verdicts, in a folder of the batch's own, so that a replay writes the same files again.
 
@@ -62,46 +91,45 @@ def create_applications(folder: str, outcomes: DataFrame, today_day: int, applic
     return each
 
 
-def _keyed(schema: str, state: str, handle):
-    """A stateful processor for transformWithStateInPandas with one value state."""
+def suppress_repeats(stream: DataFrame, days: int = 30, late: str = "1 day") -> DataFrame:
+    """Scored rows (key, id, at: seconds) with repeat: whether the key was told in the last days; a row that is no repeat
+    tells it anew. Rows of one key and batch are taken by time.
+
+    State: the time at which the key was last told, cleared by an event-time timer when it can't make a repeat any more;
+    late is how far behind rows may come.
+    """
+    import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-    class Keyed(StatefulProcessor):
-        def init(self, handle_):
-            self.handle = handle_
-            self.state = handle_.getValueState("v", state, ttl_ms())
+    class Told(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("told", "at long")
 
         def handleInputRows(self, key, rows, timerValues):
-            yield from handle(self, key, rows, timerValues)
+            before = self.state.get()[0] if self.state.exists() else None
+            told, out = before, []
+            frame = pd.concat([f[["id", "at"]] for f in rows]).sort_values(["at", "id"])
+            for i, at in zip(frame["id"], frame["at"], strict=True):
+                repeat = told is not None and at - told < days * 86_400
+                out.append((key[0], i, int(at), bool(repeat)))
+                told = told if repeat else int(at)
+            if told != before:
+                if before is not None:
+                    self.handle.deleteTimer((before + days * 86_400) * 1000)
+                self.state.update((told,))
+                self.handle.registerTimer((told + days * 86_400) * 1000)
+            yield pd.DataFrame(out, columns=["key", "id", "at", "repeat"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.state.clear()
+            return iter(())
 
         def close(self):
             pass
 
-    def ttl_ms():
-        return getattr(handle, "ttl", None)
-
-    return Keyed()
-
-
-def suppress_repeats(stream: DataFrame, days: int = 30) -> DataFrame:
-    """Scored rows (key, id, at: seconds) with repeat: whether the key was seen in the last days. State: the key's last
-    time, dropped after as long without one."""
-    import pandas as pd
-
-    def handle(self, key, rows, timers):
-        seen = self.state.get()[0] if self.state.exists() else None
-        out = []
-        frame = pd.concat(list(rows)).sort_values(["at", "id"])
-        for i, at in zip(frame["id"], frame["at"], strict=True):
-            repeat = seen is not None and at - seen < days * 86400
-            out.append((key[0], i, int(at), bool(repeat)))
-            if not repeat:
-                seen = int(at)
-        self.state.update((seen,))
-        yield pd.DataFrame(out, columns=["key", "id", "at", "repeat"])
-
-    handle.ttl = days * 86_400_000
-    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=_keyed("", "seen long", handle), outputStructType="key string, id string, at long, repeat boolean", outputMode="Append", timeMode="ProcessingTime")
+    rows = stream.select("key", "id", "at", F.timestamp_seconds("at").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=Told(), outputStructType="key string, id string, at long, repeat boolean", outputMode="Append", timeMode="EventTime")
 
 
 def deadlines(stream: DataFrame, late: str = "1 hour", restart: bool = False) -> DataFrame:
@@ -203,5 +231,55 @@ def application_timers(stream: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def application_stages(stream: DataFrame) -> DataFrame:
-    """The stage of each application by its last stage event, as a running aggregate for update mode."""
+    """The stage of each application by its last stage event, as a running aggregate over a bounded set of applications."""
     return stream.where("kind = 'stage'").groupBy("application_id").agg(F.max_by("value", "id").alias("stage"))
+
+
+def application_states(stream: DataFrame, keep_days: int = 90, late: str = "1 day") -> DataFrame:
+    """Events (id, application_id, kind, value, at: timestamp) to the state of each application that they change:
+    application_id, stage, stage_at, follow_up_day, as tracker.current_state() has it, for update mode.
+
+    The last stage event and the last follow-up event by id count, whatever order they come in. State: those two. A closed
+    application's state goes keep_days after its last event, by an event-time timer; a new event starts it again.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Application(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("application", "stage_id long, stage string, stage_at long, follow_id long, follow string, timer long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            old = tuple(self.state.get()) if self.state.exists() else (-1, None, None, -1, None, None)
+            stage_id, stage, stage_at, follow_id, follow, timer = old
+            last = 0
+            for f in rows:
+                ms = f["at"].astype("datetime64[ms]").astype("int64")
+                last = max(last, int(ms.max()))
+                moves, follows = f[f["kind"] == "stage"], f[f["kind"].isin(["follow_up_set", "follow_up_done"])]
+                if len(moves) and int(moves["id"].max()) > stage_id:
+                    k = moves["id"].idxmax()
+                    stage_id, stage, stage_at = int(moves["id"][k]), moves["value"][k], int(ms[k])
+                if len(follows) and int(follows["id"].max()) > follow_id:
+                    k = follows["id"].idxmax()
+                    follow_id, follow = int(follows["id"][k]), follows["value"][k] if follows["kind"][k] == "follow_up_set" else None
+            due = last + keep_days * 86_400_000 if stage in CLOSED else None
+            if timer is not None and timer != due:
+                self.handle.deleteTimer(timer)
+            if due is not None and timer != due:
+                self.handle.registerTimer(due)
+            self.state.update((stage_id, stage, stage_at, follow_id, follow, due))
+            if (stage_id, follow_id) != (old[0], old[3]):
+                yield pd.DataFrame({"application_id": [key[0]], "stage": [stage or "applied"], "stage_at": pd.to_datetime([stage_at], unit="ms"), "follow_up_day": pd.array([None if follow is None else int(follow)], "Int64")})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.state.clear()
+            return iter(())
+
+        def close(self):
+            pass
+
+    rows = stream.select("id", "application_id", "kind", "value", "at").withWatermark("at", late)
+    out = "application_id long, stage string, stage_at timestamp, follow_up_day long"
+    return rows.groupBy("application_id").transformWithStateInPandas(statefulProcessor=Application(), outputStructType=out, outputMode="Update", timeMode="EventTime")

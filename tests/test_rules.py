@@ -321,7 +321,6 @@ def test_stream_equals_batch(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "table")
     rows = spark.range(40).selectExpr("concat('m', id % 25) AS message_id", "id", "concat('j', id % 4) AS job_id", "'good' AS verdict", "id AS received_at")
     rows.write.parquet(src)
-    rows.limit(0).write.parquet(out)
     for name in ("c1", "c2"):  # the second run replays all of it
         rules.run_available(rules.landed(spark, src, rows._jdf.schema().toDDL()), str(tmp_path / name), rules.append_new_verdicts(out)).awaitTermination()
     got = sorted(r["message_id"] for r in spark.read.parquet(out).collect())
@@ -427,3 +426,39 @@ def test_a_family_of_near_copies_takes_few_comparisons(spark):
     assert links.count() < 40 * 5_000
     roots = {r.node: r.root for r in graph.components(links).collect()}
     assert set(roots.values()) == {0} and len(roots) == 5_000
+
+
+def test_percentiles_are_exact(spark):
+    df = spark.range(5_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE concat('m', id % 2) END AS model", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 4 ELSE (id * 7919 % 1009) / 8 END AS v")
+    shares = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    got = {r.model: (r.n, r.q) for r in evaluate.percentiles(df, ["model"], F.col("v"), shares).collect()}
+    want = df.groupBy("model").agg(F.count("v").alias("n"), F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()
+    assert got == {r.model: (r.n, r.q) for r in want}
+    assert evaluate.percentiles(df.where("false"), ["model"], F.col("v"), shares).count() == 0
+    whole = evaluate.percentiles(df, [], F.col("v"), [0.5]).first()
+    assert whole.q == [df.agg(F.percentile("v", 0.5)).first()[0]]
+
+
+def test_terms_by_automaton_and_by_join(spark):
+    from rowloom.operators import lexicon
+
+    texts = spark.createDataFrame([(1, "Alpha beta, gamma. ALPHA"), (2, None), (3, ""), (4, "beta beta"), (4, "gamma"), (5, "alphabet c++ c")], "id long, text string")
+    terms = lexicon.lexicon_table(spark, {"a": ["alpha", "alpha beta"], "b": ["beta gamma", "beta"], "c": ["c++"], "g": ["gamma"], "none": ["delta", "beta beta beta"]})
+    want = {(1, "a"), (1, "b"), (1, "g"), (4, "b"), (4, "g"), (5, "c")}
+    for chars in (10**6, 0):
+        assert {(r.id, r.key) for r in lexicon.term_hits(texts, terms, most_chars=chars).collect()} == want
+        assert lexicon.term_hits(texts, terms.where("false"), most_chars=chars).count() == 0
+
+
+def test_a_job_with_a_third_of_the_rows(spark):
+    """Turns and repeats where one job has most rows, against plain windows."""
+    from pyspark.sql import Window
+
+    n = 3_000
+    posts = spark.range(n).selectExpr("concat('p', id) AS id", "CASE WHEN id % 3 = 0 THEN 'Dev' ELSE concat('t', id) END AS title", "'Acme' AS company", "concat('s', id * 31 % 4) AS source", "id AS ord")
+    got = {r.id: (r.turn, r.seen) for r in outcomes.take_turns(posts).collect()}
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
+    plain = posts.withColumn("turn", turn).join(posts.groupBy("source").agg(F.min("ord").alias("seen")), "source").toPandas()
+    for _, own in plain.groupby("title"):
+        places = own.sort_values(["turn", "seen"])[["turn", "seen"]].itertuples(index=False, name=None)
+        assert [got[i] for i in own.sort_values("ord")["id"]] == list(places)

@@ -107,7 +107,7 @@ def test_listing_cache_equals_the_batch_merge(rocks, tmp_path):
     batches = [
         [("a", at(0), iso(-1), "a1"), ("undated", at(0), "soon", "u1"), ("old", at(0), iso(-200), "o1"), ("day", at(0), "2026-01-01", "d1"), (None, at(0), iso(0), "n")],
         [("a", at(10), iso(9), "a2"), ("undated", at(20), "soon", "u2"), ("b", at(10), iso(5), "b1")],  # a and undated are held already
-        [("undated", at(75), "soon", "u3"), ("c", at(76), iso(70), "c1")],  # undated left 72 hours after it was first seen
+        [("undated", at(76), "soon", "u3"), ("c", at(76), iso(70), "c1")],  # undated left 72 hours after it was first seen
         [("d", at(97), iso(90), "d2")],
     ]
     got = run(rocks, tmp_path, batches, schema, lambda s: listings.listing_cache(s, late="0 seconds"), "cache")
@@ -167,3 +167,54 @@ def test_digest_of_ended_days(spark, tmp_path):
     before = len(sent)
     each(spark.createDataFrame([(first, 2)], "day long, n long"), 0)  # a replay
     assert len(sent) == before
+
+
+def test_repeats_by_event_time(rocks, tmp_path):
+    on = lambda day: 1_700_000_000 + int(day * 86_400)
+    batches = [
+        [("a", "1", on(0)), ("b", "1", on(0.1)), ("a", "2", on(1))],  # the second a is a repeat
+        [("a", "3", on(29)), ("b", "2", on(30.1))],  # still within 30 days of the first; b is free again
+        [("a", "4", on(31)), ("c", "1", on(90))],
+        [("b", "3", on(95))],
+    ]
+    got = run(rocks, tmp_path, batches, "key string, id string, at long", rules.suppress_repeats, "repeats")
+    assert sorted((r.key, r.id) for r in got if r.repeat) == [("a", "2"), ("a", "3")] and len(got) == 8
+
+
+def test_application_states_equal_the_batch_state(rocks, tmp_path):
+    from rowloom.operators.tracker import current_state
+
+    schema = "id long, application_id long, kind string, value string, at timestamp"
+    batches = [
+        [(1, 1, "stage", "applied", at(0)), (3, 2, "stage", "screen", at(1)), (2, 2, "follow_up_set", "20460", at(1))],
+        [(5, 1, "stage", "rejected", at(30)), (4, 1, "stage", "screen", at(40)), (6, 2, "follow_up_done", "", at(40)), (7, 3, "follow_up_set", "20470", at(41))],
+        [(8, 2, "stage", "offer", at(60)), (9, 3, "stage", "interview", at(61))],
+    ]
+    src = tmp_path / "in"
+    src.mkdir()
+    seen = {}
+    for rows in batches:
+        rocks.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
+        states = rules.application_states(rules.landed(rocks, str(src), schema))
+        each = lambda batch, _: seen.update({r.application_id: (r.stage, r.stage_at, r.follow_up_day) for r in batch.collect()})
+        states.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    day = lambda t: (t - datetime.datetime(1970, 1, 1)).days
+    events = rocks.createDataFrame([(i, a, k, v, day(t), day(t)) for rows in batches for i, a, k, v, t in rows], "id long, application_id long, kind string, value string, at_day long, made_day long")
+    want = current_state(rocks.createDataFrame([(1, 0), (2, 0), (3, 0)], "id long, applied_day long"), events, day(START))
+    assert {k: (v[0], day(v[1]), v[2]) for k, v in seen.items()} == {r.id: (r.stage, r.stage_day, r.follow_up_day) for r in want.collect()}
+
+
+def test_verdicts_are_appended_once(spark, tmp_path):
+    schema = "id long, job_id string, verdict string, received_at long, message_id string"
+    frames = [spark.createDataFrame([(i, f"j{i % 3}", "good", i, f"m{i}") for i in ids], schema) for ids in ([1, 2, 3], [3, 4], [5, 1, 5])]
+    table = str(tmp_path / "verdicts")
+    each = rules.append_new_verdicts(table, buckets=4)
+    for k, number in enumerate((0, 1, 1, 0, 2)):
+        each(frames[number], k)
+    stored = spark.read.parquet(table)
+    assert sorted(r.message_id for r in stored.collect()) == ["m1", "m2", "m3", "m4", "m5"]
+    files = len(stored.inputFiles())
+    each(frames[0], 9)  # a replay leaves no file behind
+    assert len(spark.read.parquet(table).inputFiles()) == files
+    rules.compact_verdicts(spark, table, f"{table}-2")
+    assert spark.read.parquet(f"{table}-2").count() == 5
