@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.scores import fit_band, fit_of, iso_week, scaled
+from rowloom.functions.scores import fit_band, fit_fields, fit_of, iso_week, scaled
 
 from .evaluate import percentiles
 
@@ -130,6 +130,47 @@ def digest_row(items: DataFrame) -> DataFrame:
     return per.where("n_new > 0").join(listed).select(subject.alias("subject"), "n_new", "n_today", "n_overdue", "n_calls")
 
 
+#: The parts of a digest's text with their headings, in order.
+DIGEST_PARTS = [("today", "Due today"), ("overdue", "Overdue"), ("this_week", "Calls this week")]
+
+
+def one_line(text: Column, empty: str = "—") -> Column:
+    """White space as single blanks, none at the ends; a sign for nothing."""
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), F.lit("")), F.lit(empty))
+
+
+def digest_entry(today: int) -> Column:
+    """The lines of one item (company, title, stage, reason, bucket, sort_day, fit, url, people, notes) in a digest's text."""
+    late = today - F.col("sort_day")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("sort_day").cast("int"))
+    ahead = F.when(F.col("sort_day") == today + 1, "tomorrow").otherwise(F.date_format(day, "EEE MMM d"))
+    when = F.when(F.col("bucket") == "today", "today").when(F.col("bucket") == "overdue", F.format_string("%d day%s late", late, F.when(late == 1, "").otherwise("s"))).otherwise(ahead)
+    some = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    return F.concat(
+        F.format_string("- %s: %s (%s), %s %s", one_line(F.col("company")), one_line(F.col("title")), "stage", "reason", when),
+        F.coalesce(F.concat(F.lit(", fit "), some("fit")), F.lit("")),
+        F.coalesce(F.concat(F.lit("\n  "), some("url")), F.lit("")),
+        F.coalesce(F.concat(F.lit("\n  People: "), some("people")), F.lit("")),
+        F.coalesce(F.concat(F.lit("\n  Notes: "), F.replace(some("notes"), F.lit("\n"), F.lit("\n         "))), F.lit("")),
+    )
+
+
+def digest_text(items: DataFrame, details: DataFrame, quiet: DataFrame, today: int, ghost: int = GHOST_DAYS) -> DataFrame:
+    """One row, the plain text of a digest; none when nothing is new.
+
+    items as due_items() gives them, details (id, title, stage, url, people, notes, fit) of the applications, quiet as
+    due_counts() gives it. Each item is a few lines, by part, day, company and id; at the end how many applications are
+    quiet. It is the text of one mail, so all of the day's items meet in it.
+    """
+    lines = items.join(details, "id").withColumn("_text", digest_entry(today))
+    order = F.struct("sort_day", F.lower(F.coalesce("company", F.lit(""))).alias("name"), "id", F.col("_text").alias("text"))
+    part = lambda name: F.transform(F.sort_array(F.collect_list(F.when(F.col("bucket") == name, order))), lambda x: x["text"])
+    sums = lines.agg(F.count_if("new").alias("_new"), *[part(name).alias(name) for name, _ in DIGEST_PARTS])
+    shown = [F.when(F.size(name) > 0, F.concat(F.lit(f"{head}\n"), F.array_join(name, "\n"))) for name, head in DIGEST_PARTS]
+    silent = F.when(F.col("quiet") > 0, F.format_string("Also %d application%s quiet for %d+ days.", "quiet", F.when(F.col("quiet") == 1, "").otherwise("s"), F.lit(ghost)))
+    return sums.where("_new > 0").join(quiet).select(F.concat_ws("\n\n", *shown, silent).alias("text"))  # one row each
+
+
 def applications_enriched(applications: DataFrame, outcomes: DataFrame, bounds: DataFrame) -> DataFrame:
     """Applications with the posting's model, label and text flag, and the scaled fit of calibrated models."""
     jobs = outcomes.select(F.col("id").alias("job_id"), "source_model", "score_label", "match_score", F.lit(True).alias("known"))
@@ -138,6 +179,35 @@ def applications_enriched(applications: DataFrame, outcomes: DataFrame, bounds:
     return rows.withColumn("fit_scaled", scaled(fit, F.col("low"), F.col("high"))).withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def applications_full(applications: DataFrame, outcomes: DataFrame, events: DataFrame, letters: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Applications (id, job_id, fit_score) with what is known of them: their events in order (at_day, id, kind, value),
+    the letter of their job with when it was written, whether the posting has a description, and how the fit reads (fit,
+    fit_raw, fit_scaled), by the posting's label where it is known.
+
+    outcomes has a description; letters are (job_id, text, written_at), bounds (source_model, low, high). An application
+    without events has an empty list.
+    """
+    described = F.length(F.trim(F.coalesce("description", F.lit("")))) > 0
+    jobs = outcomes.select(F.col("id").alias("job_id"), "source_model", "score_label", described.alias("has_description"), F.lit(True).alias("_known"))
+    jobs = jobs.join(bounds.select("source_model", "low", "high"), "source_model", "left")
+    told = letters.select("job_id", F.col("text").alias("cover_letter"), F.col("written_at").alias("cover_letter_at"))
+    nested = events.groupBy(F.col("application_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("at_day", F.col("id").alias("event_id"), "kind", "value"))).alias("events"))
+    rows = applications.join(jobs, "job_id", "left").join(told, "job_id", "left").join(nested, "id", "left")
+    fields = fit_fields(F.col("fit_score"), F.col("score_label"), F.col("source_model"), F.col("low"), F.col("high"))
+    known = F.col("_known").isNotNull() & F.col("fit_score").isNotNull()
+    plain = F.when(F.col("fit_score").isNotNull(), F.format_string("%s/10", "fit_score"))
+    return rows.select(
+        *applications.columns,
+        F.coalesce("events", F.array().cast(nested.schema["events"].dataType)).alias("events"),
+        "cover_letter",
+        "cover_letter_at",
+        F.coalesce("has_description", F.lit(False)).alias("has_description"),
+        F.when(known, fields["text"]).otherwise(plain).alias("fit"),
+        F.when(known, fields["raw"]).otherwise(F.col("fit_score")).alias("fit_raw"),
+        F.when(known, fields["scaled"]).alias("fit_scaled"),
+    )
+
+
 def reply_numbers(state: DataFrame, fit: str = "fit_score") -> DataFrame:
     """A2, A3: split, label, n, replied, rate and few: overall, by board, resume, fit band and week of application. One
     pass: rows are aggregated once by all four labels, and the splits add those counts up."""

@@ -14,7 +14,7 @@ from rowloom.functions import scores, text
 from rowloom.operators import actions, evaluate, outcomes, tracker
 from rowloom.sources import files
 
-from .queries import NOW, TODAY, read, register
+from .queries import _ITEMS, _STATE, _VIEWS, NOW, TODAY, _state, due_items, read, register
 from .views import TERMINAL
 
 
@@ -433,3 +433,56 @@ def precision_steps(spark: SparkSession, d: str) -> DataFrame:
     plugins.register_functions(spark)
     read(spark, d, "v_labelled").select(F.col("s").alias("score"), F.col("y").cast("int").alias("good")).createOrReplaceTempView("labelled_scores")
     return plugins.precision_steps(spark.table("labelled_scores"))
+
+
+# --- digests and applications -------------------------------------------------------------------------------------------
+
+_DETAILS = "SELECT id, title, job_id, url, CASE WHEN id % 3 = 0 THEN 'Ann Lee' ELSE '' END AS people, CASE WHEN id % 4 = 0 THEN concat('call', chr(10), 'again') ELSE '' END AS notes, CASE WHEN id % 5 = 0 THEN '' ELSE concat(id % 9, '/10') END AS fit FROM v_applications"
+
+
+@register(
+    f"""WITH {_STATE}, {_ITEMS}, n AS (SELECT *, bucket <> 'this_week' AND sort_day > {TODAY - 3} AS new FROM i), d AS ({_DETAILS}),
+    t AS (SELECT n.*, '- ' || n.company || ': ' || d.title || ' (' || s.stage || '), ' || reason || ' ' || CASE bucket WHEN 'today' THEN 'today' WHEN 'overdue' THEN concat({TODAY} - sort_day, CASE WHEN {TODAY} - sort_day = 1 THEN ' day late' ELSE ' days late' END)
+        ELSE CASE WHEN sort_day = {TODAY + 1} THEN 'tomorrow' ELSE strftime(DATE '1970-01-01' + CAST(sort_day AS INTEGER), '%a %b %-d') END END
+      || CASE d.fit WHEN '' THEN '' ELSE ', fit ' || d.fit END || CASE d.url WHEN '' THEN '' ELSE chr(10) || '  ' || d.url END || CASE d.people WHEN '' THEN '' ELSE chr(10) || '  People: ' || d.people END
+      || CASE d.notes WHEN '' THEN '' ELSE chr(10) || '  Notes: ' || replace(d.notes, chr(10), chr(10) || '         ') END AS e FROM n JOIN d ON d.id = n.id JOIN s ON s.id = n.id),
+    q AS (SELECT count(*) FILTER (stage = 'applied' AND NOT coalesce(due_day <= {TODAY}, false) AND {TODAY} - last_day >= 21) AS quiet FROM s),
+    p AS (SELECT [(SELECT 'Due today' || chr(10) || string_agg(e, chr(10) ORDER BY sort_day, lower(company), id, e) FROM t WHERE bucket = 'today'),
+      (SELECT 'Overdue' || chr(10) || string_agg(e, chr(10) ORDER BY sort_day, lower(company), id, e) FROM t WHERE bucket = 'overdue'),
+      (SELECT 'Calls this week' || chr(10) || string_agg(e, chr(10) ORDER BY sort_day, lower(company), id, e) FROM t WHERE bucket = 'this_week'),
+      (SELECT CASE WHEN quiet > 0 THEN concat('Also ', quiet, CASE WHEN quiet = 1 THEN ' application' ELSE ' applications' END, ' quiet for 21+ days.') END FROM q)] AS x)
+    SELECT array_to_string(list_filter(x, lambda y: y IS NOT NULL), chr(10) || chr(10)) AS text FROM p WHERE (SELECT count(*) FROM t WHERE new) > 0""",
+    _VIEWS,
+)
+def digest_texts(spark: SparkSession, d: str) -> DataFrame:
+    """W10"""
+    state = _state(spark, d)
+    details = rows(spark, d, "v_applications", _DETAILS).drop("job_id").join(state.select("id", "stage"), "id")
+    return tracker.digest_text(due_items(spark, d), details, tracker.due_counts(state, TODAY), TODAY)
+
+
+_FULL = "SELECT *, CASE WHEN ord % 3 = 0 THEN ' ' ELSE title END AS description FROM v_outcomes"
+_WRITTEN = "SELECT concat('src', user_id % 20, '_', user_id) AS job_id, max(concat('Dear ', event_type)) AS text, max(event_id) AS written_at FROM events GROUP BY user_id"
+
+
+@register(
+    rf"""WITH o AS ({_FULL}), l AS ({_WRITTEN}), b AS (SELECT source_model, min(match_score) AS low, max(match_score) AS high FROM v_outcomes WHERE source_model <> 'local-2' GROUP BY source_model),
+    e AS (SELECT application_id AS id, count(*) AS n, string_agg(concat(at_day, ':', id, ':', kind, ':', value), ';' ORDER BY at_day, id) AS events FROM v_app_events GROUP BY application_id),
+    j AS (SELECT a.id, a.fit_score, o.id IS NOT NULL AS known, o.score_label AS label, low, high, trim(coalesce(o.description, '')) <> '' AS has_description, l.text AS cover_letter, l.written_at AS cover_letter_at, coalesce(e.n, 0) AS n_events, coalesce(e.events, '') AS events,
+      CASE WHEN starts_with(o.source_model, 'local') AND o.score_label = '' AND a.fit_score = floor(a.fit_score) THEN NULL ELSE a.fit_score END AS fit
+      FROM v_applications a LEFT JOIN o ON o.id = a.job_id LEFT JOIN b ON b.source_model = o.source_model LEFT JOIN l ON l.job_id = a.job_id LEFT JOIN e ON e.id = a.id)
+    SELECT id, n_events, events, cover_letter, cover_letter_at, has_description, CASE WHEN known AND label <> '' THEN label ELSE concat(fit_score, '/10') END AS fit,
+      CASE WHEN known THEN floor(fit * 100 + 1e-9) / 100 ELSE fit_score END AS fit_raw,
+      round(CASE WHEN known AND low IS NOT NULL THEN least(10.0, greatest(0.0, (fit - low) / (high - low) * 10)) END, 6) AS fit_scaled FROM j""",
+    ["v_applications", "v_app_events", "v_outcomes"],
+)
+def application_rows(spark: SparkSession, d: str) -> DataFrame:
+    """J10, F18"""
+    known = read(spark, d, "v_outcomes").where("source_model <> 'local-2'")
+    bounds = known.groupBy("source_model").agg(F.min("match_score").alias("low"), F.max("match_score").alias("high"))
+    letters = rows(spark, d, "events", _WRITTEN)
+    full = tracker.applications_full(read(spark, d, "v_applications"), rows(spark, d, "v_outcomes", _FULL), read(spark, d, "v_app_events"), letters, bounds)
+    shown = F.transform("events", lambda x: F.concat_ws(":", x["at_day"].cast("string"), x["event_id"].cast("string"), x["kind"], x["value"]))
+    return full.select(
+        "id", F.size("events").cast("long").alias("n_events"), F.array_join(shown, ";").alias("events"), "cover_letter", "cover_letter_at", "has_description", "fit", "fit_raw", F.round("fit_scaled", 6).alias("fit_scaled")
+    )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowloom.functions.text import csv_cell
+from rowloom.operators.graph import written
 from rowloom.operators.outcomes import latest_per_key
 from rowloom.operators.pools import valid_rows
 
@@ -14,16 +16,29 @@ LABELS = ["notify", "log", "skip"]
 STAGES = ["applied", "screen", "interview", "offer", "accepted", "rejected", "withdrawn", "ghosted"]
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and value of every line of text files, in parallel: lines are counted for each block of a file, and
+    the blocks before it are added."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    raw = written(raw)
+    blocks = raw.groupBy("file", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    ahead = Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("file", "_b", "_first", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_o"))
+    return raw.join(before, ["file", "_b"]).select("file", (F.col("_o") + F.col("_i") - F.col("_first") + 1).alias("line"), "value")
+
+
 def read_pool(spark: SparkSession, path: str, pool: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Valid rows and errors of JSON lines; with strict any error is raised, with its file."""
-    raw = spark.read.schema(POOL).option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("file", F.input_file_name())
+    """Valid rows and errors (file, line, job_id, error) of JSON lines; with strict the first error is raised, with its
+    file and line. Empty lines don't count as rows."""
+    parsed = F.from_json("value", T._parse_datatype_string(POOL), {"columnNameOfCorruptRecord": "_bad"})
+    raw = numbered_lines(spark, path).where("trim(value) <> ''").select("file", "line", parsed.alias("r")).select("file", "line", "r.*")
     need = {f"{c} is missing": F.coalesce(c, F.lit("")) != "" for c in ("job_id", "title", "company", "description")}
     checks = {"unreadable": F.col("_bad").isNull()} | need | {"unknown label": F.col("label").isin(LABELS), "score is not a whole number from 1 to 10": (F.col("match_score") == F.floor("match_score")) & F.col("match_score").between(1, 10)}
     good, bad = valid_rows(raw, checks)
-    if strict and (first := bad.select("file", "job_id", "error").first()):
-        raise ValueError(f"{first['file']}: {first['job_id']}: {first['error']}")
+    if strict and (first := bad.select("file", "line", "job_id", "error").orderBy("file", "line").first()):
+        raise ValueError(f"{first['file']}, line {first['line']}: {first['job_id']}: {first['error']}")
     good = good.withColumn("pool", F.lit(pool)).withColumn("location", F.coalesce("location", F.lit(""))).withColumn("dealbreaker_known", F.coalesce("dealbreaker_known", F.lit(True)))
-    return good.drop("_bad", "file"), bad
+    return good.drop("_bad", "file", "line"), bad
 
 
 def import_applications(raw: DataFrame, applications: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:

@@ -462,3 +462,21 @@ def test_a_job_with_a_third_of_the_rows(spark):
     for _, own in plain.groupby("title"):
         places = own.sort_values(["turn", "seen"])[["turn", "seen"]].itertuples(index=False, name=None)
         assert [got[i] for i in own.sort_values("ord")["id"]] == list(places)
+
+
+def test_pool_errors_name_the_line(spark, tmp_path):
+    good = lambda i: json.dumps({"job_id": f"j{i}", "title": "t", "company": "c", "description": "d" * (i % 50), "label": "log", "match_score": 5} | ({"description": "x"} if i % 50 == 0 else {}))
+    lines = [good(i) for i in range(1, 301)]
+    lines[41], lines[249], lines[100] = '{"job_id": "bad"', good(1).replace("log", "later"), "  "
+    path = tmp_path / "pool.jsonl"
+    path.write_text("\n".join(lines) + "\n")
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2000")  # the file is read in many blocks
+    try:
+        rows, bad = files.read_pool(spark, str(path), "p", strict=False)
+        assert sorted((r["line"], r["error"]) for r in bad.collect()) == [(42, "unreadable"), (250, "unknown label")] and rows.count() == 297
+        with pytest.raises(ValueError, match="pool.jsonl, line 42: .*unreadable"):
+            files.read_pool(spark, str(path), "p")
+    finally:
+        spark.conf.set(name, before)
