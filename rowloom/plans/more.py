@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import scores
-from rowloom.functions.text import word_text
+from rowloom.functions.text import word_text, word_text_py
 from rowloom.operators import condense, employment, evaluate, graph, lexicon, listings, location, pools
 
 from .queries import NOW, QUERIES, _answers, _LOGITS, has, read, register, w
@@ -275,14 +275,48 @@ def location_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", location.location_verdict(where, F.col("title"), F.col("description"), ALLOWED, OTHERS).alias("reason"))
 
 
-@register("SELECT id, CASE ord % 5 WHEN 0 THEN 'contract: listed as Contract, W2' WHEN 1 THEN 'contract: contractor' WHEN 2 THEN 'contract: 6 month contract' END AS contract, CASE ord % 5 WHEN 3 THEN 'hourly pay: $55/hr' WHEN 4 THEN 'hourly pay: listed as $45 - $55 hourly' END AS hourly FROM v_postings", ["v_postings"])
+#: Offers of all kinds in the texts of the postings.
+_OFFERS = """SELECT id, concat(CASE ord % 6 WHEN 0 THEN 'Contractor ' WHEN 1 THEN 'Temporary ' WHEN 2 THEN 'Smart Contracts ' ELSE '' END, title) AS title,
+  concat(description, ' ', CASE ord % 9 WHEN 0 THEN 'A contract role.' WHEN 1 THEN concat('A ', 1 + ord % 24, '-month contract.') WHEN 2 THEN 'Six months  contract' WHEN 3 THEN 'This is contract-to-hire.' WHEN 4 THEN 'Employment type: Temporary'
+    WHEN 5 THEN 'C2C or 1099 welcome' WHEN 6 THEN concat('Handles $9,000/hr and pays $', ord % 700, ' - $800 per hour') WHEN 7 THEN concat('USD ', ord % 60, '.50 hourly') ELSE 'We manage contracts.' END) AS text,
+  CASE ord % 11 WHEN 0 THEN 'Contract, W2' WHEN 1 THEN 'Full-time' WHEN 2 THEN 'Contract-to-Hire' WHEN 3 THEN 'Remote, contract' END AS listed,
+  CASE ord % 10 WHEN 0 THEN concat('$', 20 + ord % 90, ' - $120 hourly') WHEN 1 THEN '90,000 USD a year' WHEN 2 THEN '$2,000 / hour' END AS pay FROM v_postings"""
+
+
+def _first_of(words: str, terms: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN {has(words, t)} THEN '{t}'" for t in terms) + " END"
+
+
+def _masked(words: str, terms: list[str]) -> str:
+    for t in terms:
+        words = f"replace({words}, '{word_text_py(t)}', ' ')"
+    return words
+
+
+_WAGES = r"(?:\$\s*\d[\d,]*(?:\.\d+)?|usd\s*\$?\s*\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s*usd)"
+_HOURLY = rf"{_WAGES}\s*(?:-\s*\$?\s*\d[\d,]*(?:\.\d+)?\s*(?:usd\s*)?)?\s*(?:/\s*|\s+per\s+)(?:hrs?|hours?)\b|hourly\s+rate\s+of\s+{_WAGES}|{_WAGES}\s+hourly\b"
+_LISTED_PAY = r"(?:\$\s*)?\d[\d,]*(?:\.\d+)?(?:\s*-\s*\$?\s*\d[\d,]*(?:\.\d+)?)?(?:\s+hourly\b|\s*(?:/\s*|\s+per\s+)(?:hrs?|hours?)\b)"
+_WAGE = r"list_filter(regexp_extract_all({0}, '{1}'), lambda m: TRY_CAST(replace(regexp_extract(m, '\d[\d,]*(?:\.\d+)?'), ',', '') AS DOUBLE) <= 500)[1]"
+
+
+@register(
+    rf"""WITH i AS ({_OFFERS}), k AS (SELECT *, list_transform(string_split(lower(coalesce(listed, '')), ','), lambda p: trim(regexp_replace(replace(p, '-', ' '), '\s+', ' ', 'g'))) AS parts,
+      {_masked(_masked(w("title"), employment.TO_HIRE), ["smart contracts", "smart contract"])} AS heads, {_masked(w("title || ' ' || text"), employment.TO_HIRE)} AS words,
+      regexp_replace(lower(title || chr(10) || text), '\b(?:contract[\s-]+to[\s-]+hire|cth|temp[\s-]+to[\s-]+perm|temp[\s-]+to[\s-]+hire)\b', ' ', 'g') AS raw FROM i),
+    f AS (SELECT *, len(list_filter(parts, lambda p: NOT starts_with(p, 'contract to hire') AND string_split(p, ' ')[1] = 'contract')) > 0 AS is_listed,
+      coalesce({_first_of("heads", employment.TITLE_TERMS)}, {_first_of("words", employment.PHRASES)},
+        nullif(trim(regexp_extract(raw, '\b(?:\d{{1,2}}|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)[\s-]+months?\s+contract\b')), ''),
+        nullif(trim(regexp_extract(raw, '\b(?:employment|job|position)\s*type\s*[:\-]\s*(?:contract|temporary|(?:independent\s+)?contractor|1099)\b')), '')) AS found FROM k)
+    SELECT id, CASE WHEN is_listed THEN 'contract: listed as ' || listed WHEN found IS NOT NULL THEN 'contract: ' || found END AS contract,
+      CASE WHEN {_WAGE.format("lower(coalesce(pay, ''))", _LISTED_PAY)} IS NOT NULL THEN 'hourly pay: listed as ' || pay
+        WHEN {_WAGE.format("lower(title || chr(10) || text)", _HOURLY)} IS NOT NULL THEN 'hourly pay: ' || trim({_WAGE.format("lower(title || chr(10) || text)", _HOURLY)}) END AS hourly FROM f""",
+    ["v_postings"],
+)
 def contract_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """F9, F10"""
-    k = F.col("ord") % 5
-    title = F.when(k == 1, F.concat(F.lit("Contractor "), F.col("title"))).otherwise(F.col("title"))
-    text = F.concat(F.col("description"), F.when(k == 2, " A 6 month contract.").when(k == 3, " Pays $55/hr, handles 10,000/hr.").otherwise(""))
-    listed, pay = F.when(k == 0, "Contract, W2"), F.when(k == 4, "$45 - $55 hourly")
-    return read(spark, d, "v_postings").select("id", employment.contract_reason(title, text, listed).alias("contract"), employment.hourly_reason(title, text, pay).alias("hourly"))
+    made = spark.sql(_OFFERS.replace("FROM v_postings", "FROM {v}"), v=read(spark, d, "v_postings"))
+    c = F.col
+    return made.select("id", employment.contract_reason(c("title"), c("text"), c("listed")).alias("contract"), employment.hourly_reason(c("title"), c("text"), c("pay")).alias("hourly"))
 
 
 for f in (split_pool, capped_labels, question_metrics, temperatures, question_report):
