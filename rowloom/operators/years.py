@@ -19,24 +19,34 @@ from rowloom.functions.text import let
 #: Numbers in words, and the words by which years are told to be required, optional, or something else.
 NUMBERS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "fifteen": 15, "twenty": 20}
 YEARS = "years|year|yrs|yr"
-EXPERIENCE = "experience experienced professional hands industry work working developing development building designing engineering programming coding exp software".split()
-LEADS = "minimum min least requires required require need needs must".split()
-COMPANY = "we we're we've we'd we'll our us founded since celebrated established history legacy helping serving".split()
-COMPANY_NOUNS = "our company firm team organization organisation agency business".split()
-CANDIDATE = "you your you'll you've candidate candidates required requires require requirement requirements qualification qualifications minimum must least looking seeking ideal need needs targeting hiring engineer developer".split()
-OPTIONAL_AFTER = "preferred plus bonus desired desirable".split()
-OPTIONAL_BEFORE = "preferred bonus desired desirable preferably ideally nice typically".split()
-OPTIONAL_HEADING = "preferred bonus desired desirable plus typical".split()
-HEADING = "qualifications requirements required basic minimum preferred bonus nice desired responsibilities benefits".split()
-DEGREES = "degree bachelor bachelor's bachelors associate associate's diploma".split()
-BOTH = "with and plus".split()
-NOT_EXPERIENCE = "old older age ago vest vests vesting warranty contract term".split()
-REQUIRED_AFTER = "required minimum mandatory must".split()
-REQUIRED_HEADING = "qualifications requirements requirement required minimum basic skills experience need bring must".split()
-SKILL_LEADS = "minimum min at least requires required require need needs must have a of".split()
+EXPERIENCE = [
+    "experience", "experienced", "professional", "hands", "industry", "work", "working", "developing", "development", "building",
+    "designing", "engineering", "programming", "coding", "exp", "software",
+]
+LEADS = ["minimum", "min", "least", "requires", "required", "require", "need", "needs", "must"]
+COMPANY = [
+    "we", "we're", "we've", "we'd", "we'll", "our", "us", "founded", "since", "celebrated", "established", "history", "legacy", "helping",
+    "serving",
+]
+COMPANY_NOUNS = ["our", "company", "firm", "team", "organization", "organisation", "agency", "business"]
+CANDIDATE = [
+    "you", "your", "you'll", "you've", "candidate", "candidates", "required", "requires", "require", "requirement", "requirements",
+    "qualification", "qualifications", "minimum", "must", "least", "looking", "seeking", "ideal", "need", "needs", "targeting", "hiring",
+    "engineer", "developer",
+]
+OPTIONAL_AFTER = ["preferred", "plus", "bonus", "desired", "desirable"]
+OPTIONAL_BEFORE = ["preferred", "bonus", "desired", "desirable", "preferably", "ideally", "nice", "typically"]
+OPTIONAL_HEADING = ["preferred", "bonus", "desired", "desirable", "plus", "typical"]
+HEADING = ["qualifications", "requirements", "required", "basic", "minimum", "preferred", "bonus", "nice", "desired", "responsibilities", "benefits"]
+DEGREES = ["degree", "bachelor", "bachelor's", "bachelors", "associate", "associate's", "diploma"]
+BOTH = ["with", "and", "plus"]
+NOT_EXPERIENCE = ["old", "older", "age", "ago", "vest", "vests", "vesting", "warranty", "contract", "term"]
+REQUIRED_AFTER = ["required", "minimum", "mandatory", "must"]
+REQUIRED_HEADING = ["qualifications", "requirements", "requirement", "required", "minimum", "basic", "skills", "experience", "need", "bring", "must"]
+SKILL_LEADS = ["minimum", "min", "at", "least", "requires", "required", "require", "need", "needs", "must", "have", "a", "of"]
 OPTIONAL_LINE = ["preferred", "preferably", "ideally", "bonus", "desired", "desirable", "a plus", "nice to have"]
-OTHER_SECTIONS = "benefits perks why about compensation culture what's whats our".split()
-NOT_NAMES = "inc llc ltd the corp".split()
+OTHER_SECTIONS = ["benefits", "perks", "why", "about", "compensation", "culture", "what's", "whats", "our"]
+NOT_NAMES = ["inc", "llc", "ltd", "the", "corp"]
 MAX_YEARS, MAX_HEADING, MAX_LABEL = 20, 8, 5
 
 _TOKEN = r"[0-9](?:[0-9]|\.(?=[0-9]))*|[a-z]+(?:'[a-z]+)*|\S"
