@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from rowloom import plugins
 from rowloom.functions import scores, text
 from rowloom.operators import actions, evaluate, outcomes, tracker
-from rowloom.sources import files
+from rowloom.sources import files, pages
 
-from .queries import _ITEMS, _STATE, _VIEWS, NOW, TODAY, _state, due_items, read, register
+from .queries import _ITEMS, _STATE, _VIEWS, NOW, TODAY, _state, due_items, has, read, register, w
 from .views import TERMINAL
 
 
@@ -486,3 +486,67 @@ def application_rows(spark: SparkSession, d: str) -> DataFrame:
     return full.select(
         "id", F.size("events").cast("long").alias("n_events"), F.array_join(shown, ";").alias("events"), "cover_letter", "cover_letter_at", "has_description", "fit", "fit_raw", F.round("fit_scaled", 6).alias("fit_scaled")
     )
+
+
+# --- posts and names ------------------------------------------------------------------------------------------------------
+
+_POSTS = f"""SELECT id, ord, concat(CASE ord % 5 WHEN 0 THEN '[Hiring] Backend ' WHEN 1 THEN 'How to ' WHEN 2 THEN 'Software engineer ' WHEN 3 THEN 'Cron jobs: ' ELSE '' END, title) AS title,
+  concat('https://dev.to/', source, '/', CASE WHEN ord % 29 = 0 THEN '' ELSE concat('post-', ord) END) AS link,
+  concat('<p>', CASE ord % 7 WHEN 0 THEN 'We are hiring.' WHEN 1 THEN 'Apply now, developers!' WHEN 2 THEN 'Apply for the position.' WHEN 3 THEN 'A tutorial for an engineer.' ELSE 'Nothing.' END, '</p><p>', source, ' &amp; <b>co</b></p>') AS body,
+  CASE ord % 3 WHEN 0 THEN 'Career' WHEN 1 THEN ' jobs ' ELSE 'webdev' END AS category,
+  CASE ord % 11 WHEN 0 THEN 'soon' ELSE concat('Thu, ', 1 + ord % 28, ' Dec 2025 10:00:00 +0200') END AS posted FROM v_postings"""
+_TEXT = "regexp_extract(body, '^<p>([^<]*)', 1) || chr(10) || regexp_extract(body, '</p><p>([^ ]*) ', 1) || ' & co'"
+
+
+def _any_of(words: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(has(words, t) for t in terms) + ")"
+
+
+_OPENING = f"""+ t AS (SELECT *, {_TEXT} AS text FROM i), k AS (SELECT *, {w("title")} AS head, {w("title || ' ' || text")} AS words FROM t),
+  o AS (SELECT *, NOT {_any_of("head", pages.ARTICLE_WORDS)} AND {_any_of("words", pages.ROLE_WORDS)} AND (starts_with(lower(title), '[hiring]') OR {_any_of("words", pages.OPENING_SIGNALS)}
+    OR lower(trim(category)) IN ('jobs', 'job', 'hiring', 'career') AND {_any_of("words", ["apply", "position"])}) AS opening FROM k)"""
+
+
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    return rows(spark, d, "v_postings", _POSTS)
+
+
+@register(twin(_POSTS, _OPENING + " SELECT id, opening FROM o"), ["v_postings"])
+def likely_openings(spark: SparkSession, d: str) -> DataFrame:
+    """F12"""
+    c = F.col
+    return _posts(spark, d).select("id", pages.is_likely_opening(c("title"), text.html_to_text(c("body")), F.array("category")).alias("opening"))
+
+
+@register(
+    twin(
+        _POSTS,
+        _OPENING
+        + f""", p AS (SELECT *, CASE WHEN posted <> 'soon' THEN strptime(substr(posted, 6, length(posted) - 11), '%d %b %Y %H:%M:%S') - INTERVAL 2 HOUR END AS day FROM o WHERE opening)
+        SELECT concat('devto_', CASE WHEN ord % 29 = 0 THEN '' ELSE concat('post-', ord) END) AS id, title, link AS url, text AS description, coalesce(strftime(day, '%Y-%m-%dT%H:%M:%S+00:00'), '') AS posted_at
+        FROM p WHERE ord % 29 > 0 AND (day IS NULL OR epoch(day) >= {NOW - 14 * 86400})""",
+    ),
+    ["v_postings"],
+)
+def feed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """S11"""
+    items = _posts(spark, d).where("ord % 29 > 0").select("title", "link", F.col("body").alias("description"), F.col("posted").alias("pubDate"), F.array("category").alias("category"))
+    return pages.from_devto(items, F.timestamp_seconds(F.lit(NOW - 14 * 86400))).select("id", "title", "url", "description", "posted_at")
+
+
+_NAMED = """SELECT id, concat(CASE ord % 6 WHEN 0 THEN concat('Ann Lee', chr(10)) WHEN 1 THEN concat('  Mary-Jane O', chr(39), 'Neil Li', chr(10)) WHEN 2 THEN concat('Ann lee', chr(10)) ELSE '' END, title,
+  CASE ord % 5 WHEN 0 THEN ' by Ann Lee, ' WHEN 1 THEN ' ann_lee@x.example ' WHEN 2 THEN ' Joann Lee ' WHEN 3 THEN ' Ann Leeds ' ELSE ' ANN . LEE' END, source) AS text FROM v_postings"""
+
+
+@register(
+    twin(
+        _NAMED,
+        r"""SELECT id, regexp_replace(text, '(^|[^a-zA-Z])[aA][nN][nN][ ._-]+[lL][eE][eE]($|[^a-zA-Z])', '\1the candidate\2', 'g') AS hidden,
+          nullif(regexp_extract(trim(regexp_extract(text, '^\s*([^\n]+)', 1)), '^((?:\p{Lu}[\p{L}.''-]*)(?: \p{Lu}[\p{L}.''-]*){1,3})$', 1), '') AS name FROM i""",
+    ),
+    ["v_postings"],
+)
+def hidden_names(spark: SparkSession, d: str) -> DataFrame:
+    """C18"""
+    t = F.col("text")
+    return rows(spark, d, "v_postings", _NAMED).select("id", text.anonymize(t, ["Ann Lee"]).alias("hidden"), text.header_name(t).alias("name"))
