@@ -204,16 +204,37 @@ def chosen_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.choose_summary(a).select(F.round("expected", 6).alias("expected"), F.round("p_good", 6).alias("p_good"), "chosen")
 
 
+_ROLE_LIST = "[" + ", ".join(f"'{r}'" for r in scores.STACK_ROLES) + "]"
+
+
+@register(
+    f"""WITH {_LOGITS}, a AS (SELECT {_ROLE_LIST}[list_position(role, list_max(role))] = {_ROLE_LIST}[vec_id % 7 + 1] AS same, vec_id % 7 AS r, deal[2] >= 0.5 AS hit, vec_id % 2 = 1 AS bad, vec_id % 5 > 0 AS known,
+      1 + list_sum(list_transform(fit, lambda x, i: x * (i - 1))) AS expected, vec_id % 10 + 1 AS score FROM l),
+    k AS (SELECT *, rank() OVER (ORDER BY expected) + (count(*) OVER (PARTITION BY expected) - 1) / 2 AS re, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS rs FROM a)
+    SELECT count(*) AS n, round(avg(CAST(same AS INT)), 6) AS role_accuracy, round(avg(CASE WHEN known THEN CAST(hit = bad AS INT) END), 6) AS deal_accuracy,
+      round(count(*) FILTER (known AND hit AND bad) / greatest(1, count(*) FILTER (known AND hit)), 6) AS deal_precision, round(count(*) FILTER (known AND hit AND bad) / greatest(1, count(*) FILTER (known AND bad)), 6) AS deal_recall,
+      round(avg(abs(expected - score)), 6) AS fit_mae, round((SELECT max(c) FROM (SELECT count(*) AS c FROM a GROUP BY r)) / count(*), 6) AS role_majority, round(corr(re, rs), 6) AS spearman FROM k"""
+)
 def question_metrics(spark: SparkSession, d: str) -> DataFrame:
     """A16"""
     roles = F.element_at(F.array(*map(F.lit, scores.STACK_ROLES)), (F.col("vec_id") % 7 + 1).cast("int"))
     a = _answers(spark, d).withColumn("expected", scores.summarise(F.col("fit_p"), "expected"))
     rows = a.select("role", roles.alias("role_true"), "deal_p", (F.col("vec_id") % 2).alias("deal_true"), (F.col("vec_id") % 5 > 0).alias("deal_known"), "expected", (F.col("vec_id") % 10 + 1).alias("score"))
-    return evaluate.question_metrics(rows)
+    found = evaluate.question_metrics(rows)
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
+_LOSS = "avg(ln(list_sum(list_transform(g, lambda v: exp((v - list_max(g)) / t)))) + (list_max(g) - g[y + 1]) / t)"
+
+
+@register(
+    f"""WITH x AS (SELECT list_transform(CAST(embedding[10:19] AS DOUBLE[]), lambda v: v * 20) AS g, vec_id % 10 AS y FROM embeddings),
+    c AS (SELECT arg_min(t, loss) AS t FROM (SELECT t, {_LOSS} AS loss FROM x, (SELECT unnest(range(50, 501)) / 100.0::DOUBLE AS t) GROUP BY t)),
+    f AS (SELECT arg_min(t, loss) AS t FROM (SELECT t, {_LOSS} AS loss FROM x, (SELECT t + k / 10000.0::DOUBLE AS t FROM c, (SELECT unnest(range(-100, 101)) AS k)) WHERE t BETWEEN 0.5 AND 5 GROUP BY t))
+    SELECT round(t, 4) AS temperature FROM f"""
+)
 def temperatures(spark: SparkSession, d: str) -> DataFrame:
-    """The temperature of the fit question"""
+    """The temperature of the fit question; the twin tries them all"""
     e = F.col("embedding").cast("array<double>")
     rows = graph.written(read(spark, d, "embeddings").select(F.transform(F.slice(e, 10, 10), lambda x: x * 20).alias("logits"), (F.col("vec_id") % 10).cast("int").alias("y")))
     return spark.range(1).select(F.lit(evaluate.fit_temperature(rows)).alias("temperature"))
@@ -319,5 +340,5 @@ def contract_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", employment.contract_reason(c("title"), c("text"), c("listed")).alias("contract"), employment.hourly_reason(c("title"), c("text"), c("pay")).alias("hourly"))
 
 
-for f in (split_pool, capped_labels, question_metrics, temperatures, question_report):
+for f in (split_pool, capped_labels, question_report):
     QUERIES[f.__name__] = f
