@@ -80,9 +80,9 @@ def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
 
 
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v of the rows that take part; of rows repeated under one id the least vector."""
+    """id (an integer) and v of the rows that take part; of rows repeated under one id the least vector."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    own = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").alias("v")).where("id IS NOT NULL AND size(v) > 0")
+    own = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v")).where("id IS NOT NULL AND size(v) > 0")
     return own.where(F.forall("v", fine) & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
