@@ -480,3 +480,17 @@ def test_pool_errors_name_the_line(spark, tmp_path):
             files.read_pool(spark, str(path), "p")
     finally:
         spark.conf.set(name, before)
+
+
+def test_similar_sets_keep_prefixes_alone(spark, monkeypatch):
+    """Pairs as by brute force with frequent shingles in every text, and no table on the way that holds whole sets of texts
+    without a link."""
+    made = []
+    keep = similar.written
+    monkeypatch.setattr(similar, "written", lambda df: made.append(keep(df)) or made[-1])
+    common = [f"c{i}" for i in range(20)]
+    texts = [" ".join(common + [f"t{k}n{i}" for i in range(60)]) for k in range(30)] + [" ".join(common + [f"t{k}n{i}" for i in range(58)] + ["x", "y"]) for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, description string")
+    assert sorted(map(tuple, similar.similar_pairs(df).collect())) == [(0, 30), (1, 31), (2, 32)]
+    wide = [t.count() for t in made if "_h" in t.columns]
+    assert wide and max(wide) == 6
