@@ -494,3 +494,14 @@ def test_similar_sets_keep_prefixes_alone(spark, monkeypatch):
     assert sorted(map(tuple, similar.similar_pairs(df).collect())) == [(0, 30), (1, 31), (2, 32)]
     wide = [t.count() for t in made if "_h" in t.columns]
     assert wide and max(wide) == 6
+
+
+def test_only_odd_texts_reach_python(spark, monkeypatch):
+    """What is handed to the Python function is null for texts without signs of misreading and with simple references alone."""
+    monkeypatch.setattr(text, "_repair", lambda c: c)
+    cases = ["plain", "a &amp; b &lt;i&gt;", "a & b", "&&amp;lt;", "&copy; a", "cafÃ© &amp;", "a&b", None]
+    assert values(spark, cases, text.repair_text) == ["plain", "a & b <i>", "a & b", "&&lt;", "&copy; a", "cafÃ© &amp;", "a&b", ""]
+    monkeypatch.setattr(text, "_repair", lambda c: c.isNotNull().cast("string"))
+    assert values(spark, cases[:6], text.repair_text) == ["false"] * 4 + ["true"] * 2
+    monkeypatch.undo()
+    assert values(spark, cases, text.repair_text) == ["plain", "a & b <i>", "a & b", "&&lt;", "© a", "café &", "a&b", ""]
