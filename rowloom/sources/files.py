@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,20 +41,30 @@ def read_pool(spark: SparkSession, path: str, pool: str, strict: bool = True) ->
     return good.drop("_bad", "file", "line"), bad
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, as withColumns(), each computed once a row: a filter on them isn't moved below, where it would hold
+    each of their texts again for every mention, in a method too long for the compiler."""
+    made = df.select("*", F.inline(F.array(F.struct(*[v.alias(f"_new_{c}") for c, v in columns.items()]))))
+    return made.drop(*columns).withColumnsRenamed({f"_new_{c}": c for c in columns})
+
+
 def import_applications(raw: DataFrame, applications: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a CSV (strings; any case and blanks in headers; a column line) to new applications with stage, and rejects.
 
     A row is a duplicate of another row, or of an application, of the same company, title and date.
     """
     named = raw.toDF(*[c.replace("﻿", "").strip().lower().replace(" ", "_") for c in raw.columns])
-    for c in ("company", "title", "url", "applied_at", "stage"):
-        named = named.withColumn(c, F.trim(F.coalesce(F.col(c), F.lit(""))) if c in named.columns else F.lit(""))
-    named = named.where("concat(company, title, url, applied_at) <> ''").withColumn("day", F.expr("try_to_timestamp(applied_at, 'yyyy-MM-dd')").cast("date")).withColumn("stage", F.coalesce(F.nullif(F.lower("stage"), F.lit("")), F.lit("applied")))
+    texts = {c: F.trim(F.coalesce(F.col(c), F.lit(""))) if c in named.columns else F.lit("") for c in ("company", "title", "url", "applied_at", "stage")}
+    named = once(named, texts).where("concat(company, title, url, applied_at) <> ''")
+    named = once(named, {"day": F.expr("try_to_timestamp(applied_at, 'yyyy-MM-dd')").cast("date"), "stage": F.coalesce(F.nullif(F.lower("stage"), F.lit("")), F.lit("applied"))})
     good, bad = valid_rows(named, {"company or title is missing": (F.col("company") != "") & (F.col("title") != ""), "unreadable date": F.col("day").isNotNull(), "date out of range": F.col("day").between("2000-01-01", today), "unknown stage": F.col("stage").isin(STAGES)})
     keys = lambda df: df.withColumn("_c", F.lower("company")).withColumn("_t", F.lower("title"))
-    first = keys(good).groupBy("_c", "_t", "day").agg(F.min_by(F.struct("company", "title", "url", "stage", "line"), "line").alias("r"))
-    have = keys(applications).select("_c", "_t", F.col("applied_at").cast("date").alias("day"))
-    return first.join(have, ["_c", "_t", "day"], "left_anti").select("r.*", F.col("day").alias("applied_at")), bad
+    fields = ("company", "title", "url", "stage", "line")
+    new = keys(good).select("_c", "_t", "day", "line", F.struct(*fields).alias("r"), F.lit(False).alias("_have"))
+    have = keys(applications).select("_c", "_t", F.col("applied_at").cast("date").alias("day"), F.lit(True).alias("_have"))
+    # one grouping instead of a join: each row of many would meet every application of its company and title
+    groups = new.unionByName(have, allowMissingColumns=True).groupBy("_c", "_t", "day").agg(F.min_by("r", "line").alias("r"), F.max("_have").alias("_have"))
+    return groups.where("NOT _have").select("r.*", F.col("day").alias("applied_at")), bad
 
 
 def export_verdicts(verdicts: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -315,6 +315,22 @@ def test_pools_and_imports(spark, tmp_path):
     assert [(r["company"], r["line"]) for r in new.collect()] == [("Acme", 1)] and rejects.first()["error"] == "unreadable date"
 
 
+def test_imports_meet_no_copies_of_applications(spark):
+    """2,000 applications of one company, title and date, 2,000 rows of the same on another: no join pairs them."""
+    raw_rows = spark.range(2000).selectExpr("'Acme' AS company", "'Dev' AS title", "IF(id < 5, '2026-01-02', '2026-01-03') AS applied_at", "'' AS stage", "id AS line")
+    have = spark.range(2000).selectExpr("'ACME' AS company", "IF(id = 7, NULL, 'dev') AS title", "'2026-01-02' AS applied_at")
+    new, _ = files.import_applications(raw_rows, have, "2026-06-01")
+    assert [(r["line"], str(r["applied_at"])) for r in new.collect()] == [(5, "2026-01-03")]
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("gettimestamp(") == 1
+
+
+def test_imports_take_any_other_headers(spark):
+    raw_rows = spark.createDataFrame([("Acme", "Dev", "2026-01-02", 1, "x", "y", 9.5), ("Acme", "Dev", "never", 2, "x", "y", 9.5)], "company string, title string, applied_at string, line int, a string, b string, c double").toDF("company", "title", "applied_at", "line", "notes", "notes", "pay.max")
+    new, bad = files.import_applications(raw_rows, spark.createDataFrame([], "company string, title string, applied_at string"), "2026-06-01")
+    assert [(r["line"], r["stage"]) for r in new.collect()] == [(1, "applied")] and [(r["line"], r["error"]) for r in bad.select("line", "error").collect()] == [(2, "unreadable date")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from rowloom.streaming import rules
 
