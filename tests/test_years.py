@@ -71,6 +71,21 @@ def test_years_after_the_company_are_its_own(spark, company, wanted):
     assert values(spark, ["working with Genesis for 12 years on software engineering"], company) == [wanted]
 
 
+def test_sections_of_many_lines_take_one_step_a_line(spark):
+    """Headings among lines of text: each line has the section of the last one, found in one pass over headings and years."""
+    filler = "plain words of a line that says nothing\n" * 400
+    texts = [
+        filler + "WHAT YOU BRING\n" + filler + "- 5 years of Go\n" + filler + "Nice to have:\n" + filler + "9 years of experience\n",
+        filler + "Requirements\n" + "- 3 years of Go\n" + filler + "or\n" + filler + "- 2 years of Rust\n",
+        filler + "(Preferred)\n" + filler + "7 years of experience\n" + "Who we are\n" + "4 years of experience\n",
+        filler + "Per\u212as:\n- 8 years of Go",
+        ("Requirements:\n- 6 years of Go\nBenefits:\n- 9 years of tea\n") * 300,
+    ]
+    assert values(spark, texts) == [5, 2, 4, None, 6]
+    plan = spark.createDataFrame([("x",)], "t string").select(years.required_years(F.col("t"), F.lit("")))._jdf.queryExecution().optimizedPlan().toString()
+    assert ".i <" not in plan and "[i]" not in plan
+
+
 def test_reason(spark):
     df = spark.createDataFrame([("Engineer", "6+ years of experience", "c"), ("Engineer", "2 years of experience", "c"), (None, None, None)], "t string, d string, c string")
     assert [r[0] for r in df.select(years.years_reason(F.col("t"), F.col("d"), F.col("c"), 3)).collect()] == ["requires 6+ years (max 3)", None, None]
