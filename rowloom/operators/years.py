@@ -211,7 +211,7 @@ def required_years(text: Column, company: Column) -> Column:
         # other lines are no headings and ask for nothing
         raws = F.filter(F.split(plain, r"(?=[\n!?;.•])(?:[\n!?;]|\.(?=\s|$)|(?=•))"), lambda r: r.rlike("(?i)y(?:ea)?r") | r.rlike(_SHAPED))
         # a posting without a word for years needs no closer look
-        return F.when(F.lower(plain).rlike(rf"(?=y)\b(?:{YEARS})\b"), let(F.struct(raws.alias("raws"), names.alias("names")), years))
+        return F.when(plain.rlike(rf"(?i)(?=y)\b(?:{YEARS})\b"), let(F.struct(raws.alias("raws"), names.alias("names")), years))
 
     return let(plain, asked)
 
