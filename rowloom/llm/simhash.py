@@ -90,7 +90,8 @@ def links(nodes: DataFrame) -> DataFrame:
     cells = dealt.select("fp", point(F.col("fp")).alias("p")).select(F.col("fp").alias("id"), F.explode(around(F.col("p"))).alias("bucket"))
     shared = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= DISTANCE
-    met = written(cells.join(shared, "bucket").select("id", "bucket"))
+    # cells are 49 times what Spark takes them for, and neither side may be sent whole through the driver
+    met = written(cells.hint("merge").join(shared, "bucket").select("id", "bucket"))
     return bucket_links(met, lambda pairs: pairs.where(close).select(F.col("x").alias("a"), F.col("y").alias("b")), rounds=1)
 
 
