@@ -20,6 +20,11 @@ def _first(*cs: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at its ends, as the SQL twins strip it."""
+    return F.regexp_replace(text, r"\A[ \t\n\f\r]+|[ \t\n\f\r]+\z", "")
+
+
 def _posting(df: DataFrame, source: str, ats: str, snippet: bool = False, **columns: Column) -> DataFrame:
     fixed = {"source": F.lit(source), "ats": F.lit(ats), "description_is_snippet": F.lit(snippet), "extra": F.create_map().cast("map<string,string>"), "posted_at": F.lit(""), "location": F.lit("")}
     return df.select(*[(fixed | columns)[c].alias(c) for c in COLUMNS])
@@ -49,7 +54,7 @@ def from_lever(raw: DataFrame) -> DataFrame:
     r = _parsed(raw, "id string, text string, categories struct<location:string>, hostedUrl string, createdAt string, description string, descriptionPlain string, lists array<struct<text:string,content:string>>, additionalPlain string", ("slug",))
     intro = _first(F.col("r.descriptionPlain"), html_to_text(F.col("r.description")))
     lists = F.transform(F.coalesce("r.lists", F.array().cast("array<struct<text:string,content:string>>")), lambda s: F.concat(_text(s["text"]), F.lit("\n"), _markup(s["content"])))
-    parts = F.filter(F.transform(F.concat(F.array(intro), lists, F.array(_text(F.col("r.additionalPlain")))), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    parts = F.filter(F.transform(F.concat(F.array(intro), lists, F.array(_text(F.col("r.additionalPlain")))), stripped), lambda x: x != "")
     return _posting(
         r, "lever", "lever",
         id=F.concat(F.lit("lever_"), F.col("r.id")), title=_text(F.col("r.text")), company=F.col("slug"), location=_text(F.col("r.categories.location")), url=_text(F.col("r.hostedUrl")),

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from rowloom import catalog
+from rowloom.sources import payloads
 
 TEXTS = ["Plain words\nof a posting", "", " ", " \n\t ", " A space before the words", "\n A line before", "\tA tab", "Blanks after \n\t ", "\x0bOther blanks\x0b", "A sign </script> that <b>ends</b> it", 'He said "yes" \\ {x}', "A &amp; B &lt;p&gt;"]
 
@@ -39,3 +40,12 @@ def differing(spark, odd, duck, name: str) -> tuple[set, set]:
 
 def test_jsonld_of_odd_texts(spark, odd, duck):
     assert differing(spark, odd, duck, "landed_jsonld") == (set(), set())
+
+
+def test_lever_of_odd_texts(spark, odd, duck):
+    assert differing(spark, odd, duck, "landed_lever") == (set(), set())
+
+
+def test_lever_drops_blank_parts(spark):
+    raw = spark.createDataFrame([('{"id": "x", "text": "Dev", "descriptionPlain": " \\n", "lists": [{"text": "\\n Need", "content": "<li>a</li>"}], "additionalPlain": "more\\n"}', "s")], "raw string, slug string")
+    assert payloads.from_lever(raw).first()["description"] == "Need\na\n\nmore"
